@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsloom.functions import fixed
+from newsloom.functions.text import literal_map
 
 
 def parse_feed_date(text: Column) -> Column:
@@ -18,7 +19,7 @@ def parse_feed_date(text: Column) -> Column:
 
     mail = F.regexp_replace(raw, r"^[A-Za-z]{3},\s*", "")
     zone = F.regexp_extract(mail, r" ([A-Z]{1,3})$", 1)
-    offsets = F.create_map(*[F.lit(v) for pair in fixed.ZONE_OFFSETS.items() for v in pair])
+    offsets = literal_map(fixed.ZONE_OFFSETS)
     numeric = F.when(zone == "", mail).otherwise(
         F.concat(mail.substr(F.lit(1), F.length(mail) - F.length(zone)), F.try_element_at(offsets, zone))
     )

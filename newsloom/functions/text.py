@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from newsloom.functions import fixed
 
 
-_ODD_SPACE = fixed.WHITESPACE.replace(" ", "")
-_TO_SQUASH = f" {fixed.WHITESPACE}+|{_ODD_SPACE}{fixed.WHITESPACE}*"
+# The intersection rejects printable ASCII with one range check before the exact class is tried.
+_SPACE = r"[\x00-\x20\x{85}-\x{3000}&&" + fixed.WHITESPACE + "]"
+_ODD_SPACE = r"[\x00-\x1F\x{85}-\x{3000}&&" + fixed.WHITESPACE.replace(" ", "") + "]"
+_TO_SQUASH = f" {_SPACE}+|{_ODD_SPACE}{_SPACE}*"
 
 
 def squash(text: Column) -> Column:
@@ -22,9 +24,33 @@ def squash(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _TO_SQUASH, " "))
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def count_squashed(flat: Column) -> Column:
+    """Words of a text whose white space is already squashed."""
+    return bind(
+        flat, lambda t: F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
+    )
+
+
 def count_words(text: Column) -> Column:
-    flat = squash(text)
-    return F.when(flat == "", 0).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1)
+    return count_squashed(squash(text))
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_map(values: dict[str, str]) -> Column:
+    """Constant map, built in one call."""
+    return F.expr("map(" + ", ".join(_sql_text(x) for pair in values.items() for x in pair) + ")")
+
+
+def literal_array(values: list[str]) -> Column:
+    return F.expr("array(" + ", ".join(_sql_text(x) for x in values) + ")")
 
 
 def space_sentences(text: Column) -> Column:
@@ -41,7 +67,7 @@ def _scalar_value(number: Column) -> Column:
 
 def _entity_value(entity: Column) -> Column:
     body = entity.substr(F.lit(2), F.length(entity) - 2)
-    named = F.create_map(*[F.lit(v) for pair in fixed.NAMED_ENTITIES.items() for v in pair])
+    named = literal_map(fixed.NAMED_ENTITIES)
     short = F.length(body) <= 10
     hexadecimal = F.conv(F.when(short, body.substr(F.lit(3), F.length(body))), 16, 10).cast("bigint")
     decimal = F.when(short, body.substr(F.lit(2), F.length(body))).try_cast("bigint")
@@ -53,8 +79,7 @@ def _entity_value(entity: Column) -> Column:
     return F.coalesce(decoded, entity)
 
 
-def decode_entities(text: Column) -> Column:
-    """One left-to-right pass, so ``&amp;lt;`` becomes ``&lt;``; unknown entities stay."""
+def _decode_once(text: Column) -> Column:
     pieces = F.split(text, fixed.ENTITY, -1)
     found = F.regexp_extract_all(text, F.lit(fixed.ENTITY), 0)
     joined = F.array_join(
@@ -63,6 +88,11 @@ def decode_entities(text: Column) -> Column:
     return F.when(text.contains("&"), joined).otherwise(text)
 
 
+def decode_entities(text: Column) -> Column:
+    """One left-to-right pass, so ``&amp;lt;`` becomes ``&lt;``; unknown entities stay."""
+    return bind(text, _decode_once)
+
+
 def strip_tags(html: Column) -> Column:
     return squash(space_sentences(decode_entities(F.regexp_replace(html, fixed.TAG, " "))))
 
@@ -84,8 +114,7 @@ def clean_collected(text: Column) -> Column:
 
 def snippet(summary: Column, content: Column, limit: int = 200) -> Column:
     raw = F.when(F.coalesce(summary, F.lit("")) != "", summary).otherwise(content)
-    clean = strip_tags(raw)
-    return F.when(clean != "", F.substring(clean, 1, limit))
+    return F.nullif(F.substring(strip_tags(raw), 1, limit), F.lit(""))
 
 
 def minutes_for_words(words: Column) -> Column:
@@ -94,12 +123,11 @@ def minutes_for_words(words: Column) -> Column:
 
 def reading_minutes(content: Column) -> Column:
     """Known only for texts of 200 words and more."""
-    words = count_words(strip_tags(content))
-    return F.when(words >= 200, minutes_for_words(words))
+    return bind(count_squashed(strip_tags(content)), lambda n: F.when(n >= 200, minutes_for_words(n)))
 
 
 def feed_word_count(content: Column, summary: Column) -> Column:
-    return count_words(strip_tags(F.coalesce(content, summary, F.lit(""))))
+    return count_squashed(strip_tags(F.coalesce(content, summary, F.lit(""))))
 
 
 def normalize_title(title: Column) -> Column:
@@ -114,7 +142,7 @@ def _title_words(title: Column) -> Column:
 def title_tokens(title: Column) -> Column:
     """Distinct substantive words: three letters and more or all digits, no stop words."""
     words = F.filter(_title_words(title), lambda w: (F.length(w) >= 3) | w.rlike(r"^\p{N}+$"))
-    return F.array_except(words, F.array(*[F.lit(w) for w in fixed.STOP_WORDS]))
+    return F.array_except(words, literal_array(fixed.STOP_WORDS))
 
 
 def title_similarity(left: Column, right: Column) -> Column:

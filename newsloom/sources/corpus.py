@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,3 +18,24 @@ def stable_id(identity: Column) -> Column:
         F.concat(variant, F.substring(h, 18, 3)),
         F.substring(h, 21, 12),
     )
+
+
+def annotation_queue(
+    corpus: DataFrame,
+    labels: DataFrame,
+    publisher: str | None = None,
+    language: str | None = None,
+    unlabelled_only: bool = False,
+    needle: str = "",
+) -> DataFrame:
+    """Rows an annotator asks for: by publisher, language, missing label and text."""
+    rows = corpus
+    if publisher:
+        rows = rows.filter(F.col("publisher_key") == publisher)
+    if language:
+        rows = rows.filter(F.col("language") == language)
+    wanted = needle.strip().lower()
+    if wanted:
+        searched = [c for c in ["title", "summary", "publisher_key", "url"] if c in corpus.columns]
+        rows = rows.filter(F.lower(F.concat_ws(" ", *searched)).contains(wanted))
+    return rows.join(labels.select("id"), "id", "left_anti") if unlabelled_only else rows

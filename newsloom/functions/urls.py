@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsloom.functions import fixed
+from newsloom.functions.text import bind
 
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
@@ -68,8 +69,6 @@ def dedupe_key(guid: Column, link: Column, feed_id: Column, title: Column, publi
 
 def _collapse_dots(path_text: Column) -> Column:
     """Resolve ``.`` and ``..`` segments of an absolute path."""
-    segments = F.split(path_text, "/", -1)
-    ends_in_dot = path_text.rlike(r"/\.{1,2}$")
 
     def step(done: Column, segment: Column) -> Column:
         return (
@@ -81,8 +80,8 @@ def _collapse_dots(path_text: Column) -> Column:
             .otherwise(F.concat(done, F.array(segment)))
         )
 
-    walked = F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/")
-    collapsed = F.when(ends_in_dot, F.concat(walked, F.lit("/"))).otherwise(walked)
+    walked = F.array_join(F.aggregate(F.split(path_text, "/", -1), F.array().cast("array<string>"), step), "/")
+    collapsed = F.concat(walked, F.when(path_text.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(""))
     return F.when(path_text.contains("/."), collapsed).otherwise(path_text)
 
 
@@ -91,20 +90,27 @@ def resolve(href: Column, base: Column) -> Column:
     site = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
     page = F.regexp_extract(base, r"^([^?#]*)", 1)
-    folder = F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*/.*/|[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*/)", 1)
-    folder = F.when(folder == "", F.concat(page, F.lit("/"))).otherwise(folder)
-    merged = F.when(href.startswith("/"), F.concat(site, href)).otherwise(F.concat(folder, href))
-    tail = F.regexp_extract(merged, r"([?#].*)$", 1)
-    stem = merged.substr(F.lit(1), F.length(merged) - F.length(tail))
-    path_text = stem.substr(F.length(site) + 1, F.length(stem))
-    return (
-        F.when(href.isNull() | (href == ""), F.lit(None))
-        .when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("?"), F.concat(page, href))
-        .when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
-        .otherwise(F.concat(site, _collapse_dots(path_text), tail))
-    )
+    folder = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/(?:[^?#]*/)?)", 1)
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+
+    def placed(link: Column) -> Column:
+        """Relative to the site or the page's folder."""
+        stem = F.regexp_extract(link, r"^([^?#]*)", 1)
+        tail = F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
+        full = F.when(link.startswith("/"), stem).otherwise(F.concat(folder, stem))
+        return F.concat(site, bind(full, _collapse_dots), tail)
+
+    def choose(link: Column) -> Column:
+        return (
+            F.when(link.isNull() | (link == ""), F.lit(None))
+            .when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
+            .when(link.startswith("//"), F.concat(scheme, link))
+            .when(link.startswith("?"), F.concat(page, link))
+            .when(link.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), link))
+            .otherwise(placed(link))
+        )
+
+    return bind(href, choose)
 
 
 def favicon(icon_url: Column, site_url: Column, feed_url: Column) -> Column:

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from newsloom.plans import curation, evaluation_queries, ingest_queries, library_queries, scalars  # noqa: F401
+from newsloom.plans import curation, digest_queries, evaluation_queries, ingest_queries, library_queries, scalars  # noqa: F401
 from newsloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -119,7 +119,7 @@ def _extend(rows: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _near(row_tokens: Column, row_time: Column, pick: Column) -> Column:
+def is_near(row_tokens: Column, row_time: Column, pick: Column) -> Column:
     return (
         (F.size(pick["tokens"]) >= 3)
         & (F.abs(F.unix_micros(pick["published_at"]) - F.unix_micros(row_time)) <= NEAR_SECONDS * 1_000_000)
@@ -127,9 +127,9 @@ def _near(row_tokens: Column, row_time: Column, pick: Column) -> Column:
     )
 
 
-def _duplicates(row: dict[str, Column], pick: Column) -> Column:
+def is_duplicate(row: dict[str, Column], pick: Column) -> Column:
     return (
-        _near(row["tokens"], row["published_at"], pick)
+        is_near(row["tokens"], row["published_at"], pick)
         & (pick["source_key"] != row["source_key"])
         & (F.size(row["tokens"]) >= 4)
         & (F.size(pick["tokens"]) >= 4)
@@ -150,12 +150,12 @@ def _repeats(row: dict[str, Column], picks: Column, source_cap: Column) -> Colum
 
 def _ruled_out(row: dict[str, Column], picks: Column, source_cap: Column, topic_cap: Column) -> Column:
     enough = F.size(row["tokens"]) >= 3
-    duplicate = enough & F.exists(picks, lambda p: _duplicates(row, p))
-    near = F.size(F.filter(picks, lambda p: _near(row["tokens"], row["published_at"], p)))
+    duplicate = enough & F.exists(picks, lambda p: is_duplicate(row, p))
+    near = F.size(F.filter(picks, lambda p: is_near(row["tokens"], row["published_at"], p)))
     return _repeats(row, picks, source_cap) | duplicate | (enough & ~row["is_vip"] & (near >= topic_cap))
 
 
-def _packed(picks: DataFrame) -> DataFrame:
+def packed_picks(picks: DataFrame) -> DataFrame:
     """One row per reader with its picks in order; a budget is at most 80, so rows stay small."""
     fields = ["position", *[c for c in _CARRIED if c != "reader_id"]]
     return picks.groupBy("reader_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("picks"))
@@ -183,7 +183,7 @@ def curated_picks(items: DataFrame, now: Column, block: int = BLOCK) -> DataFram
         last = best.filter(F.col("rank") == block).select(
             "reader_id", F.struct(-F.col("score"), -F.unix_micros("published_at"), "item_id").alias("_last"), "budget"
         )
-        state = _packed(picked).withColumn("n_picks", F.size("picks"))
+        state = packed_picks(picked).withColumn("n_picks", F.size("picks"))
         still_open = durable(
             last.join(state, "reader_id", "left").filter(F.coalesce("n_picks", F.lit(0)) < F.col("budget")).drop("budget")
         )
@@ -211,13 +211,13 @@ def coverage(items: DataFrame, now: Column, picks: DataFrame) -> DataFrame:
     others = (
         candidates(items, now)
         .join(picks.select("reader_id", "item_id"), ["reader_id", "item_id"], "left_anti")
-        .join(_packed(picks), "reader_id")
+        .join(packed_picks(picks), "reader_id")
         .join(limits, "reader_id")
         .withColumn("before", before)
         .filter((F.size("before") < F.col("budget")) & (F.size("tokens") >= 4))
         .filter(~_repeats(row, F.col("before"), F.col("source_cap")))
     )
-    first = F.get(F.filter("before", lambda p: _duplicates(row, p)), F.lit(0))
+    first = F.get(F.filter("before", lambda p: is_duplicate(row, p)), F.lit(0))
     hits = (
         others.select("reader_id", first["item_id"].alias("item_id"))
         .filter("item_id is not null")

@@ -8,5 +8,6 @@ from newsloom.plans import (  # noqa: F401
     library_queries,
     scalars,
     story_queries,
+    stream_queries,
 )
 from newsloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsloom.functions import fixed, urls
+from newsloom.functions.text import bind
 
 # An item as the rules see it.
 ITEM_COLUMNS = [
@@ -56,11 +57,13 @@ def score(age: Column, is_starred: Column | None = None) -> Column:
         F.when(age < 3, 45).when(age < 8, 35).when(age < 18, 26).when(age < 36, 18)
         .when(age < 72, 8).when(age < 168, 2).otherwise(-15)
     )
-    depth = (
-        F.when(F.col("reading_minutes") >= 3, 12)
-        .when(F.col("reading_minutes") >= 1, 6)
-        .when(F.length("snippet") >= 140, 6)
-        .otherwise(0)
+    # Named once, so that a projection below is not repeated when Spark merges the two.
+    depth = bind(
+        F.struct("reading_minutes", F.length("snippet").alias("chars")),
+        lambda d: F.when(d["reading_minutes"] >= 3, 12)
+        .when(d["reading_minutes"] >= 1, 6)
+        .when(d["chars"] >= 140, 6)
+        .otherwise(0),
     )
     return (
         F.lit(40)

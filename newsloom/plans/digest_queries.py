@@ -25,7 +25,7 @@ _DIGESTS = f"""digests AS (
 
 def _hashed(spark, sf) -> DataFrame:
     items = derived.items(spark, sf).withColumn("snippet", F.lit(None).cast("string"))
-    return items.select("item_id", "published_at", digest.source_hash().alias("source_hash"))
+    return text.settle(items, source_hash=digest.source_hash()).select("item_id", "published_at", "source_hash")
 
 
 def _digests(hashed: DataFrame) -> DataFrame:

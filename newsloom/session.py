@@ -36,6 +36,13 @@ def run_dir(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss and cuts the lineage."""
+    """Reliable checkpoint: survives executor loss and cuts the lineage.
+
+    A checkpoint runs its plan once to count and once to write; holding the rows meanwhile saves
+    the second run. They are let go as soon as the files are there.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    held = df.persist()
+    out = held.checkpoint()
+    held.unpersist()
+    return out

@@ -130,3 +130,14 @@ def f8_may_alert(spark, sf):
   AND NOT {duck.clickbait("title")} AS may_alert FROM items_base""")
 def f9_title_may_alert(spark, sf):
     return derived.items(spark, sf).select("item_id", rules.title_may_alert(F.col("title")).alias("may_alert"))
+
+
+_UNREAD_WALK = _WALK.replace("AS score FROM items)", "AS score FROM items WHERE NOT is_read)")
+
+
+@query("a1_curated_unread", f"""{_UNREAD_WALK} SELECT reader_id, count(*) AS curated_unread FROM (
+  SELECT reader_id, item_id FROM picks UNION SELECT reader_id, item_id FROM scored WHERE is_starred) GROUP BY reader_id""")
+def a1_curated_unread(spark, sf):
+    """Badge of the curated feed: curation over the unread items alone."""
+    unread = derived.items(spark, sf).filter("not is_read")
+    return curate.curated(unread, derived.now()).groupBy("reader_id").agg(F.count("*").alias("curated_unread"))

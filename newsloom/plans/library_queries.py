@@ -348,10 +348,18 @@ def m5_folder_rename(spark, sf):
     CASE WHEN max_by(status, fetch_id) = 500 THEN 'status 500' END AS refresh_error, max_by(etag, fetch_id) FILTER (WHERE status = 200 AND etag IS NOT NULL) AS etag,
     count(*) FILTER (WHERE status = 500) AS failures FROM log GROUP BY feed_id""")
 def t2_refresh_state(spark, sf):
+    return merge.refresh_state(_fetch_log(spark, sf)).select(
+        "feed_id", derived.stamp("last_attempt").alias("last_attempt"), derived.stamp("last_success").alias("last_success"),
+        "refresh_error", "etag", "failures",
+    )
+
+
+def _fetch_log(spark, sf):
+    """The event log read as a log of fetches."""
     status = (
         F.when(F.col("event_type") == "click", 304).when(F.col("event_type") == "error", 500).otherwise(200)
     )
-    log = derived.table(spark, sf, "events").select(
+    return derived.table(spark, sf, "events").select(
         F.col("event_id").alias("fetch_id"),
         F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("feed_id"),
         F.col("ts").alias("fetched_at"), status.alias("status"),
@@ -359,10 +367,16 @@ def t2_refresh_state(spark, sf):
         F.lit(None).cast("string").alias("last_modified"),
         F.when(status == 500, F.lit("status 500")).alias("refresh_error"),
     )
-    return merge.refresh_state(log).select(
-        "feed_id", derived.stamp("last_attempt").alias("last_attempt"), derived.stamp("last_success").alias("last_success"),
-        "refresh_error", "etag", "failures",
-    )
+
+
+@query("t2_conditional_headers", """WITH log AS (SELECT event_id AS fetch_id, 'src' || (user_id % 20) AS feed_id,
+    CASE WHEN event_type IN ('view', 'purchase') THEN 'e' || event_id END AS etag FROM events WHERE event_type NOT IN ('click', 'error'))
+  SELECT l.feed_id, CASE WHEN d.feed_id IS NOT NULL THEN max_by(etag, fetch_id) FILTER (WHERE etag IS NOT NULL) END AS if_none_match, CAST(NULL AS VARCHAR) AS if_modified_since
+  FROM log l LEFT JOIN (SELECT DISTINCT source AS feed_id FROM documents WHERE lang = 'es') d ON d.feed_id = l.feed_id GROUP BY l.feed_id, d.feed_id""")
+def t2_conditional_headers(spark, sf):
+    """Validators go out only for feeds that have items (here: Spanish ones)."""
+    stocked = _items(spark, sf).filter("language = 'es'")
+    return merge.conditional_headers(merge.refresh_state(_fetch_log(spark, sf)), stocked)
 
 
 @query("c35_vip_lists", f"""SELECT reader_id, string_agg(upper(u), ',' ORDER BY upper(u)) AS encoded, count(*) AS n_feeds FROM (

@@ -89,7 +89,7 @@ def _corpus(spark, sf) -> DataFrame:
     """Clustering input with planted stories: five neighbours share the body vector of their anchor."""
     n = F.col("vec_id")
     own = derived.table(spark, sf, "embeddings").select(n, F.col("embedding").cast("array<double>").alias("headline"))
-    anchors = own.filter(n % 5 == 0).select((n / 5).cast("bigint").alias("anchor"), F.col("headline").alias("body"))
+    anchors = own.groupBy(F.floor(n / 5).alias("anchor")).agg(F.min_by("headline", n).alias("body"))
     rows = own.withColumn("anchor", F.floor(n / 5)).join(anchors, "anchor").select(
         (F.col("anchor") % 4).alias("corpus_id"), n.alias("item_id"),
         _at(7).alias("published_at"), F.concat(F.lit("p"), (n % 3).cast("string")).alias("publisher_key"),

@@ -208,12 +208,14 @@ def coverage(items: DataFrame, now: Column, picks: DataFrame) -> DataFrame:
     before = F.filter(
         "picks", lambda p: F.struct(-p["score"], -F.unix_micros(p["published_at"]), p["item_id"]) < rank
     )
-    others = (
+    joined = (
         candidates(items, now)
         .join(picks.select("reader_id", "item_id"), ["reader_id", "item_id"], "left_anti")
         .join(packed_picks(picks), "reader_id")
         .join(limits, "reader_id")
-        .withColumn("before", before)
+    )
+    others = (
+        text.settle(joined, before=before)
         .filter((F.size("before") < F.col("budget")) & (F.size("tokens") >= 4))
         .filter(~_repeats(row, F.col("before"), F.col("source_cap")))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def _words(df: DataFrame, keep: list[str], text_column: str) -> DataFrame:
     words = F.split(F.lower(text_column), r"[^\p{L}\p{M}\p{N}]+", -1)
-    return df.select(*keep, F.explode(F.filter(words, lambda w: w != "")).alias("word"))
+    return df.select(*keep, F.explode(words).alias("word")).filter("word != ''")
 
 
 def language_profile(labelled: DataFrame, text_column: str, language_column: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import bpe, language, quality, toxicity
+from newsloom.llm.near_duplicates import near_duplicates
 from newsloom.llm.sample import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +68,37 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = held_out("doc_id", 4, 2)
     model = quality.train(docs, table(spark, sf_dir, "labels"), ~held)
     return quality.quality(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words of a text in DuckDB: A-Z lower-cased, cut at ASCII white space.
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+')"
+
+NEAR_SQL = f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+sets AS (
+    SELECT doc_id, CASE
+        WHEN len(w) = 0 THEN []
+        WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+    FROM words),
+each_one AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+    SELECT a.doc_id AS x, b.doc_id AS y
+    FROM each_one a JOIN each_one b ON a.g = b.g AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM sets
+    UNION
+    SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.other = l.x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.other) AS component_id, s.doc_id = min(r.other) AS kept
+FROM sets s JOIN reach r ON r.doc_id = s.doc_id
+GROUP BY s.doc_id, s.s
+"""
+
+
+@query("op4_minhash", NEAR_SQL)
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of the documents: three-word shingles, 85 percent."""
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import bpe, language, quality, toxicity
+from newsloom.llm.containment import contained
+from newsloom.llm.licenses import NOTICES, license_scan, notices
 from newsloom.llm.near_duplicates import near_duplicates
 from newsloom.llm.sample import held_out
 
@@ -102,3 +104,63 @@ GROUP BY s.doc_id, s.s
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of the documents: three-word shingles, 85 percent."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+#: Runs of letters and digits in DuckDB, lower-cased.
+_ALNUM = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+
+
+def _runs(source: str, ident: str) -> str:
+    """Distinct and ordered five-word shingles of a table's texts, as ``s``; shorter texts are one."""
+    five = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(5))
+    return f"""
+    SELECT {ident}, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: {five}) END AS s
+    FROM (SELECT {ident}, {_ALNUM} AS w FROM {source} WHERE text IS NOT NULL AND {ident} IS NOT NULL) WHERE len(w) > 0"""
+
+
+CONTAMINATION_SQL = f"""
+WITH docs AS ({_runs('documents', 'doc_id')}), items AS ({_runs('benchmark', 'item_id')}),
+of_items AS (SELECT DISTINCT item_id, unnest(s) AS g FROM items),
+sizes AS (SELECT item_id, count(*) AS n FROM of_items GROUP BY item_id),
+of_docs AS (SELECT DISTINCT doc_id, unnest(s) AS g FROM docs)
+SELECT doc_id, item_id, count(*) AS n_shared, n AS n_shingles, count(*) / n AS containment
+FROM of_docs JOIN of_items USING (g) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id, n HAVING count(*) * 100 >= n * 80
+"""
+
+
+@query("op9_decontamination", CONTAMINATION_SQL)
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) of which the document holds 80 percent of the item's shingles."""
+    hits = contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    columns = [F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.col("n_shared").cast("long").alias("n_shared"), F.col("n_shingles").cast("long").alias("n_shingles")]
+    return hits.select(*columns, (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
+
+
+def _license_sql() -> str:
+    quoted = ", ".join("(" + str(i) + ", '" + a + "', '" + b.replace("'", "''") + "')" for i, (a, b) in enumerate(NOTICES))
+    return f"""
+WITH notices(item_id, license, text) AS (VALUES {quoted}),
+docs AS ({_runs('documents', 'doc_id')}), items AS ({_runs('notices', 'item_id')}),
+of_items AS (SELECT DISTINCT item_id, unnest(s) AS g FROM items),
+sizes AS (SELECT item_id, count(*) AS n, CASE WHEN count(*) >= 16 THEN 16 WHEN count(*) >= 4 THEN 4 ELSE 1 END AS least FROM of_items GROUP BY item_id),
+steps AS (SELECT least, (2 ^ ceil(log2(max(n))))::INT AS step FROM sizes GROUP BY least),
+parts AS (
+    SELECT doc_id, least, unnest(list_transform(range(0, greatest(ceil((len(s) - step) / step)::INT, 1)), lambda j: struct_pack(j := j, s := s[j * step + 1 : j * step + 2 * step]))) AS p
+    FROM docs, steps),
+of_parts AS (SELECT DISTINCT doc_id, least, p.j AS j, unnest(p.s) AS g FROM parts),
+hits AS (
+    SELECT doc_id, item_id, j, n, count(*) AS c
+    FROM of_parts JOIN of_items USING (g) JOIN sizes USING (item_id, least)
+    GROUP BY doc_id, item_id, j, n HAVING count(*) * 100 >= n * 80)
+SELECT doc_id, item_id, license, max(c) AS n_shared, n AS n_shingles, count(*) AS n_windows
+FROM hits JOIN notices USING (item_id) GROUP BY doc_id, item_id, license, n
+"""
+
+
+@query("op2_licenses", _license_sql())
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice found in every document."""
+    found = license_scan(table(spark, sf_dir, "documents"), notices(spark))
+    return found.select("doc_id", "item_id", "license", *[F.col(c).cast("long").alias(c) for c in ("n_shared", "n_shingles", "n_windows")])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import bpe, language, quality, toxicity
 from newsloom.llm.containment import contained
+from newsloom.llm.lattice import embedding_duplicates
 from newsloom.llm.licenses import NOTICES, license_scan, notices
 from newsloom.llm.near_duplicates import near_duplicates
 from newsloom.llm.sample import held_out
@@ -164,3 +165,25 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every license notice found in every document."""
     found = license_scan(table(spark, sf_dir, "documents"), notices(spark))
     return found.select("doc_id", "item_id", "license", *[F.col(c).cast("long").alias(c) for c in ("n_shared", "n_shingles", "n_windows")])
+
+
+EMBEDDING_SQL = """
+WITH RECURSIVE fit AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM fit a JOIN fit b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(vec_id, other) AS (
+    SELECT vec_id, vec_id FROM embeddings
+    UNION
+    SELECT r.vec_id, l.y FROM reach r JOIN links l ON r.other = l.x)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.x = e.vec_id) AS n_links, min(r.other) AS component_id, e.vec_id = min(r.other) AS kept
+FROM embeddings e JOIN reach r ON r.vec_id = e.vec_id GROUP BY e.vec_id
+"""
+
+
+@query("op7_lattice", EMBEDDING_SQL)
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all embeddings at cosine 0.95."""
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))

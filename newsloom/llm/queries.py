@@ -12,6 +12,7 @@ from newsloom.llm.containment import contained
 from newsloom.llm.lattice import embedding_duplicates
 from newsloom.llm.licenses import NOTICES, license_scan, notices
 from newsloom.llm.near_duplicates import near_duplicates
+from newsloom.llm.pitman_yor import pitman_yor_scores
 from newsloom.llm.sample import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +188,10 @@ FROM embeddings e JOIN reach r ON r.vec_id = e.vec_id GROUP BY e.vec_id
 def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all embeddings at cosine 0.95."""
     return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_pitman_yor")
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a model of nine tenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pitman_yor_scores(docs, held_out("doc_id", 10, 0))

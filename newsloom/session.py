@@ -31,8 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared folder for one run's tables or stream state."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh sub-folder of the shared folder for one run's tables or stream state.
+
+    It is removed when the driver ends, since results that read it may be asked for until then.
+    """
+    parent = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{parent}/run"
 
 
 def durable(df: DataFrame) -> DataFrame:

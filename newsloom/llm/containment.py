@@ -88,7 +88,7 @@ def _sketch(rows: DataFrame, fine: int) -> DataFrame:
     return ready.select("id", "part", "bits", F.explode(least).alias("hash"))
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast if it has few rows, else as it is."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -125,13 +125,13 @@ def contained(docs: DataFrame, items: DataFrame, cut=whole, size: int = 5, perce
     rows = shingled(docs, ident, text, size)
     found = None
     for own, fine, longest in _classes(known):
-        sketch = _small(_known_sketch(own))
+        sketch = small(_known_sketch(own))
         parts = _sketch(cut(rows, longest), fine)
         hits = parts.join(sketch, "hash").filter(F.col("bits") >= F.col("level"))
         candidates = durable(hits.select("id", "part", "item").distinct())
-        wanted = docs.join(_small(candidates.select(F.col("id").alias(ident)).distinct()), ident, "left_semi")
+        wanted = docs.join(small(candidates.select(F.col("id").alias(ident)).distinct()), ident, "left_semi")
         again = cut(shingled(wanted, ident, text, size), longest)
-        pairs = again.join(_small(candidates), ["id", "part"]).join(_small(own.select("item", F.col("shingles").alias("_known"), "n")), "item")
+        pairs = again.join(small(candidates), ["id", "part"]).join(small(own.select("item", F.col("shingles").alias("_known"), "n")), "item")
         shared = settled(pairs, n_shared=F.size(F.array_intersect("_known", "shingles")))
         matched = shared.filter(F.col("n_shared") * 100 >= F.col("n") * percent).select("id", "item", "part", "n_shared", "n")
         found = matched if found is None else found.unionByName(matched)
@@ -142,4 +142,4 @@ def contained(docs: DataFrame, items: DataFrame, cut=whole, size: int = 5, perce
 
 def without(docs: DataFrame, ids: DataFrame, ident: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose id is in ``ids`` (one column); rows without id stay."""
-    return docs.join(_small(ids.distinct()), ident, "left_anti")
+    return docs.join(small(ids.distinct()), ident, "left_anti")

@@ -142,4 +142,4 @@ def contained(docs: DataFrame, items: DataFrame, cut=whole, size: int = 5, perce
 
 def without(docs: DataFrame, ids: DataFrame, ident: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose id is in ``ids`` (one column); rows without id stay."""
-    return docs.join(small(ids.distinct()), ident, "left_anti")
+    return docs.join(small(ids.distinct()), ident, "left_anti").select(*docs.columns)

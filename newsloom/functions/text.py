@@ -77,9 +77,10 @@ def _scalar_value(number: Column) -> Column:
 def _entity_value(entity: Column) -> Column:
     body = entity.substr(F.lit(2), F.length(entity) - 2)
     named = literal_map(fixed.NAMED_ENTITIES)
-    short = F.length(body) <= 10
-    hexadecimal = F.conv(F.when(short, body.substr(F.lit(3), F.length(body))), 16, 10).cast("bigint")
-    decimal = F.when(short, body.substr(F.lit(2), F.length(body))).try_cast("bigint")
+    digits = F.regexp_replace(body, "^#x?0*(?=.)", "")
+    short = F.length(digits) <= 10  # more digits are no character
+    hexadecimal = F.conv(F.when(short, digits), 16, 10).cast("bigint")
+    decimal = F.when(short, digits).try_cast("bigint")
     decoded = (
         F.when(body.startswith("#x"), _scalar_value(hexadecimal))
         .when(body.startswith("#"), _scalar_value(decimal))
@@ -162,8 +163,11 @@ def title_similarity(left: Column, right: Column) -> Column:
 
 
 def _fold_table() -> tuple[str, str]:
+    """Every character that full canonical decomposition turns into one base character and marks."""
     source, target = [], []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+    for code in range(0xC0, 0x30000):
+        if 0xAC00 <= code <= 0xDFFF:  # syllables decompose into several letters, surrogates are none
+            continue
         char = chr(code)
         base = "".join(c for c in unicodedata.normalize("NFD", char) if not unicodedata.combining(c))
         if base != char and len(base) == 1:

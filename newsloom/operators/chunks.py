@@ -2,49 +2,50 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from newsloom.functions import fixed, text
 
 LIMIT = 1_200
 RETRY_LIMIT = 350
 
-_SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|\n+")
-
-
-def _pack(whole: str, limit: int) -> list[str]:
-    """Sentences joined up to ``limit`` characters; a longer sentence is cut hard."""
-    if len(whole) <= limit:
-        return [whole]
-    packed: list[str] = []
-    current = ""
-    for sentence in filter(None, (s.strip() for s in _SENTENCE_END.split(whole))):
-        if len(sentence) > limit:
-            cuts = [sentence[i : i + limit] for i in range(0, len(sentence), limit)]
-            packed += [current, *cuts[:-1]] if current else cuts[:-1]
-            current = cuts[-1]
-        elif not current:
-            current = sentence
-        elif len(current) + 1 + len(sentence) > limit:
-            packed.append(current)
-            current = sentence
-        else:
-            current = f"{current} {sentence}"
-    return [*packed, current] if current else packed or [whole]
+_BREAK = f"(?<={fixed.SENTENCE_END}){fixed.WHITESPACE}+|\n+"
 
 
-def chunk_rows(blocks: DataFrame, column: str, limit: int = LIMIT) -> DataFrame:
-    """One row per piece: all other columns, ``chunk_no`` and ``chunk``."""
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{fixed.WHITESPACE}+|{fixed.WHITESPACE}+$", "")
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pack(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else _pack(t, limit))
 
+def pieces(whole: Column, limit: int) -> Column:
+    """Sentences joined by a space up to ``limit`` characters; a longer sentence is cut hard.
+
+    The fold holds the finished pieces and the one still growing. A sentence that does not fit behind
+    it finishes it; of its own cuts, all but the last are finished too.
+    """
+    sentences = F.filter(F.transform(F.split(whole, _BREAK), _trimmed), lambda s: s != "")
+
+    def cuts(sentence: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.length(sentence) - 1) / limit).cast("int"))
+        return F.transform(starts, lambda i: F.substr(sentence, i * limit + 1, F.lit(limit)))
+
+    def step(state: Column, sentence: Column) -> Column:
+        grown = F.concat_ws(" ", state["open"], sentence)
+        fits = (state["open"] != "") & (F.length(grown) <= limit)
+        ready = F.concat(state["done"], F.filter(F.array(state["open"]), lambda o: o != ""))
+        parts = cuts(sentence)
+        split = F.struct(F.concat(ready, F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("done"), F.element_at(parts, -1).alias("open"))
+        return F.when(fits, F.struct(state["done"].alias("done"), grown.alias("open"))).otherwise(split)
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    packed = F.aggregate(sentences, start, step, lambda s: F.concat(s["done"], F.filter(F.array(s["open"]), lambda o: o != "")))
+    return F.when(F.length(whole) <= limit, F.array(whole)).otherwise(text.bind(packed, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(whole))))
+
+
+def chunk_rows(blocks: DataFrame, column: str, limit: int = LIMIT) -> DataFrame:
+    """One row per piece: all other columns, ``chunk_no`` and ``chunk``."""
     keep = [c for c in blocks.columns if c != column]
-    return blocks.select(*keep, F.posexplode(pack(column)).alias("chunk_no", "chunk"))
+    return blocks.select(*keep, F.posexplode(pieces(F.col(column), limit)).alias("chunk_no", "chunk"))
 
 
 def reassemble(chunks: DataFrame, translated: DataFrame, keys: list[str]) -> DataFrame:

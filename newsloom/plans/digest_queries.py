@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions import text
+from newsloom.functions import fixed, text
 from newsloom.operators import chunks, curate, digest, library, merge
 from newsloom.operators.ranking import top_k
 from newsloom.plans import derived, duck
@@ -74,11 +74,6 @@ def m4_stale_digests(spark, sf):
     return digest.stale_items(hashed, _digests(hashed), 3, "de").select("item_id")
 
 
-@query("m3_clear_derived", f"WITH {_HASHED}, {_DIGESTS} SELECT digest_id, item_id FROM digests WHERE false")
-def m3_clear_derived(spark, sf):
-    return merge.clear_derived(_digests(_hashed(spark, sf))).select("digest_id", "item_id")
-
-
 _TOP = f"""{_WALK}, {duck.FEEDS}, kept AS (SELECT reader_id, item_id FROM picks UNION SELECT reader_id, item_id FROM items WHERE is_starred),
   top AS (SELECT i.*, row_number() OVER (PARTITION BY i.reader_id ORDER BY published_at DESC, item_id) AS rank FROM items i JOIN kept USING (reader_id, item_id) WHERE NOT is_read QUALIFY rank <= 5)"""
 
@@ -139,7 +134,20 @@ def c37_chunk_summary(spark, sf):
     )
 
 
-@query("c37_chunks")
+_SENTENCES = f"""string_split_regex(regexp_replace(text, '({fixed.SENTENCE_END}){fixed.WHITESPACE}+', '\\1' || chr(10), 'g'), '\\n+')"""
+_PIECE_SQL = f"""WITH parts AS (
+    SELECT doc_id, text, list_transform(list_filter(list_transform({_SENTENCES}, lambda s: regexp_replace(s, '^{fixed.WHITESPACE}+|{fixed.WHITESPACE}+$', '', 'g')), lambda s: s <> ''),
+      lambda s: struct_pack(done := []::VARCHAR[], open := s)) AS p FROM documents),
+  folded AS (
+    SELECT doc_id, text, list_reduce(p, lambda acc, x: CASE
+      WHEN acc.open <> '' AND length(acc.open) + 1 + length(x.open) <= 350 THEN struct_pack(done := acc.done, open := acc.open || ' ' || x.open)
+      ELSE struct_pack(done := list_concat(list_concat(acc.done, CASE WHEN acc.open <> '' THEN [acc.open] ELSE [] END), list_transform(range(0, (length(x.open) - 1) // 350), lambda i: substr(x.open, i * 350 + 1, 350))),
+        open := substr(x.open, (length(x.open) - 1) // 350 * 350 + 1)) END, struct_pack(done := []::VARCHAR[], open := '')) AS f FROM parts),
+  pieces AS (SELECT doc_id, CASE WHEN length(text) <= 350 OR len(f.done) = 0 AND f.open = '' THEN [text] WHEN f.open = '' THEN f.done ELSE list_append(f.done, f.open) END AS c FROM folded)
+  SELECT doc_id, 0 AS block, unnest(range(0, len(c)))::INT AS chunk_no, unnest(c) AS chunk FROM pieces"""
+
+
+@query("c37_chunks", _PIECE_SQL)
 def c37_chunks(spark, sf):
     return _chunks(spark, sf).select("doc_id", "block", "chunk_no", "chunk")
 
@@ -155,10 +163,11 @@ def c38_reassembled_blocks(spark, sf):
     return done.select("doc_id", F.md5(F.regexp_replace("text", r"\s", "")).alias("letters"))
 
 
-@query("c38_untranslated_text", f"""SELECT doc_id, md5({duck.squash("text")}) AS digest FROM documents WHERE length(text) <= 350""")
+@query("c38_untranslated_text", """SELECT doc_id, length(text) <= 350 AS whole, md5(CASE WHEN length(text) <= 350 THEN text ELSE regexp_replace(text, '\\s', '', 'g') END) AS digest FROM documents""")
 def c38_untranslated_text(spark, sf):
-    """Texts of one piece come back exactly as they were."""
+    """Pieces put back without a translation: a text of one piece comes back as it was, the others with all their letters."""
     rows = _chunks(spark, sf)
-    single = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n = 1")
     done = chunks.reassemble(rows, rows.withColumn("translated", F.col("chunk")), ["doc_id", "block"])
-    return done.join(single.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.md5(text.squash(F.col("text"))).alias("digest"))
+    short = derived.table(spark, sf, "documents").select("doc_id", (F.length("text") <= chunks.RETRY_LIMIT).alias("whole"))
+    digest = F.md5(F.when(F.col("whole"), F.col("text")).otherwise(F.regexp_replace("text", r"\s", "")))
+    return done.join(short, "doc_id").select("doc_id", "whole", digest.alias("digest"))

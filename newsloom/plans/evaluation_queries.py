@@ -204,21 +204,21 @@ def s11_corpus_collection(spark, sf):
 
 
 _IDENT = "publisher_key || '|' || url"
-_UNIQUE = f"""{_COLLECTED}, first_per_feed AS (SELECT *, sha256({_IDENT}) AS id FROM collected WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY feed_id ORDER BY position) <= 100),
-  uniq AS (SELECT * FROM first_per_feed QUALIFY row_number() OVER (PARTITION BY publisher_key, lower(strip_accents(title)) ORDER BY published_at DESC,
+_UNIQUE = f"""{_COLLECTED}, titled AS (SELECT *, sha256({_IDENT}) AS id FROM collected WHERE title <> ''),
+  uniq AS (SELECT * FROM titled QUALIFY row_number() OVER (PARTITION BY publisher_key, lower(strip_accents(title)) ORDER BY published_at DESC,
     substr(id, 1, 12), '8' || substr(id, 14, 3)) = 1)"""
 
 
 @query("w5_distinct_titles", f"WITH {_UNIQUE} SELECT publisher_key, url FROM uniq")
 def w5_distinct_titles(spark, sf):
-    return corpus.distinct_stories(_collected(spark, sf)).select("publisher_key", "url")
+    return corpus.distinct_stories(_collected(spark, sf, None)).select("publisher_key", "url")
 
 
 @query("w6_balanced_sample", f"""WITH {_UNIQUE}, rounds AS (SELECT *, row_number() OVER (PARTITION BY publisher_key ORDER BY published_at DESC, id) AS round FROM uniq),
   chosen AS (SELECT * FROM rounds WHERE round <= 30 ORDER BY round, publisher_key LIMIT 200)
   SELECT publisher_key, url, round, row_number() OVER (ORDER BY published_at DESC, id) AS rank FROM chosen""")
 def w6_balanced_sample(spark, sf):
-    sample = corpus.balanced_sample(corpus.distinct_stories(_collected(spark, sf)), limit=200)
+    sample = corpus.balanced_sample(corpus.distinct_stories(_collected(spark, sf, None)), limit=200)
     return sample.select("publisher_key", "url", "round", "rank")
 
 
@@ -227,7 +227,7 @@ def w6_balanced_sample(spark, sf):
     (SELECT count(*) FROM uniq) AS unique_items, least(200, (SELECT count(*) FROM rounds WHERE round <= 30)) AS emitted_items""")
 def a20_collection_stats(spark, sf):
     fetched = derived.feeds(spark, sf).select("feed_id", F.when(~F.col("enabled"), F.lit("timeout")).alias("error"))
-    unique = corpus.distinct_stories(_collected(spark, sf))
+    unique = corpus.distinct_stories(_collected(spark, sf, None))
     return corpus.collection_stats(fetched, unique, corpus.balanced_sample(unique, limit=200))
 
 

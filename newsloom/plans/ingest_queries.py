@@ -137,7 +137,7 @@ def s1_quarantine(spark, sf):
 
 
 def _opml(spark, sf) -> DataFrame:
-    """One OPML document per 50 documents: a folder, a folder in it, and top-level feeds."""
+    """One OPML document per 50 documents: a folder, a folder eight levels below it, and top-level feeds."""
     n, num = F.col("doc_id"), F.col("doc_id").cast("string")
     outline = F.concat(
         F.lit('<outline type="rss" text="Feed '), num, F.lit('" '),
@@ -154,7 +154,7 @@ def _opml(spark, sf) -> DataFrame:
     label = F.col("id").cast("string")
     body = F.concat(
         F.lit('<?xml version="1.0"?><opml version="2.0"><head><title>s</title></head><body><outline text="Folder '), label, F.lit('">'),
-        "p0", F.lit('<outline title="Sub '), label, F.lit('" type="folder">'), "p1", F.lit("</outline></outline>"), "p2", F.lit("</body></opml>"),
+        "p0", F.lit('<outline text="Level">' * 7 + '<outline title="Sub '), label, F.lit('" type="folder">'), "p1", F.lit("</outline>" * 9), "p2", F.lit("</body></opml>"),
     )
     return grouped.select(F.col("id").alias("doc_id"), body.alias("body"))
 

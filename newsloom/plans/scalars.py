@@ -246,13 +246,15 @@ _VEC = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 _DOT = "list_sum(list_transform(list_zip(a, b), lambda z: z[1] * z[2]))"
 _LEN = "sqrt(list_sum(list_transform({0}, lambda x: x * x)))"
 _PAIRED = f"""paired AS (SELECT e.vec_id, {_VEC.replace("embedding", "e.embedding")} AS a, {_VEC.replace("embedding", "f.embedding")} AS b
-  FROM embeddings e JOIN embeddings f ON f.vec_id = e.vec_id + 1)"""
+  FROM embeddings e JOIN embeddings f ON f.vec_id = CASE WHEN e.vec_id = (SELECT max(vec_id) FROM embeddings) THEN (SELECT min(vec_id) FROM embeddings) ELSE e.vec_id + 1 END)"""
 
 
 def _paired(spark, sf):
-    """Each vector with its successor."""
+    """Each vector with its successor, the last with the first."""
     e = derived.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
-    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
+    ends = e.agg(F.min("vec_id").alias("first"), F.max("vec_id").alias("last")).withColumn("_one", F.lit(1))
+    before = F.when(F.col("vec_id") == F.col("first"), F.col("last")).otherwise(F.col("vec_id") - 1)
+    after = e.withColumn("_one", F.lit(1)).join(ends, "_one").select(before.alias("vec_id"), F.col("a").alias("b"))
     return e.join(after, "vec_id")
 
 

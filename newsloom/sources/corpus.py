@@ -138,8 +138,8 @@ def write_predictions(rows: DataFrame, path: str) -> None:
     ).write.json(path)
 
 
-def collect_items(parsed: DataFrame, cutoff: Column, per_feed: int = 100) -> DataFrame:
-    """Corpus rows of parsed feed items: titled, dated, recent; the first ``per_feed`` of each feed.
+def collect_items(parsed: DataFrame, cutoff: Column, per_feed: int | None = 100) -> DataFrame:
+    """Corpus rows of parsed feed items: titled, dated, recent; the first ``per_feed`` of each feed, or all.
 
     ``parsed``: feed_id, feed_url, position, title, summary, link, guid, source_url, date_text,
     language.
@@ -153,7 +153,7 @@ def collect_items(parsed: DataFrame, cutoff: Column, per_feed: int = 100) -> Dat
         "feed_id", "position", title.alias("title"), F.nullif(F.substring(summary, 1, 4000), F.lit("")).alias("summary"),
         publisher.alias("publisher_key"), parse_feed_date(c("date_text")).alias("published_at"), link.alias("url"), "language",
     ).filter((F.col("title") != "") & (F.col("published_at") >= cutoff))
-    first = top_k(rows, ["feed_id"], [F.col("position")], per_feed).drop("rank")
+    first = rows if per_feed is None else top_k(rows, ["feed_id"], [F.col("position")], per_feed).drop("rank")
     identity = F.concat_ws("|", "publisher_key", F.when(F.col("url") == "", F.col("title")).otherwise(F.col("url")))
     return first.withColumn("id", stable_id(identity))
 

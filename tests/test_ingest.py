@@ -79,14 +79,42 @@ def test_merge_knows_guid_link_and_time(spark):
     assert judged == {1: "dup_guid", 2: "dup_link", 3: "dup_fallback", 4: "inserted", 5: "inserted", 6: "noise", 7: "inserted"}
 
 
-def test_refresh_is_idempotent(spark, tmp_path):
+def test_repeated_batches_leave_the_same_tables(spark, tmp_path):
     run = refresh.refresh_batch(str(tmp_path))
-    run(payloads(spark, ("rss", RSS), ("bad", "<html></html>")), 0)
-    run(payloads(spark, ("rss", RSS), ("atom", ATOM)), 1)
-    items = spark.read.schema(refresh.ITEM_SCHEMA).parquet(f"{tmp_path}/items")
-    assert sorted(r.title for r in items.collect()) == ["A & B", "E1", "Two"]
+    long = RSS.replace("<title>Two</title>", "<title>A headline that is long enough to be sent</title>")
+    batches = [payloads(spark, ("rss", RSS), ("bad", "<html></html>")), payloads(spark, ("rss", long), ("atom", ATOM))]
+
+    def tables():
+        read = lambda df: sorted(map(str, df.collect()))
+        kept = [read(refresh.stored_items(spark, str(tmp_path)).drop("batch"))]
+        return kept + [read(refresh.newest(spark, f"{tmp_path}/{name}")) for name in ("snapshot", "unread")] + [read(spark.read.parquet(f"{tmp_path}/alerts"))]
+
+    for number, batch in enumerate(batches):
+        run(batch, number)
+        once = tables()
+        for gone in ("alerts", "snapshot", "unread", "items"):  # as if the batch had died before this write
+            (tmp_path / gone / f"batch={number}").rename(tmp_path / f"lost-{gone}-{number}")
+            run(batch, number)
+            assert tables() == once
+    items = refresh.stored_items(spark, str(tmp_path)).collect()
+    assert sorted(r.title for r in items)[:2] == ["A & B", "A headline that is long enough to be sent"]
+    assert all(r.discovered_at.replace(tzinfo=None) == FETCHED.replace(tzinfo=None) for r in items)
     assert spark.read.parquet(f"{tmp_path}/quarantine").first().reason == "unsupportedFormat"
-    assert spark.read.parquet(f"{tmp_path}/snapshot").count() == 3
+    counts = {r.feed_id: r.unread for r in refresh.newest(spark, f"{tmp_path}/unread").collect()}
+    assert sum(counts.values()) == len(items)
+
+
+def test_alerts_are_the_first_of_the_feed(spark):
+    rows = [(f"{9 - i}", "f", i, f"A plain headline number {i} of today", True) for i in range(9)]
+    items = spark.createDataFrame(rows, "item_id string, feed_id string, position int, title string, is_starred boolean")
+    items = items.withColumns({"is_vip": F.lit(True), "is_read": F.lit(False), "has_full_text": F.lit(False), "published_at": F.lit(FETCHED), "reading_minutes": F.lit(1), "snippet": F.lit("s"), "link": F.lit("https://e.com/x"), "summary": F.lit("s"), "content": F.lit("c"), "image_url": F.lit(None).cast("string"), "author": F.lit(None).cast("string")})
+    assert sorted(r.position for r in refresh.qualifying_alerts(items).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_deep_outlines(spark):
+    opml = "<opml><body>" + "".join(f'<outline text="L{i}">' for i in range(30)) + '<outline text="F" xmlUrl="u"/>' + "</outline>" * 30 + "</body></opml>"
+    found = feeds.subscriptions(spark.createDataFrame([(1, opml), (2, "<opml><body>"), (3, None)], "doc_id int, body string")).collect()
+    assert [(r.doc_id, r.title, r.xml_url, r.category) for r in found] == [(1, "F", "u", "L29")]
 
 
 def test_cadence():

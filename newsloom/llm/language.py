@@ -68,14 +68,15 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 256, ridge: float
     if not languages:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32))
     values, offsets = utf8(pa.array(texts, pa.large_string()))
-    rows = _unit(np.concatenate([presence(values[offsets[i] : offsets[i + 1]], offsets[i : i + 2] - offsets[i]) for i in range(len(texts))]))
     labels = np.array(labels)
     turn = np.zeros(len(labels), int)
     for language in languages:
         own = np.flatnonzero(labels == language)
         turn[own] = np.arange(len(own))
+    units = lambda rows: np.concatenate([_unit(presence(values[offsets[i] : offsets[i + 1]], offsets[i : i + 2] - offsets[i])) for i in rows])
     chosen = np.lexsort((np.arange(len(labels)), turn))[:landmarks]
-    own, kernel = rows[chosen], rows @ rows[chosen].T
+    own = units(chosen)
+    kernel = np.concatenate([units(range(a, min(a + _ROWS, len(labels)))) @ own.T for a in range(0, len(labels), _ROWS)])
     value, vector = np.linalg.eigh(own @ own.T)
     root = vector / np.sqrt(np.maximum(value, 1e-4 * value.max())) @ vector.T
     features = kernel @ root

@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Parts in which a label's rows are cut down before they meet.
+SALTS = 32
+
 
 def remainder(ident: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
@@ -40,8 +43,11 @@ def own_sample(docs: DataFrame, label: str, usable: Column, per_class: int, max_
 
 
 def _read(docs: DataFrame, fits: Column, marks: DataFrame, per_class: int, text: str, ident: str) -> pd.DataFrame:
-    order = Window.partitionBy("_label").orderBy(F.xxhash64(F.col(ident).cast("string")), F.col(ident).cast("string"))
-    taken = marks.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_class).drop("_n")
+    order = [F.xxhash64(F.col(ident).cast("string")), F.col(ident).cast("string")]
+    taken = marks.withColumn("_salt", F.pmod(F.xxhash64(F.col(ident).cast("string"), F.lit(1)), F.lit(SALTS)))
+    for keys in (["_label", "_salt"], ["_label"]):  # a frequent label is cut down in parts first
+        taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= per_class)
+    taken = taken.select(ident, "_label")
     texts = docs.filter(fits).select(F.col(ident), F.col(text).alias("_text")).join(F.broadcast(taken), ident)
     rows = texts.groupBy(ident, "_label").agg(F.min("_text").alias("text")).toPandas()
     rows["_order"] = rows[ident].astype(str)

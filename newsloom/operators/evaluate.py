@@ -63,15 +63,15 @@ def pairwise_quality(counts: DataFrame) -> DataFrame:
 def _language_pairs(table: DataFrame, keys: list[str], kind: str) -> DataFrame:
     """Article pairs per unordered language pair within groups of ``keys``.
 
-    Each group holds one entry per language, so the arrays are as short as the language list.
+    The groups' counts per language meet each other, so no group is gathered and no article is paired.
     """
-    sizes = table.groupBy(*keys, "language").agg(F.sum("n").alias("n"))
-    grouped = sizes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("language", "n"))).alias("xs"))
-    left = grouped.select("xs", F.posexplode("xs").alias("i", "a"))
-    both = left.select("a", "i", F.posexplode(F.slice("xs", F.col("i") + 1, F.size("xs"))).alias("j", "b"))
-    cross = (F.col("a.n").cast("decimal(19,0)") * F.col("b.n").cast("decimal(19,0)")).cast(_WIDE)
-    n = F.when(F.col("j") == 0, pairs(F.col("a.n"))).otherwise(cross)
-    return both.groupBy(F.concat_ws("|", "a.language", "b.language").alias("language_pair")).agg(
+    same = [*keys, "_one"]
+    sizes = table.groupBy(*keys, F.lit(1).alias("_one"), F.coalesce("language", F.lit("")).alias("language")).agg(F.sum("n").alias("n"))
+    other = sizes.select(*same, F.col("language").alias("language_b"), F.col("n").alias("n_b"))
+    both = sizes.join(other, same).filter("language <= language_b")
+    cross = (F.col("n").cast("decimal(19,0)") * F.col("n_b").cast("decimal(19,0)")).cast(_WIDE)
+    n = F.when(F.col("language") == F.col("language_b"), pairs(F.col("n"))).otherwise(cross)
+    return both.groupBy(F.concat_ws("|", "language", "language_b").alias("language_pair")).agg(
         F.sum(n).cast(_WIDE).alias("n")
     ).withColumn("kind", F.lit(kind))
 

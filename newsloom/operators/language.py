@@ -19,18 +19,23 @@ def language_profile(labelled: DataFrame, text_column: str, language_column: str
     return counts.join(totals, "language").select("language", "word", (F.col("n") / F.col("total")).alias("weight"))
 
 
+#: Rows up to which a profile is joined where the texts are (about 50 bytes each).
+MAP_SIDE_ROWS = 1_000_000
+
+
 def detect_language(df: DataFrame, id_column: str, text_column: str, profile: DataFrame) -> DataFrame:
     """Best language per row, ``und`` where no word is known.
 
-    Words are counted per row before the join, so a frequent word meets the profile once per row;
-    hot words are spread by the adaptive skew join.
+    A profile of measured size is joined where the texts are, and a task adds up its rows' votes, so
+    only a row and its languages are shuffled. With a larger profile words are counted per row first,
+    and hot words are spread by the adaptive skew join.
     """
-    counts = _words(df, [id_column], text_column).groupBy(id_column, "word").agg(F.count("*").alias("n"))
-    votes = (
-        counts.join(profile, "word")
-        .groupBy(id_column, "language")
-        .agg(F.round(F.sum(F.col("n") * F.col("weight")), 9).alias("vote"))
-    )
+    words = _words(df, [id_column], text_column)
+    if profile.limit(MAP_SIDE_ROWS + 1).count() <= MAP_SIDE_ROWS:
+        met = words.join(F.broadcast(profile), "word").withColumn("n", F.lit(1))
+    else:
+        met = words.groupBy(id_column, "word").agg(F.count("*").alias("n")).join(profile, "word")
+    votes = met.groupBy(id_column, "language").agg(F.round(F.sum(F.col("n") * F.col("weight")), 9).alias("vote"))
     best = votes.groupBy(id_column).agg(F.min_by("language", F.struct(-F.col("vote"), "language")).alias("detected"))
     return df.select(id_column).join(best, id_column, "left").select(
         id_column, F.coalesce("detected", F.lit("und")).alias("detected")

@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 from newsloom.session import durable
 
 
+#: Up to this many rows per group Spark cuts a group down in every task before it is shuffled.
+CUT_BY_SPARK = 1_000
+PARTS = 32
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of every group.
 
     ``row_number() <= k`` lets Spark keep only ``k`` rows per group in every task before the
-    shuffle, so a hot group never travels whole.
+    shuffle, so a hot group never travels whole. A larger ``k`` is first taken in parts of each group.
     """
+    if k > CUT_BY_SPARK:
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(PARTS))
+        inner = Window.partitionBy(*keys, "_part").orderBy(*order)
+        df = df.withColumn("_part", part).withColumn("_n", F.row_number().over(inner)).filter(F.col("_n") <= k).drop("_part", "_n")
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 

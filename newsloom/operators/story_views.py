@@ -5,7 +5,7 @@ Memberships are rows (story_id, item_id), never arrays: a story may hold a large
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
@@ -132,17 +132,25 @@ def readiness(words: Column, language: Column, pivot: str, translatable: Column)
     )
 
 
-def coverage_windows(assignments: DataFrame, length: str = "72 hours", slide: str = "1 hour") -> DataFrame:
-    """Distinct publishers per story in a sliding window, exact.
+def coverage_windows(assignments: DataFrame, length: int = 72 * 3600, slide: int = 3600) -> DataFrame:
+    """Distinct publishers per story in a sliding window of ``length`` seconds, exact.
 
-    Items are first reduced to one row per (story, publisher, slide step), then to distinct
-    publishers per window, so neither step holds a whole story.
+    A publisher's step h opens the windows that start in the ``length`` before it, less those its
+    previous step has opened: one +1 and one -1 per step. The running sum of a story's events is its number
+    of publishers, and only the windows of the result are written out.
     """
-    step = F.window("published_at", slide)["start"]
-    reduced = assignments.select("story_id", "publisher_key", step.alias("published_at")).distinct()
-    seen = reduced.select("story_id", "publisher_key", F.window("published_at", length, slide).alias("w")).distinct()
-    return seen.groupBy("story_id", "w").agg(F.count("*").alias("publisher_count")).select(
-        "story_id", F.col("w.start").alias("window_start"), "publisher_count"
+    reach = length // slide
+    step = F.floor(F.unix_seconds("published_at") / slide)
+    steps = assignments.select("story_id", "publisher_key", step.alias("h")).distinct()
+    before = F.lag("h").over(Window.partitionBy("story_id", "publisher_key").orderBy("h"))
+    opened = F.greatest(F.coalesce(before + 1, F.col("h") - (reach - 1)), F.col("h") - (reach - 1))
+    change = F.array(F.struct(opened.alias("at"), F.lit(1).alias("n")), F.struct((F.col("h") + 1).alias("at"), F.lit(-1).alias("n")))
+    events = steps.select("story_id", change.alias("c")).select("story_id", F.inline("c")).groupBy("story_id", "at").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("story_id").orderBy("at")
+    spans = events.select("story_id", "at", F.sum("n").over(order).alias("publisher_count"), F.lead("at").over(order).alias("until"))
+    starts = F.explode(F.sequence(F.col("at"), F.col("until") - 1)).alias("w")
+    return spans.filter("publisher_count > 0").select("story_id", starts, "publisher_count").select(
+        "story_id", F.timestamp_seconds(F.col("w") * slide).alias("window_start"), "publisher_count"
     )
 
 

@@ -102,6 +102,23 @@ def test_repeated_batches_leave_the_same_tables(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/quarantine").first().reason == "unsupportedFormat"
     counts = {r.feed_id: r.unread for r in refresh.newest(spark, f"{tmp_path}/unread").collect()}
     assert sum(counts.values()) == len(items)
+    states = {r.feed_id: r.refresh_error for r in refresh.newest(spark, f"{tmp_path}/state").collect()}
+    assert states == {"rss": None, "atom": None, "bad": "unsupportedFormat"}
+
+
+def test_refresh_keeps_state_readers_and_ledger(spark, tmp_path):
+    readers = spark.createDataFrame([("r1", "rss"), ("r2", "rss"), ("r2", "none")], "reader_id string, feed_id string")
+    run = refresh.refresh_batch(str(tmp_path), readers=readers)
+    noisy = RSS.replace("<title>Two</title>", "<title>Black Friday deals</title>")
+    schema = refresh.PAYLOAD_SCHEMA
+    run(spark.createDataFrame([("rss", FETCHED, noisy, 200, "e1", None), ("down", FETCHED, None, 503, "x", None)], schema), 0)
+    run(spark.createDataFrame([("rss", datetime(2024, 2, 2), None, 304, "e2", None)], schema), 1)
+    state = {r.feed_id: (r.etag, r.last_success is not None, r.refresh_error, r.failures) for r in refresh.newest(spark, f"{tmp_path}/state").collect()}
+    assert state == {"rss": ("e1", True, None, 0), "down": (None, False, "http 503", 1)}
+    assert {(r.reader_id, r.unread) for r in refresh.newest(spark, f"{tmp_path}/unread").collect()} == {("r1", 1), ("r2", 1)}
+    assert {r.reader_id for r in refresh.newest(spark, f"{tmp_path}/snapshot").collect()} == {"r1", "r2"}
+    assert [(r.feed_id, r.n) for r in spark.read.parquet(f"{tmp_path}/ledger").filter("n > 0").collect()] == [("rss", 1)]
+    assert [(r.feed_id, r.if_none_match) for r in refresh.validators(spark, str(tmp_path)).filter("if_none_match is not null").collect()] == [("rss", "e1")]
 
 
 def test_alerts_are_the_first_of_the_feed(spark):

@@ -50,8 +50,10 @@ def cosine_join(
     a = _blocked(left, keys, "l", "r", "left_id", sizes, block)
     b = _blocked(right, keys, "r", "l", "right_id", sizes, block)
 
-    def unit_rows(vectors: pd.Series) -> np.ndarray:
-        m = np.stack(vectors.to_numpy()).astype(float)
+    def unit_rows(vectors: pd.Series, width: int) -> np.ndarray:
+        m = np.zeros((len(vectors), width))
+        for row, vector in zip(m, vectors, strict=True):
+            row[: len(vector)] = vector
         length = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, length, out=np.full_like(m, np.nan), where=length > 0)
 
@@ -60,7 +62,10 @@ def cosine_join(
         if l.empty or r.empty:
             return empty
         r = r.sort_values("right_id").reset_index(drop=True)
-        s = unit_rows(l.vector) @ unit_rows(r.vector).T
+        sizes = [side.vector.map(len).to_numpy() for side in (l, r)]
+        width = max(sizes[0].max(), sizes[1].max())
+        s = unit_rows(l.vector, width) @ unit_rows(r.vector, width).T
+        s[sizes[0][:, None] != sizes[1][None, :]] = np.nan  # vectors of unequal length have no similarity
         apart = l.left_at.to_numpy()[:, None] - r.right_at.to_numpy()[None, :]
         s[apart < np.timedelta64(0)] = np.nan
         if span_seconds is not None:

@@ -75,9 +75,32 @@ def _cosine(a: np.ndarray | None, b: np.ndarray | None) -> float | None:
     return float(a @ b / length) if length > 0 else None
 
 
+def _stacked(vectors: list[np.ndarray]) -> np.ndarray:
+    """Vectors as rows, shorter ones filled up with NaN."""
+    out = np.full((len(vectors), max(map(len, vectors), default=0)), np.nan)
+    for row, vector in zip(out, vectors, strict=True):
+        row[: len(vector)] = vector
+    return out
+
+
+def _appended(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    wider = max(0, len(vector) - matrix.shape[1])
+    padded = np.pad(matrix, ((0, 0), (0, wider)), constant_values=np.nan)
+    return np.vstack([padded, np.pad(vector, (0, padded.shape[1] - len(vector)), constant_values=np.nan)])
+
+
 def _cosines(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
-    length = np.linalg.norm(matrix, axis=1) * np.linalg.norm(vector)
-    return np.divide(matrix @ vector, length, out=np.full(len(matrix), -1.0), where=length > 0)
+    """Cosine with every row; -1 for a row of another length or of length zero."""
+    out, n = np.full(len(matrix), -1.0), len(vector)
+    if not 0 < n <= matrix.shape[1]:
+        return out
+    same = ~np.isnan(matrix[:, n - 1])
+    if n < matrix.shape[1]:
+        same &= np.isnan(matrix[:, n])
+    rows = matrix[:, :n] if same.all() else matrix[same, :n]
+    length = np.linalg.norm(rows, axis=1) * np.linalg.norm(vector)
+    out[same] = np.divide(rows @ vector, length, out=np.full(len(rows), -1.0), where=length > 0)
+    return out
 
 
 def fold(items: pd.DataFrame, stories: list[Story], threshold: float, window_us: int) -> tuple[list[dict], list[Story]]:
@@ -85,8 +108,8 @@ def fold(items: pd.DataFrame, stories: list[Story], threshold: float, window_us:
     rows = []
     floor = threshold - fixed.COHESION_SLACK
     seq = max((s.seq for s in stories), default=-1) + 1
-    centroids = np.array([s.combined for s in stories])
-    firsts = np.array([s.representative for s in stories])
+    centroids = _stacked([s.combined for s in stories])
+    firsts = _stacked([s.representative for s in stories])
     for item in items.itertuples(index=False):
         keep = [k for k, s in enumerate(stories) if item.at_us - s.updated_us <= window_us]
         if len(keep) < len(stories):
@@ -140,7 +163,7 @@ def fold(items: pd.DataFrame, stories: list[Story], threshold: float, window_us:
         if best is not None:
             story, similarity = stories[best], float(to_centroid[best])
             story.add(item)
-            centroids[best] = story.combined
+            centroids[best, : len(story.combined)] = story.combined
         else:
             similarity = float(to_centroid.max()) if stories else None
             story = Story(
@@ -149,8 +172,7 @@ def fold(items: pd.DataFrame, stories: list[Story], threshold: float, window_us:
             )
             seq += 1
             stories = [*stories, story]
-            centroids = np.vstack([centroids.reshape(-1, len(item.combined)), item.combined])
-            firsts = np.vstack([firsts.reshape(-1, len(item.combined)), item.combined])
+            centroids, firsts = _appended(centroids, item.combined), _appended(firsts, item.combined)
         rows.append({
             "item_id": item.item_id, "story_id": story.story_id, "similarity": similarity,
             "publisher_count": len(story.publishers), "diagnostics": diagnostics,

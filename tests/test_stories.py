@@ -146,3 +146,15 @@ def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 2), (9, 8), (7, 9), (2, 1), (20, 21)]
     found = {r.node: r.component for r in similarity.components(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7, 20: 20, 21: 20}
+
+
+def test_vectors_of_unequal_length_have_no_similarity(spark):
+    given = [(1, angle(0)), (2, angle(0) + [0.0]), (3, angle(1)), (4, angle(1) + [0.0]), (5, [1.0])]
+    left = spark.createDataFrame([("c", i, v, START) for i, v in given], "corpus_id string, left_id int, vector array<double>, left_at timestamp")
+    right = left.withColumnsRenamed({"left_id": "right_id", "left_at": "right_at"})
+    found = similarity.cosine_join(left, right, ["corpus_id"], threshold=0.9).filter("left_id < right_id").collect()
+    assert {(r.left_id, r.right_id) for r in found} == {(1, 3), (2, 4)}
+    items = [(1, i, START + timedelta(hours=i), f"p{i}", v, None, []) for i, v in given]
+    frame = stories.with_vectors(spark.createDataFrame(items, SCHEMA))
+    groups = {r.item_id: r.story_id for r in stories.assign_stories(frame, 0.9, 100 * HOUR).collect()}
+    assert groups[1] == groups[3] and groups[2] == groups[4] and len(set(groups.values())) == 3

@@ -12,8 +12,6 @@ shares with the next smaller hash, so one sketch row with that level serves text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,23 +67,21 @@ def _level(this: Column, before: Column) -> Column:
 
 
 def _known_sketch(known: DataFrame) -> DataFrame:
-    """(item, hash, level): every shingle with the bits from which it is in the sketch."""
-    ordered = settled(known.select("item", "shingles"), ordered=F.sort_array("shingles")).select("item", "ordered")
-    each = ordered.select("item", "ordered", F.posexplode("ordered").alias("at", "hash"))
+    """(item, least, hash, level): every shingle with the bits from which it is in the sketch."""
+    ordered = settled(known.select("item", "least", "shingles"), ordered=F.sort_array("shingles")).select("item", "least", "ordered")
+    each = ordered.select("item", "least", "ordered", F.posexplode("ordered").alias("at", "hash"))
     before = F.when(F.col("at") > 0, F.element_at("ordered", F.greatest(F.col("at"), F.lit(1))))
-    return each.select("item", "hash", F.coalesce(_level(F.col("hash"), before), F.lit(0)).alias("level"))
+    return each.select("item", "least", "hash", F.coalesce(_level(F.col("hash"), before), F.lit(0)).alias("level"))
 
 
-def _sketch(rows: DataFrame, fine: int) -> DataFrame:
-    """(id, part, hash, bits): the smallest hash of each bin of every row."""
-    bits = F.least(F.lit(62), F.ceil(F.log2(F.size("shingles"))).cast("int") + fine)
-    ordered = settled(rows.select("id", "part", bits.alias("bits"), "shingles"), ordered=F.sort_array("shingles")).select("id", "part", "bits", "ordered")
-    shift = (F.lit(64) - F.col("bits")).alias("shift")
-    ready = settled(ordered, shift=shift)
+def _sketch(parts: DataFrame) -> DataFrame:
+    """(id, least, part, hash, bits): the smallest hash of each bin of every part."""
+    bits = F.least(F.lit(62), F.ceil(F.log2(F.size("shingles"))).cast("int") + F.col("fine"))
+    ordered = settled(parts.select("id", "least", "part", bits.alias("bits"), "shingles"), ordered=F.sort_array("shingles"), shift=F.lit(64) - F.col("bits"))
     bin_of = lambda x: F.call_function("shiftright", x, F.col("shift"))
     new = lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get("ordered", i - 1)))
     least = F.when(F.col("bits") == 0, F.slice("ordered", 1, 1)).otherwise(F.filter("ordered", new))
-    return ready.select("id", "part", "bits", F.explode(least).alias("hash"))
+    return ordered.select("id", "least", "part", "bits", F.explode(least).alias("hash"))
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -93,23 +89,27 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def whole(rows: DataFrame, longest: int) -> DataFrame:
+def whole(shingles: Column, longest: int) -> Column:
     """Every row as one part."""
-    return rows.select("id", F.lit(0).alias("part"), "shingles")
+    return F.array(shingles)
 
 
-def windows(rows: DataFrame, longest: int) -> DataFrame:
+def windows(shingles: Column, longest: int) -> Column:
     """Overlapping parts: a known text of up to ``longest`` shingles lies whole in one of them."""
     step = max(1, longest)
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size("shingles") - step) / step).cast("int") - 1, F.lit(0)))
-    cut = F.transform(starts, lambda i: F.slice("shingles", i * step + 1, 2 * step))
-    return rows.select("id", F.posexplode(cut).alias("part", "shingles"))
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size(shingles) - step) / step).cast("int") - 1, F.lit(0)))
+    return F.transform(starts, lambda i: F.slice(shingles, i * step + 1, 2 * step))
+
+
+def _parts(rows: DataFrame, classes: list, cut) -> DataFrame:
+    """(id, least, fine, part, shingles): the parts of every row for each size class, in one pass."""
 
+    def of_class(c) -> Column:
+        least, fine = F.lit(c["least"]).alias("least"), F.lit(c["fine"]).alias("fine")
+        longest = 1 << (c["longest"] - 1).bit_length()
+        return F.transform(cut(F.col("shingles"), longest), lambda s, i: F.struct(least, fine, i.alias("part"), s.alias("shingles")))
 
-def _classes(known: DataFrame) -> Iterator[tuple[DataFrame, int, int]]:
-    """The known texts of each class that has any, its bins per shingle, and its longest text's power of two."""
-    for row in known.groupBy("least", "fine").agg(F.max("n").alias("longest")).orderBy("least").collect():
-        yield known.filter(F.col("least") == row["least"]), row["fine"], 1 << (row["longest"] - 1).bit_length()
+    return rows.select("id", F.inline(F.concat(*map(of_class, classes))))
 
 
 def contained(docs: DataFrame, items: DataFrame, cut=whole, size: int = 5, percent: int = 80, text: str = "text", ident: str = "doc_id", item_text: str = "text", item_ident: str = "item_id") -> DataFrame:
@@ -123,21 +123,18 @@ def contained(docs: DataFrame, items: DataFrame, cut=whole, size: int = 5, perce
     """
     known = durable(known_texts(items, item_ident, item_text, size))
     rows = shingled(docs, ident, text, size)
-    found = None
-    for own, fine, longest in _classes(known):
-        sketch = small(_known_sketch(own))
-        parts = _sketch(cut(rows, longest), fine)
-        hits = parts.join(sketch, "hash").filter(F.col("bits") >= F.col("level"))
-        candidates = durable(hits.select("id", "part", "item").distinct())
-        wanted = docs.join(small(candidates.select(F.col("id").alias(ident)).distinct()), ident, "left_semi")
-        again = cut(shingled(wanted, ident, text, size), longest)
-        pairs = again.join(small(candidates), ["id", "part"]).join(small(own.select("item", F.col("shingles").alias("_known"), "n")), "item")
-        shared = settled(pairs, n_shared=F.size(F.array_intersect("_known", "shingles")))
-        matched = shared.filter(F.col("n_shared") * 100 >= F.col("n") * percent).select("id", "item", "part", "n_shared", "n")
-        found = matched if found is None else found.unionByName(matched)
-    if found is None:
-        found = known.join(rows.select("id", F.lit(0).alias("part"), F.lit(0).alias("n_shared")), F.lit(False)).select("id", "item", "part", "n_shared", "n")
-    return found.groupBy("id", "item").agg(F.max("n_shared").alias("n_shared"), F.max("n").alias("n_shingles"), F.countDistinct("part").alias("n_parts"))
+    classes = known.groupBy("least", "fine").agg(F.max("n").alias("longest")).orderBy("least").collect()
+    if not classes:
+        classes = [{"least": 1, "fine": 0, "longest": 1}]
+    hits = _sketch(_parts(rows, classes, cut)).join(small(_known_sketch(known)), ["least", "hash"]).filter("bits >= level")
+    candidates = durable(hits.select("id", "least", "part", "item").distinct())
+    wanted = docs.join(small(candidates.select(F.col("id").alias(ident)).distinct()), ident, "left_semi")
+    again = _parts(shingled(wanted, ident, text, size), classes, cut).drop("fine")
+    exact = known.select("item", "least", F.col("shingles").alias("_known"), "n")
+    pairs = again.join(small(candidates), ["id", "least", "part"]).join(small(exact), ["item", "least"])
+    shared = settled(pairs, n_shared=F.size(F.array_intersect("_known", "shingles")))
+    matched = shared.filter(F.col("n_shared") * 100 >= F.col("n") * percent)
+    return matched.groupBy("id", "item").agg(F.max("n_shared").alias("n_shared"), F.max("n").alias("n_shingles"), F.countDistinct("least", "part").alias("n_parts"))
 
 
 def without(docs: DataFrame, ids: DataFrame, ident: str = "doc_id") -> DataFrame:

@@ -49,8 +49,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, and whether these decode to the very text."""
-    coded = bpe.with_tokens(docs, bpe.load(tokenizer_file()), ids="ids", decoded="decoded")
-    return coded.withColumn("lossless", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
+    return bpe.with_tokens(docs, bpe.load(tokenizer_file()), ids="ids", lossless="lossless")
 
 
 STAGES = [

@@ -36,7 +36,7 @@ class ByteBpe:
     tokenizers library does. ``held`` pieces are remembered at most, then the memory starts anew.
     """
 
-    def __init__(self, spec: dict, held: int = 400_000):
+    def __init__(self, spec: dict, held: int = 200_000):
         letters = _byte_letters()
         back = {c: b for b, c in letters.items()}
         vocab = spec["model"]["vocab"]
@@ -161,47 +161,40 @@ def load(path: str) -> ByteBpe:
         return ByteBpe(json.load(file))
 
 
-def with_tokens(docs: DataFrame, bpe: ByteBpe, text: str = "text", ids: str | None = None, decoded: str | None = None, digests: bool = False) -> DataFrame:
-    """``docs`` with ``n_tokens`` and, where named, the ids (array<int>) and the decoded text.
+def with_tokens(docs: DataFrame, bpe: ByteBpe, text: str = "text", ids: str | None = None, decoded: str | None = None, lossless: str | None = None, digests: bool = False) -> DataFrame:
+    """``docs`` with ``n_tokens`` and, where named, the ids (array<int>), the decoded text, and whether it is the text.
 
     With ``digests`` also ``ids_sha256`` and ``decoded_sha256``. A null or empty text has no tokens.
     Rows keep all their columns and stay on their partition; a column of a name that is added is
-    replaced. Whole texts are encoded; the vocabulary travels as one broadcast of a few MB.
+    replaced. Whole texts are encoded and given back a block of about a megabyte at a time; the
+    vocabulary travels as one broadcast of a few MB.
     """
-    added = [T.StructField("n_tokens", T.LongType())]
-    added += [T.StructField(ids, T.ArrayType(T.IntegerType()))] if ids else []
-    added += [T.StructField(decoded, T.StringType())] if decoded else []
-    added += [T.StructField(c, T.StringType()) for c in ("ids_sha256", "decoded_sha256")] if digests else []
-    names = {f.name.lower() for f in added}
+    added = [("n_tokens", T.LongType(), pa.int64(), lambda m, x, t: len(x) // 4)]
+    added += [(ids, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), lambda m, x, t: np.frombuffer(x, "<i4"))] if ids else []
+    added += [(decoded, T.StringType(), pa.string(), lambda m, x, t: m.decode(x))] if decoded else []
+    added += [(lossless, T.BooleanType(), pa.bool_(), lambda m, x, t: m.decode(x) == t)] if lossless else []
+    if digests:
+        added += [("ids_sha256", T.StringType(), pa.string(), lambda m, x, t: hashlib.sha256(x).hexdigest())]
+        added += [("decoded_sha256", T.StringType(), pa.string(), lambda m, x, t: hashlib.sha256(m.decode(x).encode()).hexdigest())]
+    names = {name.lower() for name, *_ in added}
     rest = [c for c in docs.columns if c.lower() not in names or c == text]
-    source = docs.select(*[docs[c] for c in rest])
+    source = docs.select(*[docs[f"`{c}`"] for c in rest])
     kept = [c for c in rest if c.lower() not in names]
-    schema = T.StructType([source.schema[c] for c in kept] + added)
+    schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(name, kind) for name, kind, *_ in added])
+    at, fields = rest.index(text), [f.name for f in schema]
+    keep_at = [rest.index(c) for c in kept]
+    makers = [(kind, make) for _, _, kind, make in added]
     shared = docs.sparkSession.sparkContext.broadcast(bpe)
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            column = batch.column(rest.index(text)).cast(pa.large_string()).fill_null("")
-            counts, coded, plain, digest, digest_plain = [], [], [], [], []
+            column = batch.column(at).cast(pa.large_string()).fill_null("")
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
             for a, b in blocks(offsets):
                 texts = column.slice(a, b - a).to_pylist()
-                for x in model.encode(texts):
-                    counts.append(len(x) // 4)
-                    if ids:
-                        coded.append(np.frombuffer(x, "<i4"))
-                    if decoded or digests:
-                        y = model.decode(x)
-                        if decoded:
-                            plain.append(y)
-                        if digests:
-                            digest.append(hashlib.sha256(x).hexdigest())
-                            digest_plain.append(hashlib.sha256(y.encode()).hexdigest())
-            columns = [batch.column(rest.index(c)) for c in kept] + [pa.array(counts, pa.int64())]
-            columns += [pa.array(coded, pa.list_(pa.int32()))] if ids else []
-            columns += [pa.array(plain, pa.string())] if decoded else []
-            columns += [pa.array(digest, pa.string()), pa.array(digest_plain, pa.string())] if digests else []
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+                coded = model.encode(texts)
+                new = [pa.array([make(model, x, t) for x, t in zip(coded, texts, strict=True)], kind) for kind, make in makers]
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in keep_at] + new, names=fields)
 
     return source.mapInArrow(run, schema)

@@ -13,7 +13,7 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 #: Everything but ASCII letters, digits and bytes of longer characters.
 SYMBOLS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _STEP = 0x9E3779B97F4A7C15
 
 

@@ -11,7 +11,6 @@ confirmed or refuted on the full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -21,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.llm.containment import small as bounded
 from newsloom.llm.words import blocks, constants, hashed_words, mix, shingle_sets, utf8
 from newsloom.operators.similarity import components
 from newsloom.session import durable
@@ -28,6 +28,9 @@ from newsloom.session import durable
 CHUNKS, PER_CHUNK = 8, 4
 SYMBOLS = CHUNKS * PER_CHUNK
 MISS = 1e-5
+#: Classes that are compared with each other in one step, and shingles taken at a time.
+TILE = 512
+_SLICE = 4096
 _PARTS = [f"_s{i}" for i in range(CHUNKS)]
 _LANE = 0xFFFF
 
@@ -63,14 +66,6 @@ def _keys(r: int) -> Column:
     return F.array(*out)
 
 
-def _distance(left: str, right: str) -> Column:
-    lanes = []
-    for part in _PARTS:
-        x = F.col(f"{left}.{part}").bitwiseXOR(F.col(f"{right}.{part}"))
-        lanes += [(x.bitwiseAND(F.lit(_signed(_LANE << 16 * k))) != 0).cast("int") for k in range(PER_CHUNK)]
-    return reduce(lambda a, b: a + b, lanes)
-
-
 def _block_sets(column: pa.Array, size: int) -> Iterator[list[np.ndarray]]:
     values, offsets = utf8(column)
     for a, b in blocks(offsets):
@@ -120,21 +115,65 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("right")), "b")
+def _links(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> np.ndarray:
+    """For each set the first one of its component among these; links have 100 * shared >= percent * all.
+
+    Shared shingles of all pairs are one product of the 0/1 matrix of sets by shingles, taken a slice
+    of shingles at a time. If there are two sides, only pairs across count.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, common = np.repeat(np.arange(len(sets)), sizes), counts[column] > 1
+    row, column = row[common], (np.cumsum(counts > 1) - 1)[column[common]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, _SLICE):
+        here = slice(*np.searchsorted(column, [start, start + _SLICE]))
+        part = np.zeros((len(sets), _SLICE), np.float32)
+        part[row[here], column[here] - start] = 1
+        shared += part @ part.T
+    linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+    if len(set(sides.tolist())) > 1:
+        linked &= sides[:, None] != sides[None, :]
+    np.fill_diagonal(linked, True)
+    label = np.arange(len(sets))
+    while True:
+        low = np.where(linked, label[None, :], len(sets)).min(1)
+        if (low == label).all():
+            return label
+        label = low[low]
+
+
+def _tile_links(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that span the components of each pair of tiles; ``dealt`` is in order of the pairs."""
+    kind = dealt.schema["rep"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
     def run(batches):
+        held, current = [], None
+
+        def done():
+            rep = pa.chunked_array([x for x, _, _ in held]).combine_chunks()
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for _, column, _ in held for s in column]
+            label = _links(sets, np.concatenate([side for _, _, side in held]), percent)
+            other = np.flatnonzero(label != np.arange(len(sets)))
+            return pa.RecordBatch.from_arrays([rep.take(pa.array(other)), rep.take(pa.array(label[other]))], names=["a", "b"])
+
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            mask = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            low, high, side = (batch.column(c).to_numpy() for c in ("low", "high", "side"))
+            begin = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+            for start, stop in zip(begin.tolist(), [*begin[1:].tolist(), len(low)], strict=True):
+                if held and (low[start], high[start]) != current:
+                    yield done()
+                    held = []
+                current = (low[start], high[start])
+                part = batch.slice(start, stop - start)
+                held.append((part.column("rep"), part.column("set"), side[start:stop]))
+        if held:
+            yield done()
 
-    return both.select("a", "b", "left", "right").mapInArrow(run, pairs.select("a", "b").schema)
+    return dealt.select("low", "high", "side", "rep", "set").mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -145,72 +184,53 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     component is named after its smallest id. Rows with the same id are one document. A row
     without id takes no part: its component_id is null and it is kept.
 
-    Equal sets become one class first, so exact copies cost one row each. Classes that meet on a key
-    are compared with one leader per key, whoever is not yet in its component with further leaders,
-    and what still lies in different components of one key is compared in full. Nothing is capped;
-    only classes that meet another have their texts read again.
+    Equal sets become one class first, so exact copies cost one row each. Classes that meet on a key, directly
+    or through others, are a family. A family is one tile, or several of at most about ``TILE`` classes
+    in order of its most common keys; two tiles are compared if some key occurs in both. A comparison counts
+    shared shingles of all its pairs at once and gives out only links that span its components, so no
+    pair is written. Nothing is capped; only classes that meet another have their texts read again.
     """
     given = docs.select(docs[ident].alias("id"), docs[text].alias("text"))
     rows = durable(sketches(given, size))
     part = rows.filter(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     same = ["n_shingles", "_da", "_db"]
     classes = durable(part.groupBy(*same).agg(F.min("id").alias("rep"), *[F.max(s).alias(s) for s in _PARTS]))
-    r = radius(percent / 100)
-    keyed = classes.select("rep", F.explode(_keys(r)).alias("key"))
+    keyed = classes.select("rep", F.explode(_keys(radius(percent / 100))).alias("key"))
     met = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("first")).filter("n > 1")
-    shared = durable(keyed.join(met.select("key", "first"), "key"))
-    if shared.isEmpty():
-        labels = classes.select(F.col("rep").alias("node"), F.col("rep").alias("label")).limit(0)
-        return _result(rows, classes, labels, ident)
-    nodes = durable(shared.select(F.col("rep").alias("node")).distinct())
-    sets = durable(_sets(given.join(nodes.withColumnRenamed("node", "id"), "id").select("id", "text"), size))
-    drawn = classes.select("rep", *_PARTS).join(nodes.withColumnRenamed("node", "rep"), "rep")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose signatures are within the radius."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-        sides = pairs.join(drawn.alias("x"), F.col("a") == F.col("x.rep")).join(drawn.alias("y"), F.col("b") == F.col("y.rep"))
-        return sides.filter(_distance("x", "y") <= r).select("a", "b").distinct()
-
-    checked = durable(near(shared.select(F.col("first").alias("a"), F.col("rep").alias("b"))))
-    labels = nodes.withColumn("label", F.col("node"))
-    labels = _merged(labels, durable(_confirmed(checked, sets, percent)))
-    for turn in (*range(1, 4), None):
-        here = shared.join(labels, F.col("rep") == F.col("node")).select("key", "rep", "label")
-        split = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        if turn is None:
-            open_keys = durable(here.join(split.select("key"), "key"))
-            if open_keys.isEmpty():
-                break
-            left, right = open_keys.alias("x"), open_keys.alias("y")
-            pairs = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")))
-            pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        else:
-            some = here.filter(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(4)) == 0).join(split.select("key"), "key")
-            leader = some.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "label")).alias("l"))
-            pairs = some.join(leader, "key").filter("label <> l.label").select(F.col("l.rep").alias("a"), F.col("rep").alias("b"))
-        fresh = durable(near(pairs).join(checked, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            continue
-        labels = _merged(labels, durable(_confirmed(fresh, sets, percent)))
-        checked = checked.unionByName(fresh)
-    return _result(rows, classes, labels, ident)
-
-
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (node, label) after the components that ``links`` (a, b) touch are joined."""
-    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"_{side}"))
-    edges = durable(links.join(of("a"), "a").join(of("b"), "b").filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
-    if edges.isEmpty():
-        return labels
-    moved = components(edges).select(F.col("node").alias("label"), "component")
-    return durable(labels.join(moved, "label", "left").select("node", F.coalesce("component", "label").alias("label")))
+    shared = durable(keyed.join(met, "key"))
+    tiles = _tiles(shared)
+    sets = _sets(given.join(bounded(tiles.select(F.col("rep").alias("id")).distinct()), "id", "left_semi"), size)
+    present = shared.join(tiles, "rep").select("key", "tile").distinct()
+    meeting = present.alias("x").join(present.alias("y"), "key").filter("x.tile <= y.tile").select(F.col("x.tile").alias("low"), F.col("y.tile").alias("high")).distinct()
+    both = F.when(F.col("low") == F.col("high"), F.array("low")).otherwise(F.array("low", "high"))
+    sides = meeting.select("low", "high", F.posexplode(both).alias("side", "tile"))
+    dealt = sides.join(tiles, "tile").join(sets.withColumnRenamed("id", "rep"), "rep")
+    links = _tile_links(dealt.repartition("low", "high").sortWithinPartitions("low", "high"), percent)
+    return _result(rows, classes, components(links), ident)
+
+
+def _tiles(shared: DataFrame) -> DataFrame:
+    """(rep, tile) from (key, rep, n, first): families, the large ones in parts of about ``TILE`` classes.
+
+    A class of a large family belongs to its most common key. A key with many such classes has tiles of
+    its own; the other keys of the family share tiles, each key whole in one of them.
+    """
+    families = components(shared.select(F.col("first").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct())
+    sizes = families.groupBy("component").agg(F.count("*").alias("members"))
+    homes = shared.groupBy("rep").agg(F.max(F.struct("n", "key")).getField("key").alias("home"))
+    placed = families.join(sizes, "component").join(homes, F.col("node") == F.col("rep")).select("rep", "component", "members", "home")
+    crowd = placed.filter(F.col("members") > TILE).groupBy("component", "home").agg(F.count("*").alias("crowd"))
+    placed = placed.join(crowd, ["component", "home"], "left")
+    own = F.xxhash64("component", "home", F.pmod(F.xxhash64("rep"), F.ceil(F.col("crowd") / TILE)))
+    common = F.xxhash64("component", F.pmod(F.xxhash64("home"), F.ceil(F.col("members") / TILE)))
+    tile = F.when(F.col("crowd").isNull(), F.xxhash64("component")).when(F.col("crowd") * 2 >= TILE, own).otherwise(common)
+    return durable(placed.select("rep", tile.alias("tile")))
 
 
 def _result(rows: DataFrame, classes: DataFrame, labels: DataFrame, ident: str) -> DataFrame:
     same = ["n_shingles", "_da", "_db"]
-    groups = classes.select(*same, "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    groups = groups.select(*same, F.coalesce("label", "rep").alias("_group"))
+    groups = classes.select(*same, "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    groups = groups.select(*same, F.coalesce("component", "rep").alias("_group"))
     joined = rows.select("id", *same).join(groups, same, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("_group", "id"))
     return joined.select(F.col("id").alias(ident), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

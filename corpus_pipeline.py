@@ -17,8 +17,6 @@ from newsloom.llm.sample import held_out
 from newsloom.session import run_dir
 
 TOXIC = 0.7
-#: Below this response the text is in none of the learned languages.
-FOREIGN = 0.2
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_foreign(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned from ``lang``; texts without letters go."""
+    """Documents in the languages learned from ``lang``; texts without letters and texts unlike all of them go."""
     model = language.train(docs, ~held_out("doc_id", 4, 2))
-    scored = language.language(docs, model)
-    return scored.filter((F.col("lang_pred") != "und") & (F.col("score") >= FOREIGN)).select(*docs.columns)
+    scored = language.language(docs, model, known="_known")
+    return scored.filter((F.col("lang_pred") != "und") & (F.col("_known") == 1)).select(*docs.columns)
 
 
 def drop_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

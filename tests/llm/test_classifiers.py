@@ -62,6 +62,34 @@ def test_language_held_out(rows):
     assert (names == test.lang.to_numpy()).mean() > 0.97 and ((score >= 0) & (score <= 1)).all()
 
 
+def test_unlearned_languages_are_unfamiliar(rows):
+    train, test = split(rows, 4, 2, "lang")
+    train = balanced(train, "lang", 500)
+    model = language.fit(train.text.tolist(), train.lang.tolist())
+    kept = language.familiar(model, *column(test.text))
+    assert (np.bincount(test.lang.map(model.languages.index), kept) >= 0.998 * np.bincount(test.lang.map(model.languages.index))).all()
+    assert not language.familiar(model, *column(FOREIGN)).any() and (language.predict(model, *column(FOREIGN))[1] >= 0.2).all()
+    assert language.familiar(model, *column(["", "a", "12", test.text.iloc[0] * 3, train.text[train.lang == "de"].iloc[0] + train.text[train.lang == "fr"].iloc[0]])).all()
+
+
+FOREIGN = [
+    "Il governo italiano ha annunciato ieri che le nuove misure economiche saranno approvate dal parlamento entro la fine del mese. Secondo il ministro, gli investimenti cresceranno ancora.",
+    "Правительство вчера объявило, что новые меры будут утверждены парламентом до конца месяца.",
+    "政府昨天宣布新措施将在月底前获得议会批准",
+    "Xqzv kjwpt bfgdh qqwrz lkvcx, mnbzp xcvbq wjkqz. Pldkx qzzrt vvbnq wrtpl kjhgz.",
+]
+
+
+def test_pipeline_drops_unlearned_languages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    planted = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(FOREIGN)], docs.schema)
+    left = {r["doc_id"] for r in corpus_pipeline.drop_foreign(spark, docs.union(planted), "").select("doc_id").collect()}
+    lettered = {r["doc_id"] for r in docs.filter("text rlike '\\\\p{L}'").select("doc_id").collect()}
+    assert left == lettered
+
+
 def test_quality_held_out(rows):
     train, test = split(rows, 4, 2, "quality")
     train = balanced(train, "quality", 1000)

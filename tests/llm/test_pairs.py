@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.containment import contained, windows, without
 from newsloom.llm.lattice import cells, embedding_duplicates, nearest
-from newsloom.llm.licenses import license_scan, notices
+from newsloom.llm.licenses import NOTICES, license_scan, notices
 from newsloom.llm.near_duplicates import SYMBOLS, errors, near_duplicates, radius
 
 random = np.random.default_rng(11)
@@ -164,6 +164,36 @@ def test_licenses_in_windows(spark):
     assert found == {(0, "MIT"), (1, "CC-BY-NC-4.0"), (2, "MIT"), (3, "MIT"), (7, "MIT")}
 
 
+def gnu(name, version, mark=","):
+    return f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as published by the Free Software Foundation{mark} either version {version} of the License, or (at your option) any later version."
+
+
+def licenses_of(spark, docs):
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = {i: set() for i in range(len(docs))}
+    for r in license_scan(rows, notices(spark)).collect():
+        found[r["doc_id"]].add(r["license"])
+    return list(found.values())
+
+
+def test_licenses_are_not_taken_for_their_siblings(spark):
+    sentence = "This work is licensed under the GNU {}General Public License, version {}."
+    expected = {
+        sentence.format("", "2"): {"GPL-2.0"}, sentence.format("", "3"): {"GPL-3.0"}, sentence.format("Lesser ", "3"): {"LGPL-3.0"}, gnu("", "3"): {"GPL-3.0"},
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": {"MPL-2.0"},
+    }
+    assert licenses_of(spark, list(expected)) == list(expected.values())
+    siblings = licenses_of(spark, [gnu("", "2", ";"), gnu("Lesser ", "3"), gnu("Affero ", "3"), sentence.format("Lesser ", "2.1"), "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1."])
+    assert not any({"GPL-3.0"} & s for s in siblings[:4]) and "GPL-2.0" not in siblings[1] | siblings[2] and "LGPL-3.0" not in siblings[3] and "MPL-2.0" not in siblings[4]
+
+
+def test_no_notice_holds_that_of_another_license():
+    five = lambda t: {tuple(w[i : i + 5]) for w in [[x for x in re.split(r"[\W_]+", t.lower()) if x]] for i in range(len(w) - 4)}
+    for a, s in NOTICES:
+        assert five(s), s
+        assert not [b for b, t in NOTICES if a != b and 100 * len(five(s) & five(t)) >= 80 * len(five(s))], s
+
+
 def test_windows_overlap(spark):
     rows = spark.createDataFrame([(1, list(range(n))) for n in (1, 8, 9, 16, 17, 40)], "id int, shingles array<long>")
     parts = rows.select(F.size("shingles").alias("id"), F.explode(windows(F.col("shingles"), 8)).alias("shingles")).collect()

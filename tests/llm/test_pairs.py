@@ -187,6 +187,20 @@ def test_licenses_are_not_taken_for_their_siblings(spark):
     assert not any({"GPL-3.0"} & s for s in siblings[:4]) and "GPL-2.0" not in siblings[1] | siblings[2] and "LGPL-3.0" not in siblings[3] and "MPL-2.0" not in siblings[4]
 
 
+def test_headers_and_bodies_of_further_licenses(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    name, end = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software. ", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\""
+    expected = {
+        gnu("Affero ", "3"): {"AGPL-3.0"}, gnu("Lesser ", "3"): {"LGPL-3.0"}, gnu("Lesser ", "2.1", ";"): {"LGPL-2.1"}, gnu("", "2", ";"): {"GPL-2.0"},
+        bsd + end: {"LicenseRef-BSD", "BSD-2-Clause"}, bsd + name + end: {"LicenseRef-BSD", "BSD-3-Clause"},
+        "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n" + " ".join(text(300)): {"GPL-3.0"}, "GNU LESSER GENERAL PUBLIC LICENSE\n Version 2.1, February 1999": {"LGPL-2.1"},
+        "Eclipse Public License - v 2.0": {"EPL-2.0"}, "This is free and unencumbered software released into the public domain.": {"Unlicense"},
+        "Creative Commons Legal Code CC0 1.0 Universal": {"CC0-1.0"}, "Licensed under CC BY-ND 4.0.": {"CC-BY-ND-4.0"}, "Licensed under CC BY-NC-SA 3.0.": {"CC-BY-NC-SA-3.0"},
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 2.5 Generic License.": {"CC-BY-NC-2.5"},
+    }
+    assert licenses_of(spark, list(expected)) == list(expected.values())
+
+
 def test_no_notice_holds_that_of_another_license():
     five = lambda t: {tuple(w[i : i + 5]) for w in [[x for x in re.split(r"[\W_]+", t.lower()) if x]] for i in range(len(w) - 4)}
     for a, s in NOTICES:

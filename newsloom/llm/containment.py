@@ -30,7 +30,10 @@ def words(text: Column) -> Column:
 
 
 def shingle_hashes(words: Column, size: int) -> Column:
-    """Hashes of all runs of ``size`` words, in order; fewer words are one run; null without words."""
+    """Hashes of all runs of ``size`` words, in order; fewer words are one run; null without words.
+
+    A known text of fewer words is thus found only in a text of exactly these words, not inside a longer one.
+    """
     runs = F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1)))
     return F.when(F.size(words) > 0, F.transform(runs, lambda i: F.xxhash64(F.slice(words, i, size))))
 

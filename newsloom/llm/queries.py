@@ -8,7 +8,7 @@ from math import log
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, language, quality, toxicity, url_filter
+from newsloom.llm import bpe, centroids, fill_in_middle, language, quality, sharding, toxicity, url_filter
 from newsloom.llm.containment import contained
 from newsloom.llm.lattice import embedding_duplicates
 from newsloom.llm.licenses import NOTICES, license_scan, notices
@@ -247,3 +247,74 @@ FROM cut c JOIN t{deep} t ON t.host = c.host AND t.s = c.s JOIN judged j ON j.ho
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     return url_filter.url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _cluster_sql(k: int = 40, rounds: int = 5) -> str:
+    """The same rounds in DuckDB, one set of common tables each."""
+    distance = "list_sum(list_transform(list_zip(v.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    parts = [f"""
+    kept AS MATERIALIZED (
+        SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE len(embedding) = {centroids.DIM} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x) AND abs(x::DOUBLE) < {centroids.LIMIT // centroids.SCALE})) = {centroids.DIM}),
+    c0 AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY h, v) - 1 AS n, v AS c FROM (SELECT sha256('2:' || vec_id::VARCHAR) AS h, v FROM kept WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+    a{i} AS MATERIALIZED (SELECT v.vec_id, v.r, min({{'d': {distance}, 'n': c.n}}) AS best, any_value(v.v) AS v FROM kept v, c{i} c GROUP BY v.vec_id, v.r)""")
+        if i < rounds:
+            parts.append(f"""
+    m{i} AS (SELECT n, list(x ORDER BY dim) AS c FROM (
+        SELECT n, dim, ((s - ((s % m) + m) % m) // m)::BIGINT AS x FROM (
+            SELECT n, dim, sum(x) AS s, count(*) AS m FROM (SELECT best.n AS n, unnest(v) AS x, unnest(range({centroids.DIM})) AS dim FROM a{i}) GROUP BY n, dim)) GROUP BY n),
+    c{i + 1} AS MATERIALIZED (SELECT c.n, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN m{i} m ON m.n = c.n)""")
+    return f"""
+WITH {",".join(parts)}
+SELECT vec_id, best.n::INT AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.n))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+    sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.n = a.best.n
+"""
+
+
+@query("op11_centroids", _cluster_sql())
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and distance of every embedding after five rounds."""
+    assigned, last = centroids.clusters(table(spark, sf_dir, "embeddings"))
+    columns = ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+    return centroids.with_inertia(assigned, last).select(*columns)
+
+
+@query("op12_sharding")
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, shuffled into 40 shards whose numbers of rows differ by one at most; digests are of the texts that arrive."""
+    rows = sharding.shuffled(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return rows.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _middle_sql(seed: int = 7, percent: int = 100, spm: int = 50) -> str:
+    draw = lambda k: f"('0x' || substr(h, {8 * k + 1}, 8))::UBIGINT"
+    lines = lambda a, b: f"array_to_string(u[{a}:{b}], '')"
+    p, s, m = fill_in_middle.MARKS
+    return f"""
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('{seed}:' || doc_id::VARCHAR) AS h FROM documents),
+drawn AS (
+    SELECT *, len(u) AS n, {draw(0)} % (len(u) + 1) AS a, {draw(1)} % (len(u) + 1) AS b,
+        CASE WHEN t = '' OR contains(t, '{p}') OR contains(t, '{s}') OR contains(t, '{m}') OR h IS NULL OR {draw(2)} % 100 >= {percent} THEN 'plain'
+            WHEN {draw(3)} % 100 < {spm} THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (
+    SELECT *, {lines(1, 'least(a, b)')} AS p, {lines('least(a, b) + 1', 'greatest(a, b)')} AS m, {lines('greatest(a, b) + 1', 'n')} AS s FROM drawn)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{p}' || p || '{s}' || s || '{m}' || m ELSE '{s}' || s || '{p}' || p || '{m}' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+@query("op13_fill_in_middle", _middle_sql())
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into lines and put in fill-in-the-middle order, as digests of the output and of the text rebuilt from it."""
+    store = fill_in_middle.stored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    columns = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"]
+    return fill_in_middle.fill_in_middle(store, digests=True).select(*columns)

@@ -38,7 +38,8 @@ class Frames:
 
     @classmethod
     def pack(cls, parts: Iterable[bytes], frame: int = FRAME) -> Frames:
-        """Frames of the parts laid end to end; a frame ends between characters."""
+        """Frames of the parts laid end to end; a frame ends between characters and may always hold one."""
+        frame = max(frame, 4)
         packer = zstandard.ZstdCompressor(level=_LEVEL)
         out, held, units, chars, start = cls([], [], [], []), bytearray(), 0, 0, 0
 
@@ -56,7 +57,7 @@ class Frames:
             held += part
             while len(held) > frame:
                 size = frame
-                while size > 1 and held[size] & 0xC0 == 0x80:
+                while held[size] & 0xC0 == 0x80:
                     size -= 1
                 flush(size)
         if held:

@@ -1,216 +1,193 @@
 """Online story assignment: items in time order join the best open story or start one.
 
-The result depends on order, so a corpus is folded from start to end. Three things keep that
-bounded: corpora are cut where nothing was published for a whole window (every story is closed
-there, so the cut is exact); a stretch longer than ``BLOCK`` items is folded block by block, with
-the open stories carried over in a checkpointed table; and a story's state is fixed in size, apart
-from the set of its publishers.
+The result depends on order, but not everywhere: an item can only join a story whose first member it
+resembles, so a story never leaves its component of the graph that links items this similar, whatever
+their times. These components are shards: each is folded on its own, in order, as rows stream through a
+task, and only its open stories are in memory. Items alone in their component are stories at once. What an item
+has to do with stories of other shards (the nearest ones, for the diagnostics) is a join with the states
+that the fold gives out, each valid from one member to the next.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions import fixed, vectors
-from newsloom.operators.ranking import rank_all
+from newsloom.operators import similarity
+from newsloom.operators.ranking import rank_all, top_k
 from newsloom.session import durable
 
-BLOCK = 5_000
 DIAGNOSTICS = 10
-
-_DIAGNOSTIC = (
-    "struct<story_id: string, centroid: double, headline: double, body: double, representative: double, "
-    "recent: double, actions_compatible: boolean, decision: string, selected: boolean>"
-)
-_ASSIGNED = (
-    f"item_id {{item}}, story_id string, similarity double, publisher_count int, diagnostics array<{_DIAGNOSTIC}>"
-)
-STATE = (
-    "story_id string, seq bigint, members bigint, updated_us bigint, headline array<double>, body array<double>, "
-    "combined array<double>, representative array<double>, actions array<string>, recent array<array<double>>, "
-    "publishers array<string>"
+#: Position after which no state was followed by another.
+LAST = (1 << 63) - 1
+#: Slack of the shard graph for sums that are added up in another order.
+_ROUNDING = 1e-9
+_VECTORS = ("headline", "body", "combined", "representative")
+#: State of a story after a member, which is ``item_id``; null for a story that was open before.
+_STATE = (
+    "item_id {item}, story_id string, seq bigint, position bigint, until bigint, at_us bigint, similarity double, members bigint, "
+    "publisher_count int, headline array<double>, body array<double>, combined array<double>, representative array<double>, "
+    "actions array<string>, recent array<array<double>>, publishers array<string>"
 )
 
 
-@dataclass
-class Story:
+class _Story:
     """Open story; the representative and its actions stay those of the first member."""
 
-    story_id: str
-    seq: int
-    members: int
-    updated_us: int
-    headline: np.ndarray
-    body: np.ndarray | None
-    combined: np.ndarray
-    representative: np.ndarray
-    actions: frozenset
-    recent: list = field(default_factory=list)
-    publishers: set = field(default_factory=set)
-
-    def add(self, item) -> None:
-        n = self.members
-        self.headline = (self.headline * n + item.headline) / (n + 1)
-        if self.body is None:
-            self.body = item.body
-        elif item.body is not None:
-            self.body = (self.body * n + item.body) / (n + 1)
-        self.combined = (self.combined * n + item.combined) / (n + 1)
-        self.members += 1
-        self.updated_us = item.at_us
-        self.recent = [*self.recent, item.combined][-fixed.RECENT_KEPT :]
-        self.publishers.add(item.publisher_key)
-
-
-def _cosine(a: np.ndarray | None, b: np.ndarray | None) -> float | None:
-    if a is None or b is None or len(a) != len(b):
-        return None
-    length = np.linalg.norm(a) * np.linalg.norm(b)
-    return float(a @ b / length) if length > 0 else None
-
-
-def _stacked(vectors: list[np.ndarray]) -> np.ndarray:
-    """Vectors as rows, shorter ones filled up with NaN."""
-    out = np.full((len(vectors), max(map(len, vectors), default=0)), np.nan)
-    for row, vector in zip(out, vectors, strict=True):
-        row[: len(vector)] = vector
-    return out
-
-
-def _appended(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
-    wider = max(0, len(vector) - matrix.shape[1])
-    padded = np.pad(matrix, ((0, 0), (0, wider)), constant_values=np.nan)
-    return np.vstack([padded, np.pad(vector, (0, padded.shape[1] - len(vector)), constant_values=np.nan)])
-
-
-def _cosines(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
-    """Cosine with every row; -1 for a row of another length or of length zero."""
-    out, n = np.full(len(matrix), -1.0), len(vector)
-    if not 0 < n <= matrix.shape[1]:
-        return out
-    same = ~np.isnan(matrix[:, n - 1])
-    if n < matrix.shape[1]:
-        same &= np.isnan(matrix[:, n])
-    rows = matrix[:, :n] if same.all() else matrix[same, :n]
-    length = np.linalg.norm(rows, axis=1) * np.linalg.norm(vector)
-    out[same] = np.divide(rows @ vector, length, out=np.full(len(rows), -1.0), where=length > 0)
-    return out
-
-
-def fold(items: pd.DataFrame, stories: list[Story], threshold: float, window_us: int) -> tuple[list[dict], list[Story]]:
-    """Assign ``items`` (sorted by time and id) to ``stories``; returns rows and the open stories."""
-    rows = []
-    floor = threshold - fixed.COHESION_SLACK
-    seq = max((s.seq for s in stories), default=-1) + 1
-    centroids = _stacked([s.combined for s in stories])
-    firsts = _stacked([s.representative for s in stories])
-    for item in items.itertuples(index=False):
-        keep = [k for k, s in enumerate(stories) if item.at_us - s.updated_us <= window_us]
-        if len(keep) < len(stories):
-            stories = [stories[k] for k in keep]
-            centroids, firsts = centroids[keep], firsts[keep]
-        item_actions = frozenset(item.actions)
-        best, evaluated, order = None, {}, []
-        if stories:
-            to_centroid, to_first = _cosines(centroids, item.combined), _cosines(firsts, item.combined)
-
-            def judge(k: int):
-                if k not in evaluated:
-                    story = stories[k]
-                    recent = [_cosine(item.combined, r) for r in story.recent[-fixed.RECENT_USED :]]
-                    recent = [r for r in recent if r is not None]
-                    support = sum(recent) / len(recent) if recent else None
-                    clash = bool(item_actions and story.actions and not item_actions & story.actions)
-                    override = to_first[k] >= fixed.ACTION_OVERRIDE
-                    if to_centroid[k] < threshold:
-                        decision = "rejectedCentroidSimilarity"
-                    elif clash and not override:
-                        decision = "rejectedActionMismatch"
-                    elif to_first[k] < floor:
-                        decision = "rejectedRepresentativeSimilarity"
-                    elif support is None or support < floor:
-                        decision = "rejectedRecentMemberSupport"
-                    else:
-                        decision = "accepted"
-                    evaluated[k] = (support, not clash or override, decision)
-                return evaluated[k]
-
-            order = np.argsort(-to_centroid, kind="stable")
-            for k in order:
-                if to_centroid[k] < threshold:
-                    break
-                if judge(k)[2] == "accepted":
-                    best = int(k)
-                    break
-        shown = [int(k) for k in order[:DIAGNOSTICS]]
-        if best is not None and best not in shown:
-            shown.append(best)
-        diagnostics = []
-        for k in shown:
-            support, compatible, decision = judge(k)
-            diagnostics.append({
-                "story_id": stories[k].story_id, "centroid": float(to_centroid[k]),
-                "headline": _cosine(item.headline, stories[k].headline), "body": _cosine(item.body, stories[k].body),
-                "representative": float(to_first[k]), "recent": support, "actions_compatible": bool(compatible),
-                "decision": decision, "selected": k == best,
-            })
-        if best is not None:
-            story, similarity = stories[best], float(to_centroid[best])
-            story.add(item)
-            centroids[best, : len(story.combined)] = story.combined
+    def __init__(self, row: dict):
+        self.row = row
+        self.recent, self.publishers = row["recent"], set(row["publishers"])
+        self.actions = frozenset(row["actions"])
+
+    def closed(self, until: int) -> dict:
+        """The state as it was before the member at ``until``."""
+        return self.row | {"until": until, "recent": self.recent[-fixed.RECENT_USED :], "publishers": None}
+
+    def last(self) -> dict:
+        return self.row | {"until": LAST, "recent": self.recent, "publishers": sorted(self.publishers)}
+
+    def add(self, item: dict, similarity: float) -> None:
+        n, old = self.row["members"], self.row
+        self.publishers.add(item["publisher_key"])
+        self.recent = [*self.recent, item["combined"]][-fixed.RECENT_KEPT :]
+        body = _mean(old["body"], n, item["body"]) if item["body"] is not None else old["body"]
+        self.row = old | {
+            "item_id": item["item_id"], "position": item["position"], "at_us": item["at_us"], "similarity": similarity, "members": n + 1,
+            "publisher_count": len(self.publishers), "headline": _mean(old["headline"], n, item["headline"]), "body": body,
+            "combined": _mean(old["combined"], n, item["combined"]),
+        }
+
+
+def _mean(old: np.ndarray | None, n: int, new: np.ndarray) -> np.ndarray:
+    return new if old is None or len(old) != len(new) else (old * n + new) / (n + 1)
+
+
+def first_state(item: dict) -> dict:
+    """State of the story that ``item`` starts."""
+    return {
+        "item_id": item["item_id"], "story_id": f"story-{str(item['item_id']).lower()}", "seq": item["position"], "position": item["position"],
+        "at_us": item["at_us"], "similarity": None, "members": 1, "publisher_count": 1, "headline": item["headline"], "body": item["body"],
+        "combined": item["combined"], "representative": item["combined"], "actions": item["actions"], "recent": [item["combined"]],
+        "publishers": [item["publisher_key"]],
+    }
+
+
+class Shard:
+    """The open stories of one shard; items come in order."""
+
+    def __init__(self, threshold: float, window_us: int):
+        self.threshold, self.floor, self.window_us = threshold, threshold - fixed.COHESION_SLACK, window_us
+        self.stories: list[_Story] = []
+        self.units = np.zeros((0, 0))  # centroids of the open stories; rows beyond them are spare
+
+    def open(self, story: _Story) -> None:
+        unit, n = _unit(story.row["combined"]), len(self.stories)
+        if n == len(self.units):
+            self.units = np.concatenate([self.units.reshape(n, len(unit)), np.zeros((n + 8, len(unit)))])
+        self.units[n] = unit
+        self.stories.append(story)
+
+    def add(self, item: dict) -> Iterator[dict]:
+        """Let ``item`` join or start a story; gives out the states that are now over."""
+        gone = [k for k, s in enumerate(self.stories) if item["at_us"] - s.row["at_us"] > self.window_us]
+        for k in gone:
+            yield self.stories[k].last()
+        if gone:
+            kept = sorted(set(range(len(self.stories))) - set(gone))
+            self.stories, self.units = [self.stories[k] for k in kept], self.units[kept]
+        unit, best = _unit(item["combined"]), None
+        near = self.units[: len(self.stories)] @ unit if self.stories else np.zeros(0)
+        for k in np.argsort(-near, kind="stable").tolist():
+            if near[k] < self.threshold:
+                break
+            if self._accepts(self.stories[k], item, unit):
+                best = k
+                break
+        if best is None:
+            self.open(_Story(first_state(item)))
         else:
-            similarity = float(to_centroid.max()) if stories else None
-            story = Story(
-                f"story-{str(item.item_id).lower()}", seq, 1, item.at_us, item.headline, item.body, item.combined,
-                item.combined, item_actions, [item.combined], {item.publisher_key},
-            )
-            seq += 1
-            stories = [*stories, story]
-            centroids, firsts = _appended(centroids, item.combined), _appended(firsts, item.combined)
-        rows.append({
-            "item_id": item.item_id, "story_id": story.story_id, "similarity": similarity,
-            "publisher_count": len(story.publishers), "diagnostics": diagnostics,
-        })
-    return rows, stories
-
-
-def _vector(value) -> np.ndarray | None:
-    return None if value is None else np.asarray(value, dtype=float)
-
-
-def items_frame(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows as the fold takes them, in order."""
-    out = rows.sort_values(["at_us", "item_id"]).copy()
-    for name in ("headline", "body", "combined"):
-        out[name] = [_vector(v) for v in out[name]]
-    out["actions"] = [[] if a is None else list(a) for a in out["actions"]]
-    return out
-
-
-def stories_from(rows: pd.DataFrame) -> list[Story]:
-    return [
-        Story(
-            r.story_id, r.seq, r.members, r.updated_us, _vector(r.headline), _vector(r.body), _vector(r.combined),
-            _vector(r.representative), frozenset(r.actions), [_vector(v) for v in r.recent], set(r.publishers),
-        )
-        for r in rows.sort_values("seq").itertuples(index=False)
-    ]
-
-
-def stories_frame(stories: list[Story]) -> pd.DataFrame:
-    names = [c.split(" ")[0] for c in STATE.split(", ")]
-    rows = [
-        [s.story_id, s.seq, s.members, s.updated_us, s.headline.tolist(), None if s.body is None else s.body.tolist(),
-         s.combined.tolist(), s.representative.tolist(), sorted(s.actions), [r.tolist() for r in s.recent], sorted(s.publishers)]
-        for s in stories
-    ]
-    return pd.DataFrame(rows, columns=names)
+            yield self.stories[best].closed(item["position"])
+            self.stories[best].add(item, float(near[best]))
+            self.units[best] = _unit(self.stories[best].row["combined"])
+
+    def _accepts(self, story: _Story, item: dict, unit: np.ndarray) -> bool:
+        first = float(_unit(story.row["representative"]) @ unit)
+        actions = frozenset(item["actions"])
+        if actions and story.actions and not actions & story.actions and first < fixed.ACTION_OVERRIDE:
+            return False
+        if first < self.floor:
+            return False
+        recent = [float(_unit(r) @ unit) for r in story.recent[-fixed.RECENT_USED :] if len(r) == len(unit)]
+        return bool(recent) and sum(recent) / len(recent) >= self.floor
+
+
+def _unit(vector: np.ndarray) -> np.ndarray:
+    return vector / np.linalg.norm(vector)
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray | None]:
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+    valid = column.is_valid().to_pylist()
+    return [flat[a:b] if ok else None for a, b, ok in zip(ends, ends[1:], valid, strict=False)]
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[dict]:
+    columns = {}
+    for name, column in zip(batch.schema.names, batch.columns, strict=True):
+        columns[name] = _arrays(column) if name in _VECTORS else column.to_pylist()
+    for values in zip(*columns.values(), strict=True):
+        row = dict(zip(columns, values, strict=True))
+        row["recent"] = [np.asarray(r, float) for r in row["recent"] or []]
+        row["actions"] = row["actions"] or []
+        yield row
+
+
+def _folded(rows: DataFrame, threshold: float, window_us: int) -> DataFrame:
+    """States of all stories; ``rows`` are open stories (side 0) and items (side 1) with corpus and shard.
+
+    A task goes through its shards one after the other, whatever their length.
+    """
+    item_type, corpus_type = rows.schema["item_id"].dataType, rows.schema["corpus_id"].dataType
+    schema = T.StructType([T.StructField("corpus_id", corpus_type), *T.StructType.fromDDL(_STATE.format(item=item_type.simpleString()))])
+    arrow = {"headline": pa.list_(pa.float64()), "recent": pa.list_(pa.list_(pa.float64())), "actions": pa.list_(pa.string()), "publishers": pa.list_(pa.string())}
+    arrow |= dict.fromkeys(_VECTORS, arrow["headline"]) | {"publisher_count": pa.int32(), "similarity": pa.float64(), "story_id": pa.string()}
+
+    def run(batches):
+        key, shard, known = None, Shard(threshold, window_us), {}
+
+        def packed(corpus, states):
+            columns = [pa.array([corpus] * len(states), known["corpus_id"])]
+            for name in schema.names[1:]:
+                columns.append(pa.array([s[name] for s in states], known["item_id"] if name == "item_id" else arrow.get(name, pa.int64())))
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        for batch in batches:
+            known = {n: batch.schema.field(n).type for n in ("corpus_id", "item_id")}
+            out = []
+            for row in _read(batch):
+                if (row["corpus_id"], row["shard"]) != key:
+                    out += [s.last() for s in shard.stories]
+                    if out:
+                        yield packed(key[0], out)
+                    key, shard, out = (row["corpus_id"], row["shard"]), Shard(threshold, window_us), []
+                if row["side"] == 0:
+                    shard.open(_Story(row | {"item_id": None, "similarity": None, "publisher_count": len(row["publishers"])}))
+                else:
+                    out += shard.add(row)
+            if out:
+                yield packed(key[0], out)
+        if shard.stories:
+            yield packed(key[0], [s.last() for s in shard.stories])
+
+    given = ["corpus_id", "shard", "side", "position", "item_id", "at_us", "publisher_key", "headline", "body", "combined", "actions", "story_id", "seq", "members", "representative", "recent", "publishers"]
+    ordered = rows.select(*given).repartition("corpus_id", "shard").sortWithinPartitions("corpus_id", "shard", "side", "seq", "position")
+    return ordered.mapInArrow(run, schema)
 
 
 def with_vectors(df: DataFrame) -> DataFrame:
@@ -222,94 +199,123 @@ def with_vectors(df: DataFrame) -> DataFrame:
     )
 
 
-def stretches(df: DataFrame, window_seconds: int) -> DataFrame:
-    """Adds ``stretch``: a new one wherever a corpus was silent for more than the window.
+def in_order(df: DataFrame, offset: int = 0) -> DataFrame:
+    """Items with their ``position`` in the corpus, after ``offset``, and their time in microseconds."""
+    columns = ["corpus_id", "item_id", "published_at", "publisher_key", "headline", "body", "combined", "actions"]
+    ranked = rank_all(df.select(*columns), ["corpus_id"], [F.col("published_at"), F.col("item_id")], "position")
+    return ranked.withColumn("position", F.col("position") + offset).withColumn("at_us", F.unix_micros("published_at"))
+
 
-    A silence can only lie between time buckets as long as the window, so it is found on the
-    first and last time of each bucket, a small table, not on the items.
+def shards(items: DataFrame, threshold: float, opened: DataFrame | None = None) -> DataFrame:
+    """(node, shard, n): components of the graph that links items and the first members of open stories.
+
+    Two are linked if they are similar enough for one to be accepted where the other is the first
+    member. ``node`` is ``i`` and an item's id or ``s`` and a story's; ``n`` nodes are in the shard.
     """
-    bucket = F.floor(F.unix_seconds("published_at") / window_seconds).alias("_bucket")
-    edges = df.groupBy("corpus_id", bucket).agg(
-        F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at")
+    nodes = items.select("corpus_id", F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("node"), F.col("combined").alias("vector"))
+    if opened is not None:
+        nodes = nodes.unionByName(opened.select("corpus_id", F.concat(F.lit("s"), "story_id").alias("node"), F.col("representative").alias("vector")))
+    graph = durable(similarity.story_graph(nodes, "node", None, threshold - fixed.COHESION_SLACK - _ROUNDING))
+    sizes = graph.groupBy("component").agg(F.count("*").alias("n"))
+    return graph.join(sizes, "component").select("node", F.col("component").alias("shard"), "n")
+
+
+def states(items: DataFrame, threshold: float, window_seconds: int, opened: DataFrame | None = None) -> DataFrame:
+    """Every state of every story, durable; ``items`` come from ``in_order``, ``opened`` are last states of before.
+
+    A row is the state after its ``item_id`` joined, valid for items from ``position`` + 1 up to ``until``.
+    Where nothing has followed, ``until`` is ``LAST`` and ``publishers`` and ``recent`` are complete.
+    """
+    split = shards(items, threshold, opened)
+    node = F.concat(F.lit("i"), F.col("item_id").cast("string"))
+    placed = items.withColumn("node", node).join(split, "node", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    actions = F.coalesce("actions", F.expr("cast(array() as array<string>)")).alias("actions")
+    none = {"story_id": "string", "seq": "bigint", "members": "bigint", "representative": "array<double>", "recent": "array<array<double>>", "publishers": "array<string>"}
+    rows = placed.filter("n > 1").select(
+        "corpus_id", "shard", F.lit(1).alias("side"), "position", "item_id", "at_us", "publisher_key", "headline", "body", "combined", actions,
+        *[F.lit(None).cast(kind).alias(name) for name, kind in none.items()],
+    )
+    if opened is not None:
+        before = opened.withColumn("node", F.concat(F.lit("s"), "story_id")).join(split, "node", "left")
+        rows = rows.unionByName(before.select(
+            "corpus_id", F.coalesce("shard", "node").alias("shard"), F.lit(0).alias("side"), "position", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"),
+            "at_us", F.lit(None).cast("string").alias("publisher_key"), "headline", "body", "combined", "actions", *none,
+        ))
+    folded = _folded(rows, threshold, window_seconds * 1_000_000)
+    alone = placed.filter("n = 1").select(
+        "corpus_id", "item_id", F.concat(F.lit("story-"), F.lower(F.col("item_id").cast("string"))).alias("story_id"), F.col("position").alias("seq"), "position",
+        F.lit(LAST).alias("until"), "at_us", F.lit(None).cast("double").alias("similarity"), F.lit(1).cast("bigint").alias("members"), F.lit(1).alias("publisher_count"),
+        "headline", "body", "combined", F.col("combined").alias("representative"), actions, F.array("combined").alias("recent"), F.array("publisher_key").alias("publishers"),
     )
-    by_time = Window.partitionBy("corpus_id").orderBy("_bucket")
-    silence = F.unix_micros("first_at") - F.unix_micros(F.lag("last_at").over(by_time)) > window_seconds * 1_000_000
-    numbered = edges.withColumn("_new", F.when(silence, 1).otherwise(0)).select(
-        "corpus_id", "_bucket", F.sum("_new").over(by_time.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch")
+    return durable(folded.unionByName(alone))
+
+
+def nearest_states(items: DataFrame, found: DataFrame, window_seconds: int, k: int) -> DataFrame:
+    """(left_id, right_id, similarity, rank): the ``k`` most similar stories open when an item came.
+
+    ``right_id`` names a state: the number of its story's first item, then that of the state's own, so that
+    of equally similar stories the older one comes first.
+    """
+    at = F.timestamp_micros("at_us")
+    state = F.format_string("%019d:%019d", "seq", "position")
+    left = items.select("corpus_id", F.col("item_id").alias("left_id"), F.col("combined").alias("vector"), at.alias("left_at"), F.col("position").alias("left_order"))
+    right = found.select(
+        "corpus_id", state.alias("right_id"), F.col("combined").alias("vector"), at.alias("right_at"),
+        (F.col("position") + 1).alias("right_start"), F.col("until").alias("right_until"),
     )
-    return df.withColumn("_bucket", bucket).join(numbered, ["corpus_id", "_bucket"]).drop("_bucket")
+    return similarity.nearest_stories(left, right, window_seconds, k)
+
 
+def assigned(items: DataFrame, found: DataFrame, window_seconds: int) -> DataFrame:
+    """(item_id, story_id, similarity, publisher_count) of items; one that starts a story has the similarity of the nearest."""
+    started = found.filter("item_id is not null and similarity is null").select("item_id")
+    nearest = nearest_states(items.join(started, "item_id", "left_semi"), found, window_seconds, 1).select(F.col("left_id").alias("item_id"), F.col("similarity").alias("_nearest"))
+    rows = found.filter("item_id is not null").select("item_id", "story_id", "similarity", "publisher_count")
+    return rows.join(nearest, "item_id", "left").select("item_id", "story_id", F.coalesce("similarity", "_nearest").alias("similarity"), "publisher_count")
 
-def assign_stories(df: DataFrame, threshold: float, window_seconds: int, block: int = BLOCK) -> DataFrame:
-    """(item_id, story_id, similarity, publisher_count, diagnostics) for every item.
 
-    ``df``: corpus_id, item_id, published_at, publisher_key, headline, body, combined, actions.
+def assign_stories(df: DataFrame, threshold: float, window_seconds: int) -> DataFrame:
+    """(item_id, story_id, similarity, publisher_count) for every item.
+
+    ``df``: corpus_id, item_id (unique), published_at, publisher_key, headline, body, combined, actions. Ties
+    go by item id. Items with a null corpus or a combined vector without direction are stories of their own.
     """
-    spark = df.sparkSession
-    keys = ["corpus_id", "stretch"]
-    cut = stretches(
-        df.select("corpus_id", "item_id", "published_at", "publisher_key", "headline", "body", "combined", "actions"),
-        window_seconds,
-    ).withColumn("at_us", F.unix_micros("published_at"))
-    largest = cut.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest > block:
-        ranked = rank_all(cut, keys, [F.col("published_at"), F.col("item_id")], "_rank")
-        cut = durable(ranked.withColumn("block", F.floor((F.col("_rank") - 1) / block)).drop("_rank"))
-    else:
-        cut = cut.withColumn("block", F.lit(0))
-    item_type = df.schema["item_id"].dataType.simpleString()
-    corpus_type = df.schema["corpus_id"].dataType.simpleString()
-    assigned_type = T.StructType.fromDDL(_ASSIGNED.format(item=item_type)).simpleString()
-    out_schema = f"corpus_id {corpus_type}, stretch bigint, a {assigned_type}, s {T.StructType.fromDDL(STATE).simpleString()}"
-    window_us = window_seconds * 1_000_000
-
-    def step(key, items: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        rows, open_stories = fold(items_frame(items), stories_from(state), threshold, window_us)
-        states = stories_frame(open_stories).to_dict("records")
-        n = len(rows) + len(states)
-        return pd.DataFrame({
-            "corpus_id": [key[0]] * n, "stretch": [key[1]] * n,
-            "a": rows + [None] * len(states), "s": [None] * len(rows) + states,
-        })
-
-    state = spark.createDataFrame([], f"corpus_id {corpus_type}, stretch bigint, {STATE}")
-    parts = []
-    for number in range(-(-largest // block)):
-        items = cut.filter(F.col("block") == number)
-        # Only stretches that still have items need their stories again.
-        waiting = state.join(items.select(*keys).distinct(), keys, "left_semi")
-        done = items.groupBy(*keys).cogroup(waiting.groupBy(*keys)).applyInPandas(step, out_schema)
-        if largest > block:
-            done = durable(done)
-        parts.append(done.filter("a is not null").select("a.*"))
-        state = done.filter("s is not null").select(*keys, "s.*")
-    if not parts:
-        return spark.createDataFrame([], _ASSIGNED.format(item=item_type))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def assignments(df: DataFrame, threshold: float, window_seconds: int, block: int = BLOCK) -> DataFrame:
+    items = in_order(df)
+    return assigned(items, states(items, threshold, window_seconds), window_seconds)
+
+
+def assignments(df: DataFrame, threshold: float, window_seconds: int) -> DataFrame:
     """Assignment rows of all items: those not ready stay, without a story and with their reason."""
     ready = df.filter((F.col("readiness") == "ready") & F.col("combined").isNotNull())
-    assigned = assign_stories(ready, threshold, window_seconds, block)
+    found = assign_stories(ready, threshold, window_seconds)
     missing = (F.col("readiness") == "ready") & F.col("combined").isNull()
-    return df.join(assigned, "item_id", "left").select(
+    return df.join(found, "item_id", "left").select(
         "corpus_id", "item_id", "published_at", "publisher_key", "language",
         F.when(missing, "embeddingUnavailable").otherwise(F.col("readiness")).alias("readiness"),
-        "story_id", "similarity", F.coalesce("publisher_count", F.lit(0)).alias("publisher_count"), "diagnostics",
+        "story_id", "similarity", F.coalesce("publisher_count", F.lit(0)).alias("publisher_count"),
     )
 
 
-def diagnostics(assigned: DataFrame) -> DataFrame:
-    """One row per examined story of an item."""
-    return assigned.select("item_id", F.posexplode("diagnostics").alias("position", "d")).select(
-        "item_id", "position", F.col("d.story_id").alias("candidate_id"), *[
-            f"d.{n}" for n in ["centroid", "headline", "body", "representative", "recent", "actions_compatible", "decision", "selected"]
-        ]
+def diagnostics(df: DataFrame, threshold: float, window_seconds: int, k: int = DIAGNOSTICS) -> DataFrame:
+    """One row per examined story of an item: the ``k`` nearest open ones, then the joined one if it is not among them."""
+    items = durable(in_order(df))
+    found = states(items, threshold, window_seconds)
+    near = nearest_states(items, found, window_seconds, k)
+    candidates = near.select(F.col("left_id").alias("item_id"), F.split("right_id", ":")[1].cast("bigint").alias("_state"), (F.col("rank") - 1).alias("position"))
+    order = items.select("corpus_id", F.col("position").alias("_order"), "item_id", *[F.col(c).alias(f"i_{c}") for c in ("headline", "body", "combined")], F.coalesce("actions", F.expr("cast(array() as array<string>)")).alias("i_actions"))
+    members = found.filter("item_id is not null").select("item_id", "story_id", F.col("position").alias("_order"), "corpus_id", (F.col("members") > 1).alias("_joined"))
+    before = found.select("corpus_id", "story_id", F.col("position").alias("_state"), F.col("until").alias("_order"))
+    chosen = members.filter("_joined").join(before, ["corpus_id", "story_id", "_order"]).select("item_id", F.col("_state").alias("_chosen"))
+    listed = candidates.join(chosen, "item_id", "left").withColumn("selected", F.coalesce(F.col("_state") == F.col("_chosen"), F.lit(False))).drop("_chosen")
+    reached = listed.groupBy("item_id").agg(F.max("selected").alias("_listed"), F.count("*").alias("_n"))
+    beyond = chosen.join(reached, "item_id", "left").filter(~F.coalesce("_listed", F.lit(False))).select("item_id", F.col("_chosen").alias("_state"), F.coalesce("_n", F.lit(0)).cast("int").alias("position"), F.lit(True).alias("selected"))
+    pairs = listed.unionByName(beyond).join(order, "item_id").join(
+        found.select("corpus_id", F.col("position").alias("_state"), "story_id", *[F.col(c).alias(f"s_{c}") for c in (*_VECTORS, "recent", "actions")]), ["corpus_id", "_state"]
     )
+    judged = evaluate_pairs(pairs, threshold)
+    clash = (F.size("i_actions") > 0) & (F.size("s_actions") > 0) & ~F.arrays_overlap("i_actions", "s_actions")
+    compatible = ~clash | F.coalesce(F.col("representative") >= fixed.ACTION_OVERRIDE, F.lit(False))
+    return judged.select("item_id", "position", F.col("story_id").alias("candidate_id"), "centroid", "headline", "body", "representative", "recent", compatible.alias("actions_compatible"), "decision", "selected")
 
 
 def mean_pooled(tokens: DataFrame, keys: list[str], vector: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions import text, vectors
+from newsloom.functions import fixed, text, vectors
 from newsloom.operators import curate, library, related, similarity, stories, story_views
 from newsloom.operators.ranking import top_k
 from newsloom.plans import derived, duck
@@ -99,15 +99,53 @@ def _corpus(spark, sf) -> DataFrame:
     return stories.with_vectors(rows)
 
 
-@query("k1_story_assignments")
+def _folded_sql(threshold: float, window: int, slack: float = 0.055, override: float = 0.985) -> str:
+    """Common tables over ``its`` (corpus_id, item_id, at_s, pub, h, b, c, acts): the sequential loop, one item a step.
+
+    ``folded`` has a row per item with its story and the ``seen`` stories, nearest first.
+    """
+    story = "STRUCT(story_id VARCHAR, at_s BIGINT, n BIGINT, h DOUBLE[], b DOUBLE[], c DOUBLE[], rep DOUBLE[], acts VARCHAR[], recent DOUBLE[][], pubs VARCHAR[])"
+    seen = "STRUCT(o DOUBLE, k BIGINT, story_id VARCHAR, cen DOUBLE, hea DOUBLE, bod DOUBLE, rep DOUBLE, rec DOUBLE, compatible BOOLEAN, decision VARCHAR)"
+    cos = lambda a, b: f"list_cosine_similarity({a}, {b})"
+    mean = lambda x: f"list_transform(list_zip(best.{x}, {x}), lambda z: (z[1] * best.n + z[2]) / (best.n + 1))"
+    fresh = "{'story_id': 'story-' || item_id, 'at_s': at_s, 'n': 1, 'h': h, 'b': b, 'c': c, 'rep': c, 'acts': acts, 'recent': [c], 'pubs': [pub]}"
+    grown = f"""{{'story_id': best.story_id, 'at_s': at_s, 'n': best.n + 1, 'h': {mean("h")}, 'b': CASE WHEN b IS NULL THEN best.b WHEN best.b IS NULL THEN b ELSE {mean("b")} END,
+        'c': {mean("c")}, 'rep': best.rep, 'acts': best.acts, 'recent': list_append(best.recent, c)[-12:], 'pubs': list_distinct(list_append(best.pubs, pub))}}"""
+    return f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY at_s, item_id) AS p FROM its),
+  folded AS (
+    SELECT corpus_id, 0::BIGINT AS p, []::{story}[] AS st, NULL::BIGINT AS item_id, NULL::VARCHAR AS story_id, NULL::DOUBLE AS similarity, NULL::INT AS publisher_count, []::{seen}[] AS seen FROM (SELECT DISTINCT corpus_id FROM its)
+    UNION ALL
+    SELECT corpus_id, p, CASE WHEN hit IS NULL THEN list_append(st, now) ELSE list_transform(st, lambda s, k: CASE WHEN k = hit THEN now ELSE s END) END,
+      item_id, now.story_id, CASE WHEN hit IS NULL THEN list_max(list_transform(met, lambda m: m.cen)) ELSE met[hit].cen END, len(now.pubs)::INT, list_sort(met)
+    FROM (SELECT *, CASE WHEN hit IS NULL THEN {fresh} ELSE {grown} END AS now
+      FROM (SELECT *, st[hit] AS best FROM (SELECT *, list_position(list_transform(met, lambda m: CASE WHEN m.decision = 'accepted' THEN m.cen ELSE -9 END), list_max(list_transform(list_filter(met, lambda m: m.decision = 'accepted'), lambda m: m.cen))) AS hit
+        FROM (SELECT * EXCLUDE pre, list_transform(pre, lambda m: {{'o': -round(m.cen, 6), 'k': m.k, 'story_id': m.story_id, 'cen': m.cen, 'hea': m.hea, 'bod': m.bod, 'rep': m.rep, 'rec': m.rec, 'compatible': NOT m.clash OR m.rep >= {override},
+            'decision': CASE WHEN m.cen < {threshold} THEN 'rejectedCentroidSimilarity' WHEN m.clash AND m.rep < {override} THEN 'rejectedActionMismatch'
+              WHEN m.rep < {threshold - slack!r} THEN 'rejectedRepresentativeSimilarity' WHEN m.rec < {threshold - slack!r} THEN 'rejectedRecentMemberSupport' ELSE 'accepted' END}}) AS met
+          FROM (SELECT *, list_transform(st, lambda s, k: {{'k': k, 'story_id': s.story_id, 'cen': {cos("s.c", "c")}, 'hea': {cos("s.h", "h")}, 'bod': {cos("s.b", "b")}, 'rep': {cos("s.rep", "c")},
+              'rec': list_avg(list_transform(s.recent[-3:], lambda r: {cos("r", "c")})), 'clash': len(acts) > 0 AND len(s.acts) > 0 AND NOT list_has_any(acts, s.acts)}}) AS pre
+            FROM (SELECT i.*, list_filter(f.st, lambda s: i.at_s - s.at_s <= {window}) AS st FROM folded f JOIN ordered i ON i.corpus_id = f.corpus_id AND i.p = f.p + 1)))))))"""
+
+
+_CORPUS_SQL = f"""own AS (SELECT vec_id, {_VEC} AS v FROM embeddings), anchors AS (SELECT vec_id // 5 AS anchor, arg_min(v, vec_id) AS body FROM own GROUP BY ALL),
+  u AS (SELECT vec_id, vec_id // 5 % 4 AS corpus_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS h,
+    CASE WHEN vec_id % 11 <> 0 THEN list_transform(body, lambda x: x / sqrt(list_sum(list_transform(body, lambda y: y * y)))) END AS b FROM own JOIN anchors ON anchor = vec_id // 5),
+  its AS (SELECT corpus_id, vec_id AS item_id, {derived.BASE_SECONDS} + (vec_id * 7 % 720) * 3600 AS at_s, 'p' || vec_id % 3 AS pub, h, b, CASE WHEN b IS NULL THEN h ELSE list_transform(list_zip(h, b), lambda z: z[1] * 0.4 + z[2] * 0.6) END AS c,
+    CASE vec_id % 4 WHEN 0 THEN ['approve'] WHEN 1 THEN ['reject'] ELSE []::VARCHAR[] END AS acts FROM u)"""
+ASSIGNED_SQL = f"""WITH RECURSIVE {_CORPUS_SQL}, {_folded_sql(THRESHOLD, WINDOW)}"""
+
+
+@query("k1_story_assignments", f"{ASSIGNED_SQL} SELECT item_id, story_id, round(similarity, 6) AS similarity, publisher_count FROM folded WHERE p > 0")
 def k1_story_assignments(spark, sf):
     assigned = stories.assign_stories(_corpus(spark, sf), THRESHOLD, WINDOW)
     return assigned.select("item_id", "story_id", F.round("similarity", 6).alias("similarity"), "publisher_count")
 
 
-@query("k3_story_diagnostics")
+@query("k3_story_diagnostics", f"""{ASSIGNED_SQL}, shown AS (SELECT item_id, story_id AS own, unnest(seen) AS m, unnest(range(len(seen))) AS r FROM folded WHERE p > 0)
+  SELECT item_id, CASE WHEN r < 10 THEN r ELSE 10 END::INT AS position, m.story_id AS candidate_id, round(m.cen, 6) AS centroid, round(m.hea, 6) AS headline, round(m.bod, 6) AS body, round(m.rep, 6) AS representative,
+    round(m.rec, 6) AS recent, m.compatible AS actions_compatible, m.decision, m.story_id = own AS selected FROM shown WHERE r < 10 OR m.story_id = own""")
 def k3_story_diagnostics(spark, sf):
-    found = stories.diagnostics(stories.assign_stories(_corpus(spark, sf), THRESHOLD, WINDOW))
+    found = stories.diagnostics(_corpus(spark, sf), THRESHOLD, WINDOW)
     numbers = ["centroid", "headline", "body", "representative", "recent"]
     return found.select(*[F.round(c, 6).alias(c) if c in numbers else F.col(c) for c in found.columns])
 
@@ -142,18 +180,26 @@ def _run(spark, sf) -> DataFrame:
     return stories.with_vectors(joined).withColumn("actions", F.expr("cast(array() as array<string>)"))
 
 
-@query("k4_unready_rows", f"""WITH {duck.ITEMS_BASE}, r AS (SELECT item_id, CASE WHEN {duck.words(duck.squash("body_text"))} < 8 THEN 'insufficientText' WHEN item_id % 12 = 0 THEN 'unsupportedLanguage'
-    WHEN language IN ('en', 'fr') THEN 'ready' ELSE 'translationNotInstalled' END AS readiness, vec_id FROM items_base LEFT JOIN embeddings ON vec_id = item_id)
-  SELECT item_id, CASE WHEN readiness = 'ready' AND vec_id IS NULL THEN 'embeddingUnavailable' ELSE readiness END AS readiness, readiness = 'ready' AND vec_id IS NOT NULL AS assigned,
-    CASE WHEN readiness = 'ready' AND vec_id IS NOT NULL THEN 1 ELSE 0 END AS min_publishers FROM r""")
+def _run_sql(threshold: float, window: int, recent: str = "true") -> str:
+    """Common tables: ``r`` with every item's readiness and ``folded`` with the assignment of the ready ones."""
+    return f"""WITH RECURSIVE {duck.ITEMS_BASE}, r AS (SELECT item_id, reader_id, feed_id, published_at, CASE WHEN {duck.words(duck.squash("body_text"))} < 8 THEN 'insufficientText' WHEN item_id % 12 = 0 THEN 'unsupportedLanguage'
+    WHEN language IN ('en', 'fr') THEN 'ready' ELSE 'translationNotInstalled' END AS readiness, vec_id, {_VEC} AS v FROM items_base LEFT JOIN embeddings ON vec_id = item_id WHERE {recent}),
+  its AS (SELECT reader_id AS corpus_id, item_id, epoch(published_at)::BIGINT AS at_s, feed_id AS pub, h, h AS b, list_transform(list_zip(h, h), lambda z: z[1] * 0.4 + z[2] * 0.6) AS c, []::VARCHAR[] AS acts
+    FROM (SELECT *, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS h FROM r WHERE readiness = 'ready' AND vec_id IS NOT NULL)), {_folded_sql(threshold, window)}"""
+
+
+@query("k4_unready_rows", f"""{_run_sql(0.82, WINDOW)}
+  SELECT r.item_id, CASE WHEN readiness = 'ready' AND vec_id IS NULL THEN 'embeddingUnavailable' ELSE readiness END AS readiness, f.story_id, coalesce(f.publisher_count, 0) AS publisher_count
+  FROM r LEFT JOIN (SELECT * FROM folded WHERE p > 0) f USING (item_id)""")
 def k4_unready_rows(spark, sf):
-    out = stories.assignments(_run(spark, sf), 0.82, WINDOW)
-    return out.select(
-        "item_id", "readiness", F.col("story_id").isNotNull().alias("assigned"), F.least("publisher_count", F.lit(1)).alias("min_publishers")
-    )
+    return stories.assignments(_run(spark, sf), 0.82, WINDOW).select("item_id", "readiness", "story_id", "publisher_count")
 
 
-@query("k5_story_preview")
+@query("k5_story_preview", f"""{_run_sql(0.2, 48 * HOUR, f"published_at BETWEEN date_trunc('day', {duck.NOW}) - INTERVAL 1 DAY AND {duck.NOW}")},
+  placed AS (SELECT f.story_id, item_id, published_at, feed_id FROM folded f JOIN r USING (item_id) WHERE p > 0),
+  shown AS (SELECT story_id FROM placed GROUP BY story_id HAVING count(*) >= 2 AND count(DISTINCT feed_id) >= 2)
+  SELECT story_id, item_id, row_number() OVER (PARTITION BY story_id ORDER BY published_at DESC, item_id) AS position FROM placed SEMI JOIN shown USING (story_id)
+  UNION ALL SELECT NULL, item_id, NULL FROM r WHERE item_id NOT IN (SELECT item_id FROM placed SEMI JOIN shown USING (story_id))""")
 def k5_story_preview(spark, sf):
     """The daily preview: recent items, assignment, useful stories and what stays outside them."""
     run = _run(spark, sf).filter(library.recent_window(F.col("published_at"), derived.now()))
@@ -166,6 +212,16 @@ def k5_story_preview(spark, sf):
     )
 
 
+@query("k6_story_shards", f"""WITH RECURSIVE {_CORPUS_SQL}, edges AS (SELECT a.item_id AS x, b.item_id AS y FROM its a JOIN its b ON a.corpus_id = b.corpus_id AND a.item_id <> b.item_id AND list_cosine_similarity(a.c, b.c) >= {THRESHOLD} - 0.055),
+  reach AS (SELECT item_id AS node, item_id AS comp FROM its UNION SELECT y, comp FROM reach JOIN edges ON x = node), least_of AS (SELECT node, min(comp) AS comp FROM reach GROUP BY node)
+  SELECT node AS item_id, comp AS shard, count(*) OVER (PARTITION BY comp) AS n FROM least_of""")
+def k6_story_shards(spark, sf):
+    """What story assignment is split by: components of everything similar, whatever its time, and their sizes."""
+    graph = similarity.story_graph(_corpus(spark, sf).withColumnRenamed("combined", "vector"), "item_id", None, THRESHOLD - fixed.COHESION_SLACK)
+    sizes = graph.groupBy("component").agg(F.count("*").alias("n"))
+    return graph.join(sizes, "component").select(F.col("node").alias("item_id"), F.col("component").alias("shard"), "n")
+
+
 _MEMBERS = f"members AS (SELECT 's' || label AS story_id, vec_id AS item_id, {_at_sql(7)} AS ts, {_VEC} AS v FROM embeddings)"
 
 

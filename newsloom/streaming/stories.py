@@ -1,60 +1,94 @@
-"""Story assignment on a stream: the same fold as in batch, its open stories kept as keyed state."""
+"""Story assignment on a stream, in event time: items wait until the watermark has passed them.
+
+Every micro-batch is an ordinary job over three tables of the folder: the items that wait, the last states
+of the stories that are open, and the clock. What the watermark has passed is folded in order of time,
+in shards of what is similar (``newsloom.operators.stories``), so no corpus goes through one task. An
+item that comes after the watermark cannot be replayed and goes to the table ``late``. Each table has one
+folder per batch, made from earlier folders only: a batch that is repeated gives the same tables.
+"""
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from newsloom.operators import stories
+from newsloom.session import durable
+from newsloom.streaming.refresh import newest
+
+_CLOCK = "batch_id bigint, mark bigint, seen bigint"
+_COLUMNS = ["corpus_id", "item_id", "published_at", "publisher_key", "headline", "body", "combined", "actions"]
+
 
-OUTPUT = "corpus_id {corpus}, item_id {item}, story_id string, similarity double, publisher_count int, late boolean"
-STATE = "open_stories binary, newest_us bigint"
+def _fold(spark: SparkSession, folder: str, batch_id: int, ready: DataFrame, mark: int, seen: int, threshold: float, window_seconds: int) -> int:
+    """Assign ``ready`` after the stories open so far; returns how many items have been placed in all."""
+    write = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+    opened = newest(spark, f"{folder}/open", batch_id)
+    items = durable(stories.in_order(ready, seen))
+    found = stories.states(items, threshold, window_seconds, opened)
+    write(stories.assigned(items, found, window_seconds).join(items.select("item_id", "corpus_id"), "item_id"), "assigned")
+    last = found.filter((F.col("until") == stories.LAST) & (F.col("at_us") >= mark - window_seconds * 1_000_000))
+    write(last, "open")
+    return seen + items.count()
 
 
-def assign_stream(items: DataFrame, threshold: float, window_seconds: int, lateness: str = "0 seconds") -> DataFrame:
-    """Assign arriving items per corpus; columns as in the batch operator.
+def assign_batch(folder: str, threshold: float, window_seconds: int, lateness_seconds: int = 0) -> Callable[[DataFrame, int], None]:
+    """The work of one micro-batch of items (columns as in the batch operator).
 
-    Within a micro-batch items are sorted. An item older than what its corpus has already seen
-    cannot be replayed: it comes out marked late, without a story. A silent corpus loses its state
-    one window after its newest item.
+    The watermark is the newest time seen so far less ``lateness_seconds``, over all corpora. Items before
+    the last watermark are late, items before the new one are folded, the others wait. Rows without a time
+    or a vector are late, too.
     """
-    window_us = window_seconds * 1_000_000
-    schema = OUTPUT.format(
-        corpus=items.schema["corpus_id"].dataType.simpleString(), item=items.schema["item_id"].dataType.simpleString()
-    )
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames), ignore_index=True)
-        blob, newest = state.get if state.exists else (None, None)
-        known = pickle.loads(blob) if blob is not None else []
-        is_late = rows.at_us < newest if newest is not None else pd.Series(False, index=rows.index)
-        assigned, known = stories.fold(stories.items_frame(rows[~is_late]), known, threshold, window_us)
-        newest = max([*rows.at_us.tolist(), *([newest] if newest is not None else [])])
-        state.update((pickle.dumps(known), newest))
-        due_ms = (newest + window_us) // 1000 + 1
-        if due_ms > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(due_ms)
-        names = ["item_id", "story_id", "similarity", "publisher_count"]
-        done = pd.DataFrame([{n: row[n] for n in names} for row in assigned], columns=names)
-        done["late"] = False
-        late = pd.DataFrame({"item_id": rows.item_id[is_late], "story_id": None, "similarity": None, "publisher_count": 0, "late": True})
-        for part in (done, late):
-            if len(part):
-                part.insert(0, "corpus_id", key[0])
-                yield part
-
-    prepared = items.withWatermark("published_at", lateness).select(
-        "corpus_id", "item_id", "published_at", "publisher_key", "headline", "body", "combined", "actions",
-        F.unix_micros("published_at").alias("at_us"),
-    )
-    return prepared.groupBy("corpus_id").applyInPandasWithState(
-        step, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+
+    def run(arrived: DataFrame, batch_id: int) -> None:
+        spark = arrived.sparkSession
+        write = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+        clock = newest(spark, f"{folder}/clock", batch_id)
+        before = clock.first() if clock is not None else None
+        rows = durable(arrived.select(*_COLUMNS).withColumn("_us", F.unix_micros("published_at")))
+        newest_us = rows.agg(F.max("_us")).first()[0]
+        mark, seen = (before.mark, before.seen) if before else (None, 0)
+        if newest_us is not None:
+            mark = max(newest_us - lateness_seconds * 1_000_000, mark if mark is not None else newest_us - lateness_seconds * 1_000_000)
+        unusable = F.col("_us").isNull() | F.col("combined").isNull()
+        late = unusable if before is None or before.mark is None else unusable | (F.col("_us") < before.mark)
+        write(rows.filter(late).drop("_us"), "late")
+        waiting = newest(spark, f"{folder}/waiting", batch_id)
+        pending = rows.filter(~late)
+        pending = pending if waiting is None else pending.unionByName(waiting)
+        passed = F.coalesce(F.col("_us") < F.lit(mark).cast("bigint"), F.lit(False))
+        write(pending.filter(~passed), "waiting")
+        seen = _fold(spark, folder, batch_id, pending.filter(passed).drop("_us"), mark or 0, seen, threshold, window_seconds)
+        write(spark.createDataFrame([(batch_id, mark, seen)], _CLOCK), "clock")
+
+    return run
+
+
+def start_assigning(items: DataFrame, folder: str, threshold: float, window_seconds: int, lateness_seconds: int = 0) -> StreamingQuery:
+    """Run the assignment over a stream of items until all that is there has been taken in."""
+    work = assign_batch(folder, threshold, window_seconds, lateness_seconds)
+    return items.writeStream.foreachBatch(work).option("checkpointLocation", f"{folder}/_stream").trigger(availableNow=True).start()
+
+
+def close(spark: SparkSession, folder: str, threshold: float, window_seconds: int) -> None:
+    """Fold what still waits: nothing more will come. Done again, it changes nothing."""
+    waiting = newest(spark, f"{folder}/waiting")
+    if waiting is None or waiting.isEmpty():
+        return
+    clock = newest(spark, f"{folder}/clock").first()
+    number = clock.batch_id + 1
+    seen = _fold(spark, folder, number, waiting.drop("_us"), clock.mark, clock.seen, threshold, window_seconds)
+    spark.createDataFrame([(number, clock.mark, seen)], _CLOCK).write.mode("overwrite").parquet(f"{folder}/clock/batch={number}")
+    waiting.limit(0).write.mode("overwrite").parquet(f"{folder}/waiting/batch={number}")
+
+
+def streamed_assignments(spark: SparkSession, folder: str) -> DataFrame:
+    """(corpus_id, item_id, story_id, similarity, publisher_count, late) of all items placed or late so far."""
+    columns = ["corpus_id", "item_id", "story_id", "similarity", "publisher_count"]
+    done = spark.read.parquet(f"{folder}/assigned").select(*columns, F.lit(False).alias("late"))
+    missed = spark.read.parquet(f"{folder}/late").select("corpus_id", "item_id")
+    absent = [F.lit(None).cast("string").alias("story_id"), F.lit(None).cast("double").alias("similarity"), F.lit(0).alias("publisher_count")]
+    return done.unionByName(missed.select("corpus_id", "item_id", *absent, F.lit(True).alias("late")))

@@ -91,11 +91,15 @@ def naive(spark, frame, threshold, window):
     return result
 
 
-@pytest.mark.parametrize("block", [4, 11, 5000])
-def test_assignment_equals_plain_loop(spark, block):
+@pytest.mark.parametrize("batch", [4, 11, 5000])
+def test_assignment_equals_plain_loop(spark, batch):
+    """However many rows of a shard come at a time."""
     frame = stories.with_vectors(spark.createDataFrame(rows(), SCHEMA))
-    done = stories.assign_stories(frame, 0.95, 72 * HOUR, block)
-    found = {r.item_id: r.story_id for r in done.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = {r.item_id: r.story_id for r in stories.assign_stories(frame, 0.95, 72 * HOUR).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert found == naive(spark, frame, 0.95, 72 * HOUR)
     assert 1 < len(set(found.values())) < len(found)
 
@@ -108,22 +112,126 @@ def test_window_edge_is_inside(spark):
         assert len({r.story_id for r in stories.assign_stories(frame, 0.82, 72 * HOUR).collect()}) == groups
 
 
-def test_stream_over_two_runs_equals_batch(spark, tmp_path):
-    frame = stories.with_vectors(spark.createDataFrame(rows(60), SCHEMA))
-    want = {r.item_id: r.story_id for r in stories.assign_stories(frame, 0.95, 72 * HOUR).collect()}
-    cut = F.lit(START + timedelta(hours=150))
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for part in (frame.filter(F.col("published_at") < cut), frame.filter(F.col("published_at") >= cut)):
-        part.write.mode("append").parquet(source)
+@pytest.mark.parametrize("lateness", [0, 60])
+def test_stream_out_of_order_equals_batch(spark, tmp_path, lateness):
+    """Three batches, up to 50 hours out of order: waited for, nothing is late; not waited for, what is late has no story."""
+    frame = stories.with_vectors(spark.createDataFrame(rows(60), SCHEMA)).cache()
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    hours = F.floor((F.unix_seconds("published_at") - F.unix_seconds(F.lit(START))) / HOUR) + F.col("item_id") * 13 % 50
+    marks, late = None, set()
+    for part in range(3):
+        some = frame.filter(F.least(F.floor(hours / 150), F.lit(2)) == part)
+        rows_ = some.collect()
+        late |= {r.item_id for r in rows_ if marks is not None and r.published_at < marks}
+        newest = max((r.published_at for r in rows_), default=START) - timedelta(hours=lateness)
+        marks = max(marks or newest, newest)
+        some.coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(frame.schema).parquet(source)
-        (
-            streamed.assign_stream(stream, 0.95, 72 * HOUR).writeStream.format("parquet").outputMode("append")
-            .option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-            .awaitTermination()
-        )
-    found = spark.read.parquet(out).collect()
-    assert not any(r.late for r in found)
-    assert {r.item_id: r.story_id for r in found} == want
+        streamed.start_assigning(stream, folder, 0.95, 72 * HOUR, lateness * HOUR).awaitTermination()
+    for _ in range(2):  # closing twice changes nothing
+        streamed.close(spark, folder, 0.95, 72 * HOUR)
+    found = streamed.streamed_assignments(spark, folder).collect()
+    assert len(found) == 60 and {r.item_id for r in found if r.late} == late and (lateness == 0) == bool(late)
+    assert all((r.story_id is None) == r.late for r in found)
+    kept = frame.filter(~F.col("item_id").isin([-1, *late]))
+    want = {r.item_id: (r.story_id, r.similarity and round(r.similarity, 9), r.publisher_count) for r in stories.assign_stories(kept, 0.95, 72 * HOUR).collect()}
+    assert {r.item_id: (r.story_id, r.similarity and round(r.similarity, 9), r.publisher_count) for r in found if not r.late} == want
+
+
+def test_a_story_stays_in_its_shard(spark):
+    frame = stories.with_vectors(spark.createDataFrame(rows(), SCHEMA))
+    items = stories.in_order(frame)
+    shard = {r.node: r.shard for r in stories.shards(items, 0.95).collect()}
+    groups = {}
+    for r in stories.states(items, 0.95, 72 * HOUR).filter("item_id is not null").collect():
+        groups.setdefault(r.story_id, set()).add(shard[f"i{r.item_id}"])
+    assert all(len(g) == 1 for g in groups.values()) and len(set(shard.values())) > 4
+
+
+def test_diagnostics_list_the_nearest_and_the_joined(spark):
+    frame = stories.with_vectors(spark.createDataFrame(rows(), SCHEMA))
+    found = stories.diagnostics(frame, 0.95, 72 * HOUR, k=1).collect()
+    joined = {r.item_id: r.story_id for r in stories.assign_stories(frame, 0.95, 72 * HOUR).collect() if r.story_id != f"story-{r.item_id}"}
+    assert {r.item_id: r.candidate_id for r in found if r.selected} == joined
+    assert all(r.decision == "accepted" for r in found if r.selected)
+    assert all(r.actions_compatible or r.representative < 0.985 for r in found)
+    three = [(0, 1, START, "p", angle(0), None, ["approve"]), (0, 2, START, "q", angle(24), None, ["reject"]), (0, 3, START, "r", angle(13), None, ["approve"])]
+    found = stories.diagnostics(stories.with_vectors(spark.createDataFrame(three, SCHEMA)), 0.9, HOUR, k=1).filter("item_id = 3").orderBy("position").collect()
+    assert [(r.position, r.candidate_id, r.decision, r.selected) for r in found] == [(0, "story-2", "rejectedActionMismatch", False), (1, "story-1", "accepted", True)]
+
+
+def points(n):
+    """Vectors of three clouds and noise, some of them equal, one without direction."""
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    base = draw.normal(size=(3, 6))
+    out = [(base[i % 3] + draw.normal(size=6) * 0.35).tolist() for i in range(n)]
+    return [out[0] if i % 5 == 0 else [0.0] * 6 if i == 7 else v for i, v in enumerate(out)]
+
+
+def cos(a, b):
+    size = math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    return sum(x * y for x, y in zip(a, b)) / size if size else math.nan
+
+
+@pytest.mark.parametrize("block", [4, 30, 20_000])
+@pytest.mark.parametrize("how", [{"threshold": 0.9}, {"nearest": 3}, {"threshold": 0.9, "forest": True}])
+def test_joins_over_cells_are_those_of_all_pairs(spark, monkeypatch, block, how):
+    monkeypatch.setattr(similarity, "RUN", 25)
+    given = points(90)
+    data = [(i % 2, i, v, START + timedelta(hours=i * 7 % 40)) for i, v in enumerate(given)]
+    right = spark.createDataFrame(data, "k int, right_id int, vector array<double>, right_at timestamp")
+    left = right.withColumnsRenamed({"right_id": "left_id", "right_at": "left_at"})
+    pairs = [(a, b, cos(given[a], given[b])) for _, a, _, s in data for _, b, _, t in data if a % 2 == b % 2 and timedelta(0) <= s - t <= timedelta(hours=20)]
+    pairs = [p for p in pairs if not math.isnan(p[2])]
+    found = similarity.cosine_join(left, right, ["k"], span_seconds=20 * HOUR, block=block, **how)
+    linked = [(a, b) for a, b, c in pairs if c >= 0.9]
+    if how.get("forest"):
+        edges = [tuple(r) for r in found.collect()]
+        want = dict(enumerate(range(90)))
+        for _ in range(90):
+            for a, b in linked:
+                want[a] = want[b] = min(want[a], want[b])
+        got = {r.node: r.component for r in similarity.components(spark.createDataFrame(edges, "a int, b int")).collect()}
+        assert got == {i: c for i, c in want.items() if list(want.values()).count(c) > 1}
+    elif "threshold" in how:
+        assert sorted((r.left_id, r.right_id) for r in found.collect()) == sorted(linked)
+    else:
+        want = {}
+        for a, b, c in sorted(pairs, key=lambda p: (p[0], -round(p[2], 6), p[1])):
+            want.setdefault(a, []).append(b)
+        best = similarity.top_k(found, ["left_id"], [F.round("similarity", 6).desc(), F.col("right_id")], 3).orderBy("left_id", "rank").collect()
+        got = {}
+        for r in best:
+            got.setdefault(r.left_id, []).append(r.right_id)
+        assert got == {a: b[:3] for a, b in want.items()}
+
+
+def test_cells_leave_out_what_cannot_match(spark):
+    """Of 40 tight clouds a row meets its own and not the others; copies cost a row each."""
+    import numpy as np
+
+    base = np.random.default_rng(8).normal(size=(40, 16))
+    data = [(1, i, (base[i % 40] + 0.01 * np.sin(np.arange(16) * (i + 1))).tolist(), START) for i in range(800)]
+    right = spark.createDataFrame(data, "k int, id int, vector array<double>, at timestamp")
+    side = similarity._side(right, ["k"], "id", "at", F.lit(0), F.lit(0))
+    homed, cells = similarity._planned(side, 20, 128)
+    routed = similarity._routed(side.withColumn("reach", F.lit(math.acos(0.9))), cells, "all")
+    held = sum(cells.parts[r.cell] for r in routed.select("cell").collect())
+    assert homed.count() == 800 and held < 800 * 16 and len(cells.parts) > 100
+
+
+@pytest.mark.parametrize("block", [500, 20_000])
+def test_many_copies_cost_an_edge_each(spark, block):
+    rows_ = spark.range(10_000).select(F.lit(1).alias("corpus_id"), "id", F.array(F.lit(1.0), F.lit(2.0)).alias("vector"), F.lit(START).alias("at"))
+    for window in (None, 72 * HOUR):
+        graph = similarity.story_graph(rows_, "id", window, 0.9, block)
+        assert graph.count() == 10_000 and graph.select("component").distinct().collect()[0][0] == 0
+    left = rows_.withColumnsRenamed({"id": "left_id", "at": "left_at"})
+    right = rows_.withColumnsRenamed({"id": "right_id", "at": "right_at"})
+    edges = similarity.cosine_join(left, right, ["corpus_id"], threshold=0.9, block=block, forest=True).count()
+    assert edges <= 10_000 * (1 + -(-10_000 // block))
 
 
 @pytest.mark.parametrize("block", [3, 2000])

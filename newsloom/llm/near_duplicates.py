@@ -4,13 +4,13 @@ A signature is ``SYMBOLS`` MinHash values of 16 bits, cut into ``CHUNKS`` chunks
 sets of similarity s differ in Bin(SYMBOLS, 1 - s) symbols, so a radius r exists that such pairs keep
 with all but ``MISS`` probability. If chunk i allows a_i errors and the sum of (a_i + 1) is above r, two
 signatures within r agree in some chunk up to a_i symbols (pigeonhole), hence on one of the keys that
-leave out a_i symbols of that chunk. Every pair that meets on a key ends up in one component or is
-confirmed or refuted on the full sets.
+leave out a_i symbols of that chunk. Signatures that meet on a key are compared: those within the radius
+belong to one family, and links are confirmed on the full sets inside a family.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -25,11 +25,13 @@ from newsloom.llm.words import blocks, constants, hashed_words, mix, shingle_set
 from newsloom.operators.similarity import components
 from newsloom.session import durable
 
-CHUNKS, PER_CHUNK = 8, 4
+CHUNKS, PER_CHUNK = 12, 4
 SYMBOLS = CHUNKS * PER_CHUNK
 MISS = 1e-5
-#: Classes that are compared with each other in one step, and shingles taken at a time.
-TILE = 512
+#: Classes whose sets, or signatures, are compared with each other in one step.
+TILE, SIGNATURES = 512, 4096
+#: Bytes of sets that a step holds, but for one set alone; shingles, and comparisons of signatures, at a time.
+TILE_BYTES = 1 << 26
 _SLICE = 4096
 _PARTS = [f"_s{i}" for i in range(CHUNKS)]
 _LANE = 0xFFFF
@@ -145,8 +147,47 @@ def _links(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> np.ndarra
         label = low[low]
 
 
-def _tile_links(dealt: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that span the components of each pair of tiles; ``dealt`` is in order of the pairs."""
+def _differing(x: Column, y: Column) -> Column:
+    """Number of unequal symbols of two chunks: a symbol's bits are folded onto its lowest one."""
+    bits = x.bitwiseXOR(y)
+    for width in (8, 4, 2, 1):
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, width))
+    return F.bit_count(bits.bitwiseAND(F.lit(0x0001000100010001)))
+
+
+def _near(rows: list[np.ndarray], sides: np.ndarray, r: int) -> np.ndarray:
+    """For each signature the first one of its component among these; links differ in at most ``r`` symbols.
+
+    The first of a row's values says whether the row is still open; two closed rows are in one family anyhow.
+    """
+    table = np.stack(rows)
+    label, signs = np.arange(len(table)), table[:, 1:]
+    open_ = np.flatnonzero(table[:, 0])
+    step = max(1, (_SLICE * 256) // (len(table) * SYMBOLS))
+    pairs = []
+    for start in range(0, len(open_), step):
+        part = open_[start : start + step]
+        near = (signs[part, None, :] != signs[None, :, :]).sum(2) <= r
+        if len(set(sides.tolist())) > 1:
+            near &= sides[part, None] != sides[None, :]
+        one, other = np.nonzero(near)
+        pairs.append(np.stack([part[one], other]))
+    one, other = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), int)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, one, label[other])
+        np.minimum.at(low, other, label[one])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _tile_links(dealt: DataFrame, compare: Callable[[list[np.ndarray], np.ndarray], np.ndarray], kind_of: type) -> DataFrame:
+    """(a, b): links that span the components of each pair of tiles; ``dealt`` is in order of the pairs.
+
+    ``compare`` gets the rows' values (``set`` as an array of ``kind_of``) and sides.
+    """
     kind = dealt.schema["rep"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
@@ -155,8 +196,8 @@ def _tile_links(dealt: DataFrame, percent: int) -> DataFrame:
 
         def done():
             rep = pa.chunked_array([x for x, _, _ in held]).combine_chunks()
-            sets = [np.frombuffer(s.as_buffer(), np.uint64) for _, column, _ in held for s in column]
-            label = _links(sets, np.concatenate([side for _, _, side in held]), percent)
+            sets = [np.frombuffer(s.as_buffer(), kind_of) for _, column, _ in held for s in column]
+            label = compare(sets, np.concatenate([side for _, _, side in held]))
             other = np.flatnonzero(label != np.arange(len(sets)))
             return pa.RecordBatch.from_arrays([rep.take(pa.array(other)), rep.take(pa.array(label[other]))], names=["a", "b"])
 
@@ -184,47 +225,89 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     component is named after its smallest id. Rows with the same id are one document. A row
     without id takes no part: its component_id is null and it is kept.
 
-    Equal sets become one class first, so exact copies cost one row each. Classes that meet on a key, directly
-    or through others, are a family. A family is one tile, or several of at most about ``TILE`` classes
-    in order of its most common keys; two tiles are compared if some key occurs in both. A comparison counts
-    shared shingles of all its pairs at once and gives out only links that span its components, so no
-    pair is written. Nothing is capped; only classes that meet another have their texts read again.
+    Equal sets become one class first, so exact copies cost one row each. Classes that meet on a key and whose
+    signatures are within the radius are a family (directly or through others): every class is compared
+    with the first of its key, and where some are not within the radius of that one, these with all of
+    the key, in blocks. Full sets are compared inside families only. A family is one tile, or several of at
+    most about ``TILE`` classes and ``TILE_BYTES``; two tiles are compared if some key occurs in both. A
+    comparison counts shared shingles of all its pairs at once and gives out only links that span its
+    components, so no pair is written. Nothing is capped; only classes of a family have their texts read again.
     """
     given = docs.select(docs[ident].alias("id"), docs[text].alias("text"))
     rows = durable(sketches(given, size))
     part = rows.filter(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     same = ["n_shingles", "_da", "_db"]
     classes = durable(part.groupBy(*same).agg(F.min("id").alias("rep"), *[F.max(s).alias(s) for s in _PARTS]))
-    keyed = classes.select("rep", F.explode(_keys(radius(percent / 100))).alias("key"))
+    r = radius(percent / 100)
+    keyed = classes.select("rep", F.explode(_keys(r)).alias("key"))
     met = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("first")).filter("n > 1")
     shared = durable(keyed.join(met, "key"))
-    tiles = _tiles(shared)
+    families = components(_met_within(shared, classes, r))
+    weights = classes.select("rep", "n_shingles")
+    placed = shared.join(families.select(F.col("node").alias("rep"), "component"), "rep").join(weights, "rep")
+    tiles = _tiles(placed)
     sets = _sets(given.join(bounded(tiles.select(F.col("rep").alias("id")).distinct()), "id", "left_semi"), size)
-    present = shared.join(tiles, "rep").select("key", "tile").distinct()
-    meeting = present.alias("x").join(present.alias("y"), "key").filter("x.tile <= y.tile").select(F.col("x.tile").alias("low"), F.col("y.tile").alias("high")).distinct()
+    present = placed.join(tiles, "rep").select("component", "key", "tile").distinct()
+    meeting = present.alias("x").join(present.alias("y"), ["component", "key"]).filter("x.tile <= y.tile").select(F.col("x.tile").alias("low"), F.col("y.tile").alias("high")).distinct()
     both = F.when(F.col("low") == F.col("high"), F.array("low")).otherwise(F.array("low", "high"))
     sides = meeting.select("low", "high", F.posexplode(both).alias("side", "tile"))
     dealt = sides.join(tiles, "tile").join(sets.withColumnRenamed("id", "rep"), "rep")
-    links = _tile_links(dealt.repartition("low", "high").sortWithinPartitions("low", "high"), percent)
+    links = _tile_links(_in_order(dealt), lambda values, sides: _links(values, sides, percent), np.uint64)
     return _result(rows, classes, components(links), ident)
 
 
-def _tiles(shared: DataFrame) -> DataFrame:
-    """(rep, tile) from (key, rep, n, first): families, the large ones in parts of about ``TILE`` classes.
+def _in_order(dealt: DataFrame) -> DataFrame:
+    return dealt.select("low", "high", "side", "rep", "set").repartition("low", "high").sortWithinPartitions("low", "high")
+
+
+def _met_within(shared: DataFrame, classes: DataFrame, r: int) -> DataFrame:
+    """(a, b): spanning links between classes that share a key and differ in at most ``r`` symbols.
+
+    ``shared``: (key, rep, n, first). A class and the first of a key are compared once, however many keys
+    they share. A key where all are within the radius of its first is done.
+    """
+    pairs = shared.filter("rep <> first").select("rep", "first").distinct()
+    mine = classes.select("rep", *_PARTS)
+    theirs = classes.select(F.col("rep").alias("first"), *[F.col(p).alias(f"{p}f") for p in _PARTS])
+    apart = sum((_differing(F.col(p), F.col(f"{p}f")) for p in _PARTS[1:]), _differing(F.col(_PARTS[0]), F.col(f"{_PARTS[0]}f")))
+    judged = durable(pairs.join(mine, "rep").join(theirs, "first").select("rep", "first", (apart <= r).alias("near")))
+    links = judged.filter("near").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    # Keys of two are settled by that one comparison; the first of a key needs none with itself.
+    more = shared.filter("n > 2").join(judged, ["rep", "first"], "left").withColumn("open", ~F.coalesce("near", F.lit(True)))
+    unsettled = more.filter("open").select("key").distinct()
+    parts = F.ceil(F.col("n") / SIGNATURES).cast("long")
+    mine_of = F.pmod(F.xxhash64("rep"), parts)
+    rows = more.join(unsettled, "key").select("key", "rep", "open", mine_of.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    side = F.when(F.col("mine") > F.col("other"), 1).otherwise(0)
+    dealt = rows.select("rep", "open", F.xxhash64("key", low).alias("low"), F.xxhash64("key", high).alias("high"), side.alias("side"))
+    signed = dealt.join(_signatures(classes), "rep").withColumn("set", F.concat(F.when(F.col("open"), F.lit(b"\x01\x00")).otherwise(F.lit(b"\x00\x00")), "signature"))
+    return links.unionByName(_tile_links(_in_order(signed), lambda values, sides: _near(values, sides, r), np.uint16)).distinct()
+
+
+def _signatures(classes: DataFrame) -> DataFrame:
+    """(rep, signature): the chunks as bytes, end to end."""
+    bytes_of = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    return classes.select("rep", F.concat(*[bytes_of(p) for p in _PARTS]).alias("signature"))
+
+
+def _tiles(placed: DataFrame) -> DataFrame:
+    """(rep, tile) from (key, rep, n, component, n_shingles): families, the large ones in parts.
 
     A class of a large family belongs to its most common key. A key with many such classes has tiles of
-    its own; the other keys of the family share tiles, each key whole in one of them.
+    its own; the other keys of the family share tiles, each key whole in one of them. Parts are made by
+    number of classes and by bytes of their sets, whichever needs more of them.
     """
-    families = components(shared.select(F.col("first").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct())
-    sizes = families.groupBy("component").agg(F.count("*").alias("members"))
-    homes = shared.groupBy("rep").agg(F.max(F.struct("n", "key")).getField("key").alias("home"))
-    placed = families.join(sizes, "component").join(homes, F.col("node") == F.col("rep")).select("rep", "component", "members", "home")
-    crowd = placed.filter(F.col("members") > TILE).groupBy("component", "home").agg(F.count("*").alias("crowd"))
-    placed = placed.join(crowd, ["component", "home"], "left")
-    own = F.xxhash64("component", "home", F.pmod(F.xxhash64("rep"), F.ceil(F.col("crowd") / TILE)))
-    common = F.xxhash64("component", F.pmod(F.xxhash64("home"), F.ceil(F.col("members") / TILE)))
-    tile = F.when(F.col("crowd").isNull(), F.xxhash64("component")).when(F.col("crowd") * 2 >= TILE, own).otherwise(common)
-    return durable(placed.select("rep", tile.alias("tile")))
+    one = placed.groupBy("rep").agg(F.max(F.struct("n", "key")).getField("key").alias("home"), F.max("component").alias("component"), F.max("n_shingles").alias("weight"))
+    parts = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("weight") * 8 / TILE_BYTES)).alias("parts")
+    families = one.groupBy("component").agg(parts)
+    crowds = one.groupBy("component", "home").agg(parts, F.count("*").alias("crowd"), (F.sum("weight") * 8).alias("bytes"))
+    crowds = crowds.select("component", "home", F.col("parts").alias("own"), ((F.col("crowd") * 2 >= TILE) | (F.col("bytes") * 2 >= TILE_BYTES)).alias("crowded"))
+    found = one.join(families, "component").join(crowds, ["component", "home"])
+    own = F.xxhash64("component", "home", F.pmod(F.xxhash64("rep"), "own"))
+    common = F.xxhash64("component", F.pmod(F.xxhash64("home"), "parts"))
+    tile = F.when(F.col("parts") == 1, F.xxhash64("component")).when(F.col("crowded"), own).otherwise(common)
+    return durable(found.select("rep", tile.alias("tile")))
 
 
 def _result(rows: DataFrame, classes: DataFrame, labels: DataFrame, ident: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import fixed, rules
 from newsloom.operators.ranking import keep_first
+from newsloom.session import durable
 
 # Order of the checks; the first that hits names the reason.
 REASONS = ["dup_guid", "dup_link", "dup_fallback"]
@@ -46,23 +47,20 @@ def merge_reasons(incoming: DataFrame, stored: DataFrame, drop_noise: bool = Tru
     return incoming.join(hits, "item_id", "left").withColumn("reason", reason).drop("_kind")
 
 
-def merge_new(
-    incoming: DataFrame, stored: DataFrame, dedupe: bool = True, drop_noise: bool = True, intra_batch: bool = False
-) -> DataFrame:
-    """Rows to append: new, unread, not starred.
+def merge_new(incoming: DataFrame, stored: DataFrame, dedupe: bool = True, drop_noise: bool = True) -> DataFrame:
+    """Rows of one fetch to append: new, unread, not starred; repeats within the fetch stay.
 
-    With ``dedupe=False, drop_noise=False`` this is the initial load of a subscription. Repeats
-    within one batch stay unless ``intra_batch`` asks for one row per identity.
+    With ``dedupe=False, drop_noise=False`` this is the initial load of a subscription.
     """
     rows = incoming
     if dedupe or drop_noise:
         judged = merge_reasons(incoming, stored if dedupe else stored.limit(0), drop_noise)
         rows = judged.filter(F.col("reason") == "inserted").drop("reason")
-    if intra_batch:
-        from newsloom.functions.urls import dedupe_key
+    return _cleaned(rows)
 
-        key = dedupe_key(F.col("guid"), F.col("link"), F.col("feed_id"), F.col("title"), F.col("published_at"))
-        rows = keep_first(rows.withColumn("_key", key), ["feed_id", "_key"], [F.col("item_id")]).drop("_key")
+
+def _cleaned(rows: DataFrame) -> DataFrame:
+    """Rows as they are stored: identities trimmed, unread, not starred."""
     return (
         rows.withColumn("guid", _trim("guid"))
         .withColumn("link", _trim("link"))
@@ -71,6 +69,55 @@ def merge_new(
     )
 
 
+_KEY = ["feed_id", "kind", "h1", "h2"]
+
+
+def identities(items: DataFrame, *keep: str) -> DataFrame:
+    """Identities of items as narrow rows (feed_id, kind, h1, h2, ...): 128 bits of hash in place of the text."""
+    return _identity_keys(items, *keep).select("feed_id", "kind", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"), *keep)
+
+
+def merge_in_order(incoming: DataFrame, known: DataFrame) -> DataFrame:
+    """Items of many fetches with ``reason``, as if the fetches of a feed had been merged one after the other.
+
+    ``incoming`` has item_id, feed_id, guid, title, link, published_at, is_vip and ``discovered_at``, the time
+    of its fetch; items of a feed with one such time are one fetch. ``known`` holds the identities of the stored
+    items. An item counts against later fetches only if it is inserted itself, so what happens to a fetch
+    depends on those before it. That is settled in rounds: an item whose identities nobody earlier claims
+    is inserted, and what meets it later is not. Only items with an identity that several fetches claim
+    take part; a round settles the earliest of every such identity.
+    """
+    noise = ~F.col("is_vip") & rules.is_promotional(F.col("title"), _trim("link"))
+    row = ["item_id", "discovered_at"]
+    marked = incoming.withColumn("_noise", F.coalesce(noise, F.lit(False)))
+    keys = durable(identities(marked, *row, "_noise"))
+    stored = durable(keys.join(known.select(*_KEY).distinct(), _KEY, "left_semi"))
+    claims = keys.filter("not _noise").join(stored.select(*row).distinct(), row, "left_anti").drop("_noise")
+    several = claims.groupBy(*_KEY).agg(F.min("discovered_at").alias("first"), F.max("discovered_at").alias("last")).filter("first < last")
+    open_ = durable(claims.join(claims.join(several, _KEY, "left_semi").select(*row).distinct(), row, "left_semi"))
+    taken = claims.join(open_.select(*row).distinct(), row, "left_anti")
+    while not open_.isEmpty():
+        firsts = open_.groupBy(*_KEY).agg(F.min("discovered_at").alias("first"))
+        free = open_.join(firsts, _KEY).groupBy(*row).agg(F.min((F.col("discovered_at") == F.col("first")).cast("int")).alias("free")).filter("free = 1")
+        now = durable(open_.join(free, row, "left_semi"))
+        held = now.groupBy(*_KEY).agg(F.min("discovered_at").alias("first"))
+        late = open_.join(held, _KEY).filter("discovered_at > first").select(*row).distinct()
+        settled = now.select(*row).distinct().unionByName(late).distinct()
+        taken = taken.unionByName(now)
+        open_ = durable(open_.join(settled, row, "left_anti"))
+    holders = taken.groupBy(*_KEY).agg(F.min("discovered_at").alias("first"))
+    earlier = keys.join(holders, _KEY).filter("discovered_at > first").select(*_KEY, *row)
+    hits = stored.select(*_KEY, *row).unionByName(earlier).groupBy(*row).agg(F.min("kind").alias("_kind"))
+    duplicate = F.get(F.array(*[F.lit(r) for r in REASONS]), F.col("_kind"))
+    reason = F.when(F.col("_kind").isNotNull(), duplicate).when(F.col("_noise"), "noise").otherwise("inserted")
+    return marked.join(hits, row, "left").withColumn("reason", reason).drop("_kind", "_noise")
+
+
+def inserted(judged: DataFrame) -> DataFrame:
+    """The rows of ``merge_in_order`` to append."""
+    return _cleaned(judged.filter("reason = 'inserted'").drop("reason"))
+
+
 def merge_report(judged: DataFrame) -> DataFrame:
     """Counts per feed and reason."""
     return judged.groupBy("feed_id", "reason").agg(F.count("*").alias("n"))
@@ -121,14 +168,23 @@ def conditional_headers(state: DataFrame, items: DataFrame) -> DataFrame:
 
 def apply_read_events(items: DataFrame, events: DataFrame) -> DataFrame:
     """Read state from an event log: the last event of an item wins; an undo is one more event."""
-    last = events.groupBy("item_id").agg(
-        F.max_by("set_read", F.struct("event_at", "event_id")).alias("_set_read")
-    )
-    return (
-        items.join(last, "item_id", "left")
-        .withColumn("is_read", F.coalesce("_set_read", "is_read"))
-        .drop("_set_read")
-    )
+    return with_marks(items, last_marks(events.withColumn("set_starred", F.lit(None).cast("boolean"))).drop("set_starred"))
+
+
+def last_marks(events: DataFrame) -> DataFrame:
+    """(item_id, set_read, set_starred): the last event that sets each; null where none does."""
+    order = F.struct("event_at", "event_id")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
+    return events.groupBy("item_id").agg(last("set_read"), last("set_starred"))
+
+
+def with_marks(items: DataFrame, marks: DataFrame) -> DataFrame:
+    """Items with the read and starred state that ``marks`` set."""
+    out = items.join(marks, "item_id", "left")
+    for name in ("read", "starred"):
+        if f"set_{name}" in marks.columns:
+            out = out.withColumn(f"is_{name}", F.coalesce(f"set_{name}", f"is_{name}"))
+    return out.drop("set_read", "set_starred")
 
 
 def mark_all_read(items: DataFrame, scope: Column, event_at: Column) -> DataFrame:

@@ -79,10 +79,10 @@ _D = f"""d AS (SELECT *, CAST(substr(source, 4) AS INTEGER) % 4 AS kind, doc_id
 _LINK = "'https://' || source || '.example.com/a?id=' || doc_id || '&x=1'"
 
 
-def _item_columns(rows: DataFrame) -> DataFrame:
+def _item_columns(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select(
         "feed_id", "position", "guid", "title", "link", "author", F.md5("summary").alias("summary_digest"),
-        F.md5("content").alias("content_digest"), "image_url", derived.stamp("published_at").alias("published_at"),
+        F.md5("content").alias("content_digest"), "image_url", derived.stamp("published_at").alias("published_at"), *more,
     )
 
 

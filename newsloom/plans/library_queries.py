@@ -372,11 +372,10 @@ def _fetch_log(spark, sf):
 @query("t2_conditional_headers", """WITH log AS (SELECT event_id AS fetch_id, 'src' || (user_id % 20) AS feed_id,
     CASE WHEN event_type IN ('view', 'purchase') THEN 'e' || event_id END AS etag FROM events WHERE event_type NOT IN ('click', 'error'))
   SELECT l.feed_id, CASE WHEN d.feed_id IS NOT NULL THEN max_by(etag, fetch_id) FILTER (WHERE etag IS NOT NULL) END AS if_none_match, CAST(NULL AS VARCHAR) AS if_modified_since
-  FROM log l LEFT JOIN (SELECT DISTINCT source AS feed_id FROM documents WHERE lang = 'es') d ON d.feed_id = l.feed_id GROUP BY l.feed_id, d.feed_id""")
+  FROM log l LEFT JOIN (SELECT DISTINCT source AS feed_id FROM documents) d ON d.feed_id = l.feed_id GROUP BY l.feed_id, d.feed_id""")
 def t2_conditional_headers(spark, sf):
-    """Validators go out only for feeds that have items (here: Spanish ones)."""
-    stocked = _items(spark, sf).filter("language = 'es'")
-    return merge.conditional_headers(merge.refresh_state(_fetch_log(spark, sf)), stocked)
+    """Validators go out only for feeds that have items; the log has feeds that no item is of."""
+    return merge.conditional_headers(merge.refresh_state(_fetch_log(spark, sf)), _items(spark, sf))
 
 
 @query("c35_vip_lists", f"""SELECT reader_id, string_agg(upper(u), ',' ORDER BY upper(u)) AS encoded, count(*) AS n_feeds FROM (

@@ -2,44 +2,59 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions import fixed, text
+from newsloom.functions import fixed
 
 LIMIT = 1_200
 RETRY_LIMIT = 350
 
-_BREAK = f"(?<={fixed.SENTENCE_END}){fixed.WHITESPACE}+|\n+"
+#: The white space of the column functions, with code points as Python writes them.
+_SPACE = re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", fixed.WHITESPACE)
+_SENTENCES = re.compile(f"(?<={fixed.SENTENCE_END}){_SPACE}+|\n+")
+_EDGES = re.compile(rf"\A{_SPACE}+|{_SPACE}+\Z")
+
 
+def packed(whole: str, limit: int) -> list[str]:
+    """Sentences joined by a space up to ``limit`` characters; a longer sentence is cut hard.
 
-def _trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{fixed.WHITESPACE}+|{fixed.WHITESPACE}+$", "")
+    One pass over the sentences: a piece is a run of them, joined when it is full.
+    """
+    if len(whole) <= limit:
+        return [whole]
+    done, run, size = [], [], 0
+    for sentence in _SENTENCES.split(whole):
+        sentence = _EDGES.sub("", sentence)
+        if not sentence:
+            continue
+        if run and size + 1 + len(sentence) <= limit:
+            run.append(sentence)
+            size += 1 + len(sentence)
+            continue
+        if run:
+            done.append(" ".join(run))
+        cuts = [sentence[i : i + limit] for i in range(0, len(sentence), limit)]
+        done += cuts[:-1]
+        run, size = cuts[-1:], len(cuts[-1])
+    return [*done, " ".join(run)] if run else done or [whole]
 
 
 def pieces(whole: Column, limit: int) -> Column:
-    """Sentences joined by a space up to ``limit`` characters; a longer sentence is cut hard.
+    """The pieces of a text, in order; null for null.
 
-    The fold holds the finished pieces and the one still growing. A sentence that does not fit behind
-    it finishes it; of its own cuts, all but the last are finished too.
+    Texts go through Arrow once and whole. A fold of column functions would copy all finished pieces for
+    every sentence.
     """
-    sentences = F.filter(F.transform(F.split(whole, _BREAK), _trimmed), lambda s: s != "")
-
-    def cuts(sentence: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.floor((F.length(sentence) - 1) / limit).cast("int"))
-        return F.transform(starts, lambda i: F.substr(sentence, i * limit + 1, F.lit(limit)))
-
-    def step(state: Column, sentence: Column) -> Column:
-        grown = F.concat_ws(" ", state["open"], sentence)
-        fits = (state["open"] != "") & (F.length(grown) <= limit)
-        ready = F.concat(state["done"], F.filter(F.array(state["open"]), lambda o: o != ""))
-        parts = cuts(sentence)
-        split = F.struct(F.concat(ready, F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("done"), F.element_at(parts, -1).alias("open"))
-        return F.when(fits, F.struct(state["done"].alias("done"), grown.alias("open"))).otherwise(split)
-
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-    packed = F.aggregate(sentences, start, step, lambda s: F.concat(s["done"], F.filter(F.array(s["open"]), lambda o: o != "")))
-    return F.when(F.length(whole) <= limit, F.array(whole)).otherwise(text.bind(packed, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(whole))))
+
+    @F.pandas_udf("array<string>")
+    def pack(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else packed(t, limit))
+
+    return pack(whole)
 
 
 def chunk_rows(blocks: DataFrame, column: str, limit: int = LIMIT) -> DataFrame:

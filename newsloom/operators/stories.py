@@ -318,12 +318,17 @@ def diagnostics(df: DataFrame, threshold: float, window_seconds: int, k: int = D
     return judged.select("item_id", "position", F.col("story_id").alias("candidate_id"), "centroid", "headline", "body", "representative", "recent", compatible.alias("actions_compatible"), "decision", "selected")
 
 
-def mean_pooled(tokens: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """Mean of token vectors per group; dimensions are averaged with partial sums, never collected whole."""
-    exploded = tokens.select(*keys, F.posexplode(vector).alias("dim", "x"))
-    means = exploded.groupBy(*keys, "dim").agg(F.avg("x").alias("x"))
-    ordered = F.sort_array(F.collect_list(F.struct("dim", "x")))
-    return means.groupBy(*keys).agg(F.transform(ordered, lambda p: p["x"]).alias("vector"))
+def mean_pooled(tokens: DataFrame, keys: list[str], vector: str, dim: int | None = None) -> DataFrame:
+    """(keys, vector): mean of token vectors per group, one aggregate per dimension of whole vectors.
+
+    Tasks add up their own rows, so a group costs a row per task. ``dim`` is the longest vector's length, looked up
+    where it is not given; a dimension is averaged over the vectors that have it.
+    """
+    if dim is None:
+        dim = tokens.agg(F.max(F.size(vector))).first()[0] or 0
+    means = tokens.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.avg(F.get(vector, F.lit(i))).alias(f"_{i}") for i in range(dim)])
+    whole = F.filter(F.array(*[F.col(f"_{i}") for i in range(dim)]), F.isnotnull) if dim else F.expr("cast(array() as array<double>)")
+    return means.select(*keys, whole.alias("vector"))
 
 
 def recent_support(members: DataFrame, last: int = fixed.RECENT_USED) -> DataFrame:
@@ -343,15 +348,75 @@ def recent_support(members: DataFrame, last: int = fixed.RECENT_USED) -> DataFra
     )
 
 
+def _padded(old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    size = max(len(old), len(new))
+    return np.pad(old, (0, size - len(old))) + np.pad(new, (0, size - len(new)))
+
+
+def _running(rows: DataFrame, keys: list[str], each_row: bool) -> DataFrame:
+    """Running sums over rows in order of ``keys`` (which begin anew with every key).
+
+    Rows have ``n`` and ``total`` (a vector). With ``each_row`` every row gets the sums up to and with itself;
+    otherwise a key's rows become one, the sums of all of them.
+    """
+    at = [rows.columns.index(c) for c in (*keys, "n", "total")]
+    kept = [c for c in rows.columns if c not in ("n", "total")] if each_row else keys
+    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField("n", T.LongType()), T.StructField("total", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        key, n, total = None, 0, np.zeros(0)
+
+        def ended(like):
+            columns = [pa.array([k], like.column(i).type) for k, i in zip(key, at, strict=False)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([n]), pa.array([total], pa.list_(pa.float64()))], names=schema.names)
+
+        last = None
+        for batch in batches:
+            last = batch
+            marks = list(zip(*[batch.column(i).to_pylist() for i in at[: len(keys)]], strict=True))
+            counts, vectors_ = batch.column(at[-2]).to_pylist(), _arrays(batch.column(at[-1]))
+            counted, sums = [], []
+            for mark, count, vector in zip(marks, counts, vectors_, strict=True):
+                if mark != key:
+                    if key is not None and not each_row:
+                        yield ended(batch)
+                    key, n, total = mark, 0, np.zeros(0)
+                n, total = n + count, _padded(total, vector)
+                counted.append(n)
+                sums.append(total)
+            if each_row:
+                columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counted, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], names=schema.names)
+        if key is not None and not each_row:
+            yield ended(last)
+
+    return rows.mapInArrow(run, schema)
+
+
 def running_centroids(members: DataFrame) -> DataFrame:
-    """Centroid of a story after each member, one row per dimension."""
-    from newsloom.operators.ranking import running_sum
-
-    order = [F.col("published_at"), F.col("item_id")]
-    ranked = rank_all(members, ["story_id"], order, "position")
-    exploded = ranked.select("story_id", "item_id", "published_at", "position", F.posexplode("combined").alias("dim", "x"))
-    sums = running_sum(exploded, ["story_id", "dim"], order, F.col("x"), "total")
-    return sums.select("story_id", "item_id", "position", "dim", (F.col("total") / F.col("position")).alias("x"))
+    """(story_id, item_id, position, centroid): centroid of a story after each member, as a whole vector.
+
+    A scan in two levels: members are cut into slices by story and order, a slice adds up its own, and what
+    the earlier slices of a story come to is added to all rows of a later one. A large story is many slices.
+    """
+    order = ["published_at", "item_id"]
+    rows = members.select("story_id", *order, F.lit(1).cast("bigint").alias("n"), F.col("combined").cast("array<double>").alias("total"))
+    sliced = durable(rows.repartitionByRange("story_id", *order).withColumn("slice", F.spark_partition_id()))
+    ordered = sliced.sortWithinPartitions("slice", "story_id", *order)
+    each = _running(ordered, ["slice", "story_id"], True)
+    sums = _running(ordered, ["slice", "story_id"], False)
+    # All but a slice's first and last story lie in it whole; what begins in an earlier slice is one row per slice.
+    spread = sums.join(sums.groupBy("story_id").agg(F.count("*").alias("slices")).filter("slices > 1"), "story_id").drop("slices")
+    upto = _running(spread.repartition("story_id").sortWithinPartitions("story_id", "slice"), ["story_id"], True)
+    before = upto.join(spread.withColumnsRenamed({"n": "own", "total": "own_total"}), ["story_id", "slice"]).select(
+        "story_id", "slice", (F.col("n") - F.col("own")).alias("n_before"), F.zip_with("total", "own_total", lambda t, o: t - F.coalesce(o, F.lit(0.0))).alias("before")
+    )
+    joined = each.join(before.filter("n_before > 0"), ["story_id", "slice"], "left")
+    position = F.col("n") + F.coalesce("n_before", F.lit(0))
+    whole = F.coalesce(F.zip_with("total", "before", lambda t, o: F.coalesce(t, F.lit(0.0)) + F.coalesce(o, F.lit(0.0))), "total")
+    return joined.select("story_id", "item_id", position.alias("position"), whole.alias("sums")).select(
+        "story_id", "item_id", "position", F.transform("sums", lambda x: x / F.col("position")).alias("centroid")
+    )
 
 
 def evaluate_pairs(pairs: DataFrame, threshold: float) -> DataFrame:

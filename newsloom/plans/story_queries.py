@@ -242,7 +242,7 @@ def a16_mean_pooled(spark, sf):
 @query("a17_running_centroids", f"""WITH {_MEMBERS}, d AS (SELECT story_id, item_id, ts, unnest(range(len(v))) AS dim, unnest(v) AS x FROM members)
   SELECT story_id, item_id, dim, row_number() OVER w AS position, round(avg(x) OVER w, 6) AS x FROM d WINDOW w AS (PARTITION BY story_id, dim ORDER BY ts, item_id ROWS UNBOUNDED PRECEDING)""")
 def a17_running_centroids(spark, sf):
-    return stories.running_centroids(_members(spark, sf)).select("story_id", "item_id", "dim", "position", F.round("x", 6).alias("x"))
+    return stories.running_centroids(_members(spark, sf)).select("story_id", "item_id", "position", F.posexplode("centroid").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("a17_running_mean_step", f"""WITH {_PAIRED}, d AS (SELECT vec_id, unnest(range(len(a))) AS dim, unnest(a) AS x, unnest(b) AS y FROM paired)

@@ -266,3 +266,24 @@ def test_vectors_of_unequal_length_have_no_similarity(spark):
     frame = stories.with_vectors(spark.createDataFrame(items, SCHEMA))
     groups = {r.item_id: r.story_id for r in stories.assign_stories(frame, 0.9, 100 * HOUR).collect()}
     assert groups[1] == groups[3] and groups[2] == groups[4] and len(set(groups.values())) == 3
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_running_centroids_over_slices(spark, parts):
+    given = [("big" if i % 4 else f"s{i % 8}", i, START + timedelta(hours=i * 7 % 50), [float(i), 1.0, -i / 3]) for i in range(120)]
+    table = spark.createDataFrame(given, "story_id string, item_id int, published_at timestamp, combined array<double>").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {(r.story_id, r.item_id): (r.position, r.centroid) for r in stories.running_centroids(table).collect()}
+        pooled = {r.story_id: r.vector for r in stories.mean_pooled(table, ["story_id"], "combined").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for story in {g[0] for g in given}:
+        members = sorted((g for g in given if g[0] == story), key=lambda g: (g[2], g[1]))
+        for n, g in enumerate(members, 1):
+            position, centroid = found[story, g[1]]
+            assert position == n and centroid == pytest.approx([sum(m[3][d] for m in members[:n]) / n for d in range(3)])
+        assert pooled[story] == pytest.approx([sum(m[3][d] for m in members) / len(members) for d in range(3)])
+    assert stories.mean_pooled(table.limit(0), ["story_id"], "combined").count() == 0 and stories.running_centroids(table.limit(0)).count() == 0

@@ -53,23 +53,28 @@ def budgets(marked: DataFrame) -> DataFrame:
     )
 
 
-def candidates(items: DataFrame, now: Column) -> DataFrame:
-    """Narrow candidate rows with the keys the pick compares."""
+def _narrow(items: DataFrame, now: Column) -> DataFrame:
+    """Scored items as narrow rows; the keys the pick compares are there for candidates only."""
     c = F.col
-    return (
-        scored(items, now)
-        .filter("is_candidate")
-        .select(
-            "reader_id", "item_id", "score", "published_at", "is_vip",
-            urls.canonical_link(c("link")).alias("link_key"),
-            text.normalize_title(c("title")).alias("title_key"),
-            text.title_tokens(c("title")).alias("tokens"),
-            urls.source_key(c("feed_id"), c("link"), c("author")).alias("source_key"),
-        )
-        .select(*_CARRIED)
+    keys = {
+        "link_key": urls.canonical_link(c("link")), "title_key": text.normalize_title(c("title")), "tokens": text.title_tokens(c("title")),
+        "source_key": urls.source_key(c("feed_id"), c("link"), c("author")),
+    }
+    return scored(items, now).select(
+        "reader_id", "item_id", "score", "published_at", "is_vip", "is_starred", "is_candidate", *[F.when(c("is_candidate"), k).alias(n) for n, k in keys.items()]
     )
 
 
+def prepared(items: DataFrame, now: Column) -> DataFrame:
+    """The one durable table a curation reads: every item once, scored, narrow."""
+    return durable(_narrow(items, now))
+
+
+def candidates(items: DataFrame, now: Column) -> DataFrame:
+    """Narrow candidate rows with the keys the pick compares."""
+    return _narrow(items, now).filter("is_candidate").select(*_CARRIED)
+
+
 def _extend(rows: pd.DataFrame) -> pd.DataFrame:
     """New picks of one reader from earlier picks (``position`` set) and one block of candidates."""
     earlier = rows[rows.position.notna()].sort_values("position")
@@ -161,10 +166,14 @@ def packed_picks(picks: DataFrame) -> DataFrame:
     return picks.groupBy("reader_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("picks"))
 
 
-def curated_picks(items: DataFrame, now: Column, block: int = BLOCK) -> DataFrame:
-    """(reader_id, item_id, position, ...) of the diverse pick, without the always-kept starred items."""
-    limits = budgets(scored(items, now))
-    pool = candidates(items, now).join(limits.drop("total", "candidates"), "reader_id")
+def curated_picks(items: DataFrame, now: Column, block: int = BLOCK, run: DataFrame | None = None) -> DataFrame:
+    """(reader_id, item_id, position, ...) of the diverse pick, without the always-kept starred items.
+
+    ``run`` is the table of ``prepared`` where it is there already; the items are not read again then.
+    """
+    run = prepared(items, now) if run is None else run
+    limits = durable(budgets(run))
+    pool = run.filter("is_candidate").select(*_CARRIED).join(limits.drop("total", "candidates"), "reader_id")
     schema = pool.select(*_CARRIED, F.lit(0).alias("position")).schema
     remaining, rounds = pool, []
     while True:
@@ -197,19 +206,20 @@ def curated_picks(items: DataFrame, now: Column, block: int = BLOCK) -> DataFram
         remaining = pool.join(still_open, "reader_id").filter(later & ~ruled_out).select(*pool.columns)
 
 
-def coverage(items: DataFrame, now: Column, picks: DataFrame) -> DataFrame:
+def coverage(items: DataFrame, now: Column, picks: DataFrame, run: DataFrame | None = None) -> DataFrame:
     """Per pick: outlets that ran the same story (itself included) and the score they earn it.
 
     A pure function of the final picks: each candidate looks only at picks ranked before it.
     """
-    limits = budgets(scored(items, now)).select("reader_id", "budget", "source_cap")
+    run = prepared(items, now) if run is None else run
+    limits = budgets(run).select("reader_id", "budget", "source_cap")
     row = {name: F.col(name) for name in _CARRIED}
     rank = F.struct(-F.col("score"), -F.unix_micros("published_at"), "item_id")
     before = F.filter(
         "picks", lambda p: F.struct(-p["score"], -F.unix_micros(p["published_at"]), p["item_id"]) < rank
     )
     joined = (
-        candidates(items, now)
+        run.filter("is_candidate").select(*_CARRIED)
         .join(picks.select("reader_id", "item_id"), ["reader_id", "item_id"], "left_anti")
         .join(packed_picks(picks), "reader_id")
         .join(limits, "reader_id")
@@ -234,8 +244,9 @@ def coverage(items: DataFrame, now: Column, picks: DataFrame) -> DataFrame:
 
 def curated(items: DataFrame, now: Column) -> DataFrame:
     """Ids of the curated feed: picks and every starred item."""
-    picks = curated_picks(items, now).select("reader_id", "item_id")
-    starred = items.filter("is_starred").select("reader_id", "item_id")
+    run = prepared(items, now)
+    picks = curated_picks(items, now, run=run).select("reader_id", "item_id")
+    starred = run.filter("is_starred").select("reader_id", "item_id")
     return picks.unionByName(starred).dropDuplicates(["reader_id", "item_id"])
 
 

@@ -93,7 +93,8 @@ def w4_curated_picks(spark, sf):
   FROM picks p JOIN scored USING (reader_id, item_id) LEFT JOIN hits ON hits.reader_id = p.reader_id AND hits.item_id = p.item_id""")
 def w4a_coverage(spark, sf):
     items = derived.items(spark, sf)
-    return curate.coverage(items, derived.now(), curate.curated_picks(items, derived.now()))
+    run = curate.prepared(items, derived.now())
+    return curate.coverage(items, derived.now(), curate.curated_picks(items, derived.now(), run=run), run=run)
 
 
 @query("u1_curated_union", f"""{_WALK} SELECT reader_id, item_id FROM picks

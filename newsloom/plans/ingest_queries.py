@@ -222,19 +222,6 @@ def x1_without_comments(spark, sf):
     return derived.table(spark, sf, "pages").select("page_id", F.md5(extract.without_comments(F.col("html"))).alias("digest"))
 
 
-@query("x2_scanned_blocks")
-def x2_scanned_blocks(spark, sf):
-    scanned = derived.table(spark, sf, "pages").select("page_id", F.posexplode(extract.scan_blocks("html")).alias("position", "b"))
-    return scanned.select("page_id", "position", "b.kind", "b.raw", "b.linked", "b.gap")
-
-
-@query("x3_kept_blocks")
-def x3_kept_blocks(spark, sf):
-    kept = extract.block_array(F.col("scanned"))
-    out = derived.table(spark, sf, "pages").select("page_id", extract.scan_blocks("html").alias("scanned"))
-    return out.select("page_id", F.posexplode(kept).alias("position", "b")).select("page_id", "position", "b.*")
-
-
 @query("x4_boilerplate_attributes", """SELECT page_id, tag, regexp_matches(lower(coalesce(regexp_extract(tag, '(?i)(?:class|id)\\s*=\\s*["'']([^"'']*)["'']', 1), '')),
   '(^|[^\\p{L}\\p{N}])(((ad|ads|nav)([^\\p{L}\\p{N}]|$))|(support|donat|patreon|promo|sponsor|advert|banner|newsletter|subscri|share|sharing|social|comment|related|recommend|author|byline|breadcrumb|cookie|consent|modal|popup|toolbar|menu|sidebar|itembox|footer|navbox|navbar|navigation))') AS boilerplate
   FROM (SELECT page_id, unnest(regexp_extract_all(html, '<[a-z][^>]*>')) AS tag FROM pages)""")
@@ -354,16 +341,78 @@ def x10_embedded_bodies(spark, sf):
     return extract.embedded_bodies(_json_pages(spark, sf)).select("doc_id", F.md5("embedded").alias("digest"))
 
 
-@query("s5_extract_articles")
+_ITEM_END = " and one more item of the list"
+
+
+def _made_pages(spark, sf) -> DataFrame:
+    """Documents as web pages: a block per line, kinds and gaps as in the line blocks, beside what is to be left out.
+
+    Before every third line there is a sponsored copy of it, which is never read, and one that is a link
+    as a whole, which is read and dropped. A gap is text in a plain element.
+    """
+    n = F.col("doc_id")
+    made = _line_blocks(spark, sf)
+
+    def shown(b: Column, i: Column) -> Column:
+        kind, line = b["kind"], _escaped(b["text"])
+        filler = F.when(b["gap"] > 40, F.concat(F.lit("<div>"), F.repeat(F.lit("z"), b["gap"]), F.lit("</div>"))).otherwise("")
+        aside = F.when(i % 3 == 0, F.concat(F.lit('<div class="sponsored"><p>'), line, F.lit('</p></div><p><a href="/x">'), line, F.lit("</a></p>"))).otherwise("")
+        body = (
+            F.when(kind == "quote", F.concat(F.lit("<blockquote>"), line, F.lit("</blockquote>")))
+            .when(kind == "listItem", F.concat(F.lit("<ul><li>"), line, F.lit(f"{_ITEM_END}</li></ul>")))
+            .when(kind == "heading", F.concat(F.lit("<h2>"), line, F.lit("</h2>"))).otherwise(F.concat(F.lit("<p>"), line, F.lit("</p>")))
+        )
+        return F.concat(aside, filler, body)
+
+    html = F.concat(F.lit("<html><head><title>t</title></head><body>"), F.array_join(F.transform("blocks", shown), "\n"), F.lit("</body></html>"))
+    url = F.when(n % 50 == 3, F.concat(F.lit("ftp://e.example.com/"), n.cast("string"))).otherwise(F.concat(F.lit("https://e.example.com/"), n.cast("string")))
+    return made.select(n.alias("page_id"), url.alias("url"), F.when(n % 50 != 4, html).alias("html"))
+
+
+_MADE = _SPAN.replace("blk AS (SELECT doc_id, i, line,", f"shown AS (SELECT doc_id, i, ls, line || CASE WHEN {_KIND_SQL} = 'listItem' THEN '{_ITEM_END}' ELSE '' END AS line, line AS own FROM lines), blk AS (SELECT doc_id, i, line, own,").replace("AS words, ls FROM lines)", "AS words, ls FROM shown)")
+_ESCAPED = "replace(replace({}, '&', '&amp;'), '<', '&lt;')"
+
+
+@query("x2_scanned_blocks", f"""WITH {_MADE}, every AS (SELECT doc_id, 2 * i + 1 AS place, kind, {_ESCAPED.format("line")} AS raw, '' AS linked, CASE gap WHEN 9000 THEN 2 WHEN 2500 THEN 1 ELSE 0 END AS apart FROM blk WHERE doc_id % 50 <> 4
+    UNION ALL SELECT doc_id, 2 * i, 'paragraph', {_ESCAPED.format("own")}, {_ESCAPED.format("own")}, 0 FROM blk WHERE i % 3 = 0 AND doc_id % 50 <> 4)
+  SELECT doc_id AS page_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS position, kind, md5(raw) AS raw, md5(linked) AS linked, apart FROM every""")
+def x2_scanned_blocks(spark, sf):
+    """Blocks as the scanner finds them; gaps by which of the two region limits they exceed."""
+    scanned = _made_pages(spark, sf).select("page_id", F.posexplode(extract.scan_blocks("html")).alias("position", "b"))
+    apart = F.when(F.col("b.gap") > extract.MERGE_GAP, 2).when(F.col("b.gap") > extract.REGION_GAP, 1).otherwise(0)
+    return scanned.select("page_id", "position", "b.kind", F.md5("b.raw").alias("raw"), F.md5("b.linked").alias("linked"), apart.alias("apart"))
+
+
+@query("x3_kept_blocks", f"""WITH {_MADE} SELECT doc_id AS page_id, i AS position, kind, md5(line) AS text, words FROM blk WHERE doc_id % 50 <> 4""")
+def x3_kept_blocks(spark, sf):
+    out = _made_pages(spark, sf).select("page_id", extract.scan_blocks("html").alias("scanned"))
+    kept = out.select("page_id", F.posexplode(extract.block_array(F.col("scanned"))).alias("position", "b"))
+    return kept.select("page_id", "position", "b.kind", F.md5("b.text").alias("text"), "b.words")
+
+
+_EXTRACTED = f"""{_MADE}, art AS (SELECT b.*, max(CASE WHEN kind <> 'heading' AND words >= 5 THEN i END) OVER (PARTITION BY b.doc_id) AS keep FROM blk b JOIN span c ON c.doc_id = b.doc_id AND b.i + 1 BETWEEN c.first AND c.last),
+  body AS (SELECT doc_id, sum(words)::BIGINT AS words, md5(string_agg(line, chr(10) || chr(10) ORDER BY i)) AS digest FROM art WHERE i <= keep GROUP BY doc_id),
+  judged AS (SELECT doc_id AS page_id, CASE WHEN doc_id % 50 = 3 THEN 'invalidURL' WHEN doc_id % 50 = 4 THEN 'fetchFailed' WHEN words >= 20 THEN 'extracted' ELSE 'noReadableBody' END AS status, digest, words FROM documents LEFT JOIN body USING (doc_id))"""
+
+
+@query("s5_extract_articles", f"""WITH {_EXTRACTED} SELECT page_id, status, CASE WHEN status = 'extracted' THEN digest END AS text, CASE WHEN status = 'extracted' THEN words END AS word_count FROM judged""")
 def s5_extract_articles(spark, sf):
+    """Articles out of pages made of the documents, from tags to trimmed text."""
+    done = extract.extract_articles(_made_pages(spark, sf))
+    return done.select("page_id", "status", F.md5("text").alias("text"), F.col("word_count").cast("bigint").alias("word_count"))
+
+
+@query("s5_crawled_articles")
+def s5_crawled_articles(spark, sf):
+    """The same over the crawled pages as they are."""
     done = extract.extract_articles(derived.table(spark, sf, "pages"))
     return done.select("page_id", "url", "status", "text", "word_count", "reading_minutes", "lead_image")
 
 
-@query("x12_extraction_status")
+@query("x12_extraction_status", f"""WITH {_EXTRACTED} SELECT status, count(*) AS n, sum(CASE WHEN status = 'extracted' THEN words END)::BIGINT AS words FROM judged GROUP BY status""")
 def x12_extraction_status(spark, sf):
-    done = extract.extract_articles(derived.table(spark, sf, "pages"))
-    return done.groupBy("status").agg(F.count("*").alias("n"), F.sum("word_count").alias("words"))
+    done = extract.extract_articles(_made_pages(spark, sf))
+    return done.groupBy("status").agg(F.count("*").alias("n"), F.sum("word_count").cast("bigint").alias("words"))
 
 
 # --- work list ----------------------------------------------------------------------------------

@@ -74,6 +74,18 @@ def m4_stale_digests(spark, sf):
     return digest.stale_items(hashed, _digests(hashed), 3, "de").select("item_id")
 
 
+@query("m3_cleared_digests", f"""WITH {_HASHED}, {_DIGESTS} SELECT h.item_id, count(d.digest_id) AS n_before, 0::BIGINT AS n_after, true AS is_stale FROM hashed h LEFT JOIN digests d USING (item_id) GROUP BY h.item_id""")
+def m3_cleared_digests(spark, sf):
+    """Digests before and after the derived tables are cleared, and that every item is due again."""
+    hashed = _hashed(spark, sf)
+    before = _digests(hashed)
+    after = merge.clear_derived(before)
+    due = digest.stale_items(hashed, after, 3, "en").select("item_id", F.lit(True).alias("is_stale"))
+    counted = lambda rows, name: rows.groupBy("item_id").agg(F.count("*").alias(name))
+    joined = hashed.select("item_id").join(counted(before, "n_before"), "item_id", "left").join(counted(after, "n_after"), "item_id", "left").join(due, "item_id", "left")
+    return joined.select("item_id", F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_after", F.lit(0)).alias("n_after"), F.coalesce("is_stale", F.lit(False)).alias("is_stale"))
+
+
 _TOP = f"""{_WALK}, {duck.FEEDS}, kept AS (SELECT reader_id, item_id FROM picks UNION SELECT reader_id, item_id FROM items WHERE is_starred),
   top AS (SELECT i.*, row_number() OVER (PARTITION BY i.reader_id ORDER BY published_at DESC, item_id) AS rank FROM items i JOIN kept USING (reader_id, item_id) WHERE NOT is_read QUALIFY rank <= 5)"""
 

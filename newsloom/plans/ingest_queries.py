@@ -402,6 +402,19 @@ def s5_extract_articles(spark, sf):
     return done.select("page_id", "status", F.md5("text").alias("text"), F.col("word_count").cast("bigint").alias("word_count"))
 
 
+@query("x11_amp_articles", f"""WITH {_EXTRACTED} SELECT doc_id AS page_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 50 <> 4 AND words >= 20 THEN 'extracted' ELSE 'noReadableBody' END AS status,
+    CASE WHEN doc_id % 2 = 0 AND doc_id % 50 <> 4 AND words >= 20 THEN digest END AS text FROM documents LEFT JOIN body USING (doc_id)""")
+def x11_amp_articles(spark, sf):
+    """Pages with a teaser only; every other one names an AMP page, which has the document."""
+    made = _made_pages(spark, sf)
+    num = F.col("page_id").cast("string")
+    amp = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<link rel="amphtml" href="https://amp.example.org/a?id='), num, F.lit('&amp;v=1">'))).otherwise("")
+    pages = made.select("page_id", F.concat(F.lit("https://e.example.com/"), num).alias("url"), F.concat(F.lit("<html><head>"), amp, F.lit("</head><body><p>Only a teaser here.</p></body></html>")).alias("html"))
+    there = extract.extract_articles(made.withColumn("url", F.concat(F.lit("https://amp.example.org/a?id="), num, F.lit("&v=1"))))
+    done = extract.with_amp_bodies(extract.extract_articles(pages), pages, there)
+    return done.select("page_id", "status", F.md5("text").alias("text"))
+
+
 @query("s5_crawled_articles")
 def s5_crawled_articles(spark, sf):
     """The same over the crawled pages as they are."""

@@ -78,7 +78,7 @@ def identities(items: DataFrame, *keep: str) -> DataFrame:
 
 
 def merge_in_order(incoming: DataFrame, known: DataFrame) -> DataFrame:
-    """Items of many fetches with ``reason``, as if the fetches of a feed had been merged one after the other.
+    """(item_id, discovered_at, feed_id, reason) of many fetches, as if those of a feed had been merged one after the other.
 
     ``incoming`` has item_id, feed_id, guid, title, link, published_at, is_vip and ``discovered_at``, the time
     of its fetch; items of a feed with one such time are one fetch. ``known`` holds the identities of the stored
@@ -110,11 +110,11 @@ def merge_in_order(incoming: DataFrame, known: DataFrame) -> DataFrame:
     hits = stored.select(*_KEY, *row).unionByName(earlier).groupBy(*row).agg(F.min("kind").alias("_kind"))
     duplicate = F.get(F.array(*[F.lit(r) for r in REASONS]), F.col("_kind"))
     reason = F.when(F.col("_kind").isNotNull(), duplicate).when(F.col("_noise"), "noise").otherwise("inserted")
-    return marked.join(hits, row, "left").withColumn("reason", reason).drop("_kind", "_noise")
+    return marked.select(*row, "feed_id", "_noise").join(hits, row, "left").select(*row, "feed_id", reason.alias("reason"))
 
 
 def inserted(judged: DataFrame) -> DataFrame:
-    """The rows of ``merge_in_order`` to append."""
+    """Items with the reasons of ``merge_in_order``: the rows to append."""
     return _cleaned(judged.filter("reason = 'inserted'").drop("reason"))
 
 

@@ -28,17 +28,17 @@ DIAGNOSTICS = 10
 LAST = (1 << 63) - 1
 #: Slack of the shard graph for sums that are added up in another order.
 _ROUNDING = 1e-9
-_VECTORS = ("headline", "body", "combined", "representative")
+_VECTORS = ("headline", "body", "combined", "representative", "signature")
 #: State of a story after a member, which is ``item_id``; null for a story that was open before.
 _STATE = (
     "item_id {item}, story_id string, seq bigint, position bigint, until bigint, at_us bigint, similarity double, members bigint, "
     "publisher_count int, headline array<double>, body array<double>, combined array<double>, representative array<double>, "
-    "actions array<string>, recent array<array<double>>, publishers array<string>"
+    "signature array<double>, actions array<string>, recent array<array<double>>, publishers array<string>"
 )
 
 
 class _Story:
-    """Open story; the representative and its actions stay those of the first member."""
+    """Open story; the representative, its signature and its actions stay those of the first member."""
 
     def __init__(self, row: dict):
         self.row = row
@@ -73,7 +73,7 @@ def first_state(item: dict) -> dict:
     return {
         "item_id": item["item_id"], "story_id": f"story-{str(item['item_id']).lower()}", "seq": item["position"], "position": item["position"],
         "at_us": item["at_us"], "similarity": None, "members": 1, "publisher_count": 1, "headline": item["headline"], "body": item["body"],
-        "combined": item["combined"], "representative": item["combined"], "actions": item["actions"], "recent": [item["combined"]],
+        "combined": item["combined"], "representative": item["combined"], "signature": item["signature"], "actions": item["actions"], "recent": [item["combined"]],
         "publishers": [item["publisher_key"]],
     }
 
@@ -117,6 +117,9 @@ class Shard:
             self.units[best] = _unit(self.stories[best].row["combined"])
 
     def _accepts(self, story: _Story, item: dict, unit: np.ndarray) -> bool:
+        event = _cosine(item["signature"], story.row["signature"])
+        if event is not None and event < fixed.SIGNATURE_THRESHOLD:
+            return False
         first = float(_unit(story.row["representative"]) @ unit)
         actions = frozenset(item["actions"])
         if actions and story.actions and not actions & story.actions and first < fixed.ACTION_OVERRIDE:
@@ -131,6 +134,14 @@ def _unit(vector: np.ndarray) -> np.ndarray:
     return vector / np.linalg.norm(vector)
 
 
+def _cosine(a: np.ndarray | None, b: np.ndarray | None) -> float | None:
+    """None where either is absent, of another length or without direction."""
+    if a is None or b is None or len(a) != len(b):
+        return None
+    length = np.linalg.norm(a) * np.linalg.norm(b)
+    return float(a @ b / length) if length > 0 else None
+
+
 def _arrays(column: pa.Array) -> list[np.ndarray | None]:
     flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
     valid = column.is_valid().to_pylist()
@@ -185,7 +196,7 @@ def _folded(rows: DataFrame, threshold: float, window_us: int) -> DataFrame:
         if shard.stories:
             yield packed(key[0], [s.last() for s in shard.stories])
 
-    given = ["corpus_id", "shard", "side", "position", "item_id", "at_us", "publisher_key", "headline", "body", "combined", "actions", "story_id", "seq", "members", "representative", "recent", "publishers"]
+    given = ["corpus_id", "shard", "side", "position", "item_id", "at_us", "publisher_key", "headline", "body", "combined", "signature", "actions", "story_id", "seq", "members", "representative", "recent", "publishers"]
     ordered = rows.select(*given).repartition("corpus_id", "shard").sortWithinPartitions("corpus_id", "shard", "side", "seq", "position")
     return ordered.mapInArrow(run, schema)
 
@@ -202,6 +213,8 @@ def with_vectors(df: DataFrame) -> DataFrame:
 def in_order(df: DataFrame, offset: int = 0) -> DataFrame:
     """Items with their ``position`` in the corpus, after ``offset``, and their time in microseconds."""
     columns = ["corpus_id", "item_id", "published_at", "publisher_key", "headline", "body", "combined", "actions"]
+    signature = F.col("signature") if "signature" in df.columns else F.lit(None)
+    columns += [signature.cast("array<double>").alias("signature"), *[c for c in ("actors",) if c in df.columns]]
     ranked = rank_all(df.select(*columns), ["corpus_id"], [F.col("published_at"), F.col("item_id")], "position")
     return ranked.withColumn("position", F.col("position") + offset).withColumn("at_us", F.unix_micros("published_at"))
 
@@ -232,20 +245,20 @@ def states(items: DataFrame, threshold: float, window_seconds: int, opened: Data
     actions = F.coalesce("actions", F.expr("cast(array() as array<string>)")).alias("actions")
     none = {"story_id": "string", "seq": "bigint", "members": "bigint", "representative": "array<double>", "recent": "array<array<double>>", "publishers": "array<string>"}
     rows = placed.filter("n > 1").select(
-        "corpus_id", "shard", F.lit(1).alias("side"), "position", "item_id", "at_us", "publisher_key", "headline", "body", "combined", actions,
+        "corpus_id", "shard", F.lit(1).alias("side"), "position", "item_id", "at_us", "publisher_key", "headline", "body", "combined", "signature", actions,
         *[F.lit(None).cast(kind).alias(name) for name, kind in none.items()],
     )
     if opened is not None:
         before = opened.withColumn("node", F.concat(F.lit("s"), "story_id")).join(split, "node", "left")
         rows = rows.unionByName(before.select(
             "corpus_id", F.coalesce("shard", "node").alias("shard"), F.lit(0).alias("side"), "position", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"),
-            "at_us", F.lit(None).cast("string").alias("publisher_key"), "headline", "body", "combined", "actions", *none,
+            "at_us", F.lit(None).cast("string").alias("publisher_key"), "headline", "body", "combined", "signature", "actions", *none,
         ))
     folded = _folded(rows, threshold, window_seconds * 1_000_000)
     alone = placed.filter("n = 1").select(
         "corpus_id", "item_id", F.concat(F.lit("story-"), F.lower(F.col("item_id").cast("string"))).alias("story_id"), F.col("position").alias("seq"), "position",
         F.lit(LAST).alias("until"), "at_us", F.lit(None).cast("double").alias("similarity"), F.lit(1).cast("bigint").alias("members"), F.lit(1).alias("publisher_count"),
-        "headline", "body", "combined", F.col("combined").alias("representative"), actions, F.array("combined").alias("recent"), F.array("publisher_key").alias("publishers"),
+        "headline", "body", "combined", F.col("combined").alias("representative"), "signature", actions, F.array("combined").alias("recent"), F.array("publisher_key").alias("publishers"),
     )
     return durable(folded.unionByName(alone))
 
@@ -277,8 +290,8 @@ def assigned(items: DataFrame, found: DataFrame, window_seconds: int) -> DataFra
 def assign_stories(df: DataFrame, threshold: float, window_seconds: int) -> DataFrame:
     """(item_id, story_id, similarity, publisher_count) for every item.
 
-    ``df``: corpus_id, item_id (unique), published_at, publisher_key, headline, body, combined, actions. Ties
-    go by item id. Items with a null corpus or a combined vector without direction are stories of their own.
+    ``df``: corpus_id, item_id (unique), published_at, publisher_key, headline, body, combined, actions and, if
+    known, ``signature``, the vector of the reported event: unlike ones keep an item out of a story. Ties go by item id. Items with a null corpus or a combined vector without direction are stories of their own.
     """
     items = in_order(df)
     return assigned(items, states(items, threshold, window_seconds), window_seconds)
@@ -302,7 +315,7 @@ def diagnostics(df: DataFrame, threshold: float, window_seconds: int, k: int = D
     found = states(items, threshold, window_seconds)
     near = nearest_states(items, found, window_seconds, k)
     candidates = near.select(F.col("left_id").alias("item_id"), F.split("right_id", ":")[1].cast("bigint").alias("_state"), (F.col("rank") - 1).alias("position"))
-    order = items.select("corpus_id", F.col("position").alias("_order"), "item_id", *[F.col(c).alias(f"i_{c}") for c in ("headline", "body", "combined")], F.coalesce("actions", F.expr("cast(array() as array<string>)")).alias("i_actions"))
+    order = items.select("corpus_id", F.col("position").alias("_order"), "item_id", *[F.col(c).alias(f"i_{c}") for c in ("headline", "body", "combined", "signature", *[c for c in ("actors",) if c in items.columns])], F.coalesce("actions", F.expr("cast(array() as array<string>)")).alias("i_actions"))
     members = found.filter("item_id is not null").select("item_id", "story_id", F.col("position").alias("_order"), "corpus_id", (F.col("members") > 1).alias("_joined"))
     before = found.select("corpus_id", "story_id", F.col("position").alias("_state"), F.col("until").alias("_order"))
     chosen = members.filter("_joined").join(before, ["corpus_id", "story_id", "_order"]).select("item_id", F.col("_state").alias("_chosen"))
@@ -310,12 +323,15 @@ def diagnostics(df: DataFrame, threshold: float, window_seconds: int, k: int = D
     reached = listed.groupBy("item_id").agg(F.max("selected").alias("_listed"), F.count("*").alias("_n"))
     beyond = chosen.join(reached, "item_id", "left").filter(~F.coalesce("_listed", F.lit(False))).select("item_id", F.col("_chosen").alias("_state"), F.coalesce("_n", F.lit(0)).cast("int").alias("position"), F.lit(True).alias("selected"))
     pairs = listed.unionByName(beyond).join(order, "item_id").join(
-        found.select("corpus_id", F.col("position").alias("_state"), "story_id", *[F.col(c).alias(f"s_{c}") for c in (*_VECTORS, "recent", "actions")]), ["corpus_id", "_state"]
+        found.select("corpus_id", F.col("position").alias("_state"), "story_id", "seq", *[F.col(c).alias(f"s_{c}") for c in (*_VECTORS, "recent", "actions")]), ["corpus_id", "_state"]
     )
+    if "actors" in items.columns:
+        pairs = pairs.join(items.select("corpus_id", F.col("position").alias("seq"), F.col("actors").alias("s_actors")), ["corpus_id", "seq"], "left")
     judged = evaluate_pairs(pairs, threshold)
+    overlap = F.col("actor_overlap") if "actors" in items.columns else F.lit(None).cast("boolean")
     clash = (F.size("i_actions") > 0) & (F.size("s_actions") > 0) & ~F.arrays_overlap("i_actions", "s_actions")
     compatible = ~clash | F.coalesce(F.col("representative") >= fixed.ACTION_OVERRIDE, F.lit(False))
-    return judged.select("item_id", "position", F.col("story_id").alias("candidate_id"), "centroid", "headline", "body", "representative", "recent", compatible.alias("actions_compatible"), "decision", "selected")
+    return judged.select("item_id", "position", F.col("story_id").alias("candidate_id"), "centroid", "headline", "body", "representative", "recent", "signature", overlap.alias("actor_overlap"), compatible.alias("actions_compatible"), "decision", "selected")
 
 
 def mean_pooled(tokens: DataFrame, keys: list[str], vector: str, dim: int | None = None) -> DataFrame:
@@ -424,7 +440,7 @@ def evaluate_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
 
     Columns i_headline, i_body, i_combined, i_actions and s_headline, s_body, s_combined,
     s_representative, s_recent, s_actions; optionally i_signature/s_signature (vectors),
-    i_action/s_action and i_object/s_object (terms).
+    i_actors/s_actors (sets of keys), i_action/s_action and i_object/s_object (terms).
     """
     c = F.col
     used = F.slice("s_recent", F.greatest(F.lit(1), F.size("s_recent") - fixed.RECENT_USED + 1), fixed.RECENT_USED)
@@ -442,6 +458,9 @@ def evaluate_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
     if {"i_signature", "s_signature"} <= set(pairs.columns):
         out = out.withColumn("signature", vectors.cosine(c("i_signature"), c("s_signature")))
         signature_ok = c("signature") >= fixed.SIGNATURE_THRESHOLD
+    if {"i_actors", "s_actors"} <= set(pairs.columns):
+        known = (F.size("i_actors") > 0) & (F.size("s_actors") > 0)
+        out = out.withColumn("actor_overlap", F.when(known, F.arrays_overlap("i_actors", "s_actors")))
     for name in ("action", "object"):
         if f"i_{name}" in pairs.columns:
             out = out.withColumn(f"{name}_similarity", vectors.term_similarity(c(f"i_{name}"), c(f"s_{name}")))

@@ -95,22 +95,24 @@ def _corpus(spark, sf) -> DataFrame:
         _at(7).alias("published_at"), F.concat(F.lit("p"), (n % 3).cast("string")).alias("publisher_key"),
         "headline", F.when(n % 11 != 0, F.col("body")).alias("body"),
         F.when(n % 4 == 0, F.array(F.lit("approve"))).when(n % 4 == 1, F.array(F.lit("reject"))).otherwise(F.expr("cast(array() as array<string>)")).alias("actions"),
+        F.when(n % 3 == 1, F.col("body")).when(n % 6 == 2, F.col("headline")).alias("signature"),
+        F.when(n % 4 == 3, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.concat(F.lit("a"), (n % 4).cast("string")), F.concat(F.lit("a"), (n % 2).cast("string")))).alias("actors"),
     )
     return stories.with_vectors(rows)
 
 
-def _folded_sql(threshold: float, window: int, slack: float = 0.055, override: float = 0.985) -> str:
-    """Common tables over ``its`` (corpus_id, item_id, at_s, pub, h, b, c, acts): the sequential loop, one item a step.
+def _folded_sql(threshold: float, window: int, slack: float = 0.055, override: float = 0.985, signature: float = 0.86) -> str:
+    """Common tables over ``its`` (corpus_id, item_id, at_s, pub, h, b, c, acts, sig, actors): the sequential loop, one item a step.
 
     ``folded`` has a row per item with its story and the ``seen`` stories, nearest first.
     """
-    story = "STRUCT(story_id VARCHAR, at_s BIGINT, n BIGINT, h DOUBLE[], b DOUBLE[], c DOUBLE[], rep DOUBLE[], acts VARCHAR[], recent DOUBLE[][], pubs VARCHAR[])"
-    seen = "STRUCT(o DOUBLE, k BIGINT, story_id VARCHAR, cen DOUBLE, hea DOUBLE, bod DOUBLE, rep DOUBLE, rec DOUBLE, compatible BOOLEAN, decision VARCHAR)"
+    story = "STRUCT(story_id VARCHAR, at_s BIGINT, n BIGINT, h DOUBLE[], b DOUBLE[], c DOUBLE[], rep DOUBLE[], acts VARCHAR[], sig DOUBLE[], actors VARCHAR[], recent DOUBLE[][], pubs VARCHAR[])"
+    seen = "STRUCT(o DOUBLE, k BIGINT, story_id VARCHAR, cen DOUBLE, hea DOUBLE, bod DOUBLE, rep DOUBLE, rec DOUBLE, sig DOUBLE, overlap BOOLEAN, compatible BOOLEAN, decision VARCHAR)"
     cos = lambda a, b: f"list_cosine_similarity({a}, {b})"
     mean = lambda x: f"list_transform(list_zip(best.{x}, {x}), lambda z: (z[1] * best.n + z[2]) / (best.n + 1))"
-    fresh = "{'story_id': 'story-' || item_id, 'at_s': at_s, 'n': 1, 'h': h, 'b': b, 'c': c, 'rep': c, 'acts': acts, 'recent': [c], 'pubs': [pub]}"
+    fresh = "{'story_id': 'story-' || item_id, 'at_s': at_s, 'n': 1, 'h': h, 'b': b, 'c': c, 'rep': c, 'acts': acts, 'sig': sig, 'actors': actors, 'recent': [c], 'pubs': [pub]}"
     grown = f"""{{'story_id': best.story_id, 'at_s': at_s, 'n': best.n + 1, 'h': {mean("h")}, 'b': CASE WHEN b IS NULL THEN best.b WHEN best.b IS NULL THEN b ELSE {mean("b")} END,
-        'c': {mean("c")}, 'rep': best.rep, 'acts': best.acts, 'recent': list_append(best.recent, c)[-12:], 'pubs': list_distinct(list_append(best.pubs, pub))}}"""
+        'c': {mean("c")}, 'rep': best.rep, 'acts': best.acts, 'sig': best.sig, 'actors': best.actors, 'recent': list_append(best.recent, c)[-12:], 'pubs': list_distinct(list_append(best.pubs, pub))}}"""
     return f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY at_s, item_id) AS p FROM its),
   folded AS (
     SELECT corpus_id, 0::BIGINT AS p, []::{story}[] AS st, NULL::BIGINT AS item_id, NULL::VARCHAR AS story_id, NULL::DOUBLE AS similarity, NULL::INT AS publisher_count, []::{seen}[] AS seen FROM (SELECT DISTINCT corpus_id FROM its)
@@ -119,19 +121,20 @@ def _folded_sql(threshold: float, window: int, slack: float = 0.055, override: f
       item_id, now.story_id, CASE WHEN hit IS NULL THEN list_max(list_transform(met, lambda m: m.cen)) ELSE met[hit].cen END, len(now.pubs)::INT, list_sort(met)
     FROM (SELECT *, CASE WHEN hit IS NULL THEN {fresh} ELSE {grown} END AS now
       FROM (SELECT *, st[hit] AS best FROM (SELECT *, list_position(list_transform(met, lambda m: CASE WHEN m.decision = 'accepted' THEN m.cen ELSE -9 END), list_max(list_transform(list_filter(met, lambda m: m.decision = 'accepted'), lambda m: m.cen))) AS hit
-        FROM (SELECT * EXCLUDE pre, list_transform(pre, lambda m: {{'o': -round(m.cen, 6), 'k': m.k, 'story_id': m.story_id, 'cen': m.cen, 'hea': m.hea, 'bod': m.bod, 'rep': m.rep, 'rec': m.rec, 'compatible': NOT m.clash OR m.rep >= {override},
-            'decision': CASE WHEN m.cen < {threshold} THEN 'rejectedCentroidSimilarity' WHEN m.clash AND m.rep < {override} THEN 'rejectedActionMismatch'
+        FROM (SELECT * EXCLUDE pre, list_transform(pre, lambda m: {{'o': -round(m.cen, 6), 'k': m.k, 'story_id': m.story_id, 'cen': m.cen, 'hea': m.hea, 'bod': m.bod, 'rep': m.rep, 'rec': m.rec, 'sig': m.sig, 'overlap': m.overlap, 'compatible': NOT m.clash OR m.rep >= {override},
+            'decision': CASE WHEN m.cen < {threshold} THEN 'rejectedCentroidSimilarity' WHEN m.sig < {signature} THEN 'rejectedEventSignatureMismatch' WHEN m.clash AND m.rep < {override} THEN 'rejectedActionMismatch'
               WHEN m.rep < {threshold - slack!r} THEN 'rejectedRepresentativeSimilarity' WHEN m.rec < {threshold - slack!r} THEN 'rejectedRecentMemberSupport' ELSE 'accepted' END}}) AS met
           FROM (SELECT *, list_transform(st, lambda s, k: {{'k': k, 'story_id': s.story_id, 'cen': {cos("s.c", "c")}, 'hea': {cos("s.h", "h")}, 'bod': {cos("s.b", "b")}, 'rep': {cos("s.rep", "c")},
-              'rec': list_avg(list_transform(s.recent[-3:], lambda r: {cos("r", "c")})), 'clash': len(acts) > 0 AND len(s.acts) > 0 AND NOT list_has_any(acts, s.acts)}}) AS pre
+              'rec': list_avg(list_transform(s.recent[-3:], lambda r: {cos("r", "c")})), 'sig': {cos("s.sig", "sig")}, 'overlap': CASE WHEN len(actors) > 0 AND len(s.actors) > 0 THEN list_has_any(actors, s.actors) END, 'clash': len(acts) > 0 AND len(s.acts) > 0 AND NOT list_has_any(acts, s.acts)}}) AS pre
             FROM (SELECT i.*, list_filter(f.st, lambda s: i.at_s - s.at_s <= {window}) AS st FROM folded f JOIN ordered i ON i.corpus_id = f.corpus_id AND i.p = f.p + 1)))))))"""
 
 
 _CORPUS_SQL = f"""own AS (SELECT vec_id, {_VEC} AS v FROM embeddings), anchors AS (SELECT vec_id // 5 AS anchor, arg_min(v, vec_id) AS body FROM own GROUP BY ALL),
   u AS (SELECT vec_id, vec_id // 5 % 4 AS corpus_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS h,
-    CASE WHEN vec_id % 11 <> 0 THEN list_transform(body, lambda x: x / sqrt(list_sum(list_transform(body, lambda y: y * y)))) END AS b FROM own JOIN anchors ON anchor = vec_id // 5),
+    CASE WHEN vec_id % 11 <> 0 THEN list_transform(body, lambda x: x / sqrt(list_sum(list_transform(body, lambda y: y * y)))) END AS b, v AS raw, body AS raw_body FROM own JOIN anchors ON anchor = vec_id // 5),
   its AS (SELECT corpus_id, vec_id AS item_id, {derived.BASE_SECONDS} + (vec_id * 7 % 720) * 3600 AS at_s, 'p' || vec_id % 3 AS pub, h, b, CASE WHEN b IS NULL THEN h ELSE list_transform(list_zip(h, b), lambda z: z[1] * 0.4 + z[2] * 0.6) END AS c,
-    CASE vec_id % 4 WHEN 0 THEN ['approve'] WHEN 1 THEN ['reject'] ELSE []::VARCHAR[] END AS acts FROM u)"""
+    CASE vec_id % 4 WHEN 0 THEN ['approve'] WHEN 1 THEN ['reject'] ELSE []::VARCHAR[] END AS acts,
+    CASE WHEN vec_id % 3 = 1 THEN raw_body WHEN vec_id % 6 = 2 THEN raw END AS sig, CASE WHEN vec_id % 4 = 3 THEN []::VARCHAR[] ELSE ['a' || vec_id % 4, 'a' || vec_id % 2] END AS actors FROM u)"""
 ASSIGNED_SQL = f"""WITH RECURSIVE {_CORPUS_SQL}, {_folded_sql(THRESHOLD, WINDOW)}"""
 
 
@@ -143,10 +146,10 @@ def k1_story_assignments(spark, sf):
 
 @query("k3_story_diagnostics", f"""{ASSIGNED_SQL}, shown AS (SELECT item_id, story_id AS own, unnest(seen) AS m, unnest(range(len(seen))) AS r FROM folded WHERE p > 0)
   SELECT item_id, CASE WHEN r < 10 THEN r ELSE 10 END::INT AS position, m.story_id AS candidate_id, round(m.cen, 6) AS centroid, round(m.hea, 6) AS headline, round(m.bod, 6) AS body, round(m.rep, 6) AS representative,
-    round(m.rec, 6) AS recent, m.compatible AS actions_compatible, m.decision, m.story_id = own AS selected FROM shown WHERE r < 10 OR m.story_id = own""")
+    round(m.rec, 6) AS recent, round(m.sig, 6) AS signature, m.overlap AS actor_overlap, m.compatible AS actions_compatible, m.decision, m.story_id = own AS selected FROM shown WHERE r < 10 OR m.story_id = own""")
 def k3_story_diagnostics(spark, sf):
     found = stories.diagnostics(_corpus(spark, sf), THRESHOLD, WINDOW)
-    numbers = ["centroid", "headline", "body", "representative", "recent"]
+    numbers = ["centroid", "headline", "body", "representative", "recent", "signature"]
     return found.select(*[F.round(c, 6).alias(c) if c in numbers else F.col(c) for c in found.columns])
 
 
@@ -184,7 +187,7 @@ def _run_sql(threshold: float, window: int, recent: str = "true") -> str:
     """Common tables: ``r`` with every item's readiness and ``folded`` with the assignment of the ready ones."""
     return f"""WITH RECURSIVE {duck.ITEMS_BASE}, r AS (SELECT item_id, reader_id, feed_id, published_at, CASE WHEN {duck.words(duck.squash("body_text"))} < 8 THEN 'insufficientText' WHEN item_id % 12 = 0 THEN 'unsupportedLanguage'
     WHEN language IN ('en', 'fr') THEN 'ready' ELSE 'translationNotInstalled' END AS readiness, vec_id, {_VEC} AS v FROM items_base LEFT JOIN embeddings ON vec_id = item_id WHERE {recent}),
-  its AS (SELECT reader_id AS corpus_id, item_id, epoch(published_at)::BIGINT AS at_s, feed_id AS pub, h, h AS b, list_transform(list_zip(h, h), lambda z: z[1] * 0.4 + z[2] * 0.6) AS c, []::VARCHAR[] AS acts
+  its AS (SELECT reader_id AS corpus_id, item_id, epoch(published_at)::BIGINT AS at_s, feed_id AS pub, h, h AS b, list_transform(list_zip(h, h), lambda z: z[1] * 0.4 + z[2] * 0.6) AS c, []::VARCHAR[] AS acts, NULL::DOUBLE[] AS sig, []::VARCHAR[] AS actors
     FROM (SELECT *, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS h FROM r WHERE readiness = 'ready' AND vec_id IS NOT NULL)), {_folded_sql(threshold, window)}"""
 
 

@@ -20,7 +20,7 @@ from newsloom.session import durable
 from newsloom.streaming.refresh import newest
 
 _CLOCK = "batch_id bigint, mark bigint, seen bigint"
-_COLUMNS = ["corpus_id", "item_id", "published_at", "publisher_key", "headline", "body", "combined", "actions"]
+_COLUMNS = ["corpus_id", "item_id", "published_at", "publisher_key", "headline", "body", "combined", "actions", "signature"]
 
 
 def _fold(spark: SparkSession, folder: str, batch_id: int, ready: DataFrame, mark: int, seen: int, threshold: float, window_seconds: int) -> int:
@@ -48,6 +48,8 @@ def assign_batch(folder: str, threshold: float, window_seconds: int, lateness_se
         write = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
         clock = newest(spark, f"{folder}/clock", batch_id)
         before = clock.first() if clock is not None else None
+        if "signature" not in arrived.columns:
+            arrived = arrived.withColumn("signature", F.lit(None).cast("array<double>"))
         rows = durable(arrived.select(*_COLUMNS).withColumn("_us", F.unix_micros("published_at")))
         newest_us = rows.agg(F.max("_us")).first()[0]
         mark, seen = (before.mark, before.seen) if before else (None, 0)

@@ -34,8 +34,9 @@ def brute(spark):
     rows = rows[toxicity.score(model, *texts()) < 0.7]
     mine = docs.join(spark.createDataFrame([(int(i),) for i in rows.doc_id], "doc_id long"), "doc_id", "left_semi")
     taken = own_sample(mine, "lang", ~held_out("doc_id", 4, 2), 500, 20_000)
-    names, score = language.predict(language.fit(taken.text.tolist(), taken.label.tolist()), *texts())
-    rows = rows[(names != "und") & (score >= 0.2)]
+    model = language.fit(taken.text.tolist(), taken.label.tolist())
+    names, _ = language.predict(model, *texts())
+    rows = rows[(names != "und") & (language.familiar(model, *texts()) == 1)]
     own = {i: sets(re.sub("[A-Z]", lambda m: m[0].lower(), t), r"[\x20\x09-\x0D]+") for i, t in zip(rows.doc_id, rows.text, strict=True)}
     label = {i: i for i in own}
     for _ in range(20):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import fixed, rules
 from newsloom.operators.ranking import keep_first
-from newsloom.session import durable
+from newsloom.session import durable, release
 
 # Order of the checks; the first that hits names the reason.
 REASONS = ["dup_guid", "dup_link", "dup_fallback"]
@@ -94,9 +94,11 @@ def merge_in_order(incoming: DataFrame, known: DataFrame) -> DataFrame:
     stored = durable(keys.join(known.select(*_KEY).distinct(), _KEY, "left_semi"))
     claims = keys.filter("not _noise").join(stored.select(*row).distinct(), row, "left_anti").drop("_noise")
     several = claims.groupBy(*_KEY).agg(F.min("discovered_at").alias("first"), F.max("discovered_at").alias("last")).filter("first < last")
+    tables = [keys, stored]
     open_ = durable(claims.join(claims.join(several, _KEY, "left_semi").select(*row).distinct(), row, "left_semi"))
     taken = claims.join(open_.select(*row).distinct(), row, "left_anti")
     while not open_.isEmpty():
+        tables.append(open_)
         firsts = open_.groupBy(*_KEY).agg(F.min("discovered_at").alias("first"))
         free = open_.join(firsts, _KEY).groupBy(*row).agg(F.min((F.col("discovered_at") == F.col("first")).cast("int")).alias("free")).filter("free = 1")
         now = durable(open_.join(free, row, "left_semi"))
@@ -104,13 +106,16 @@ def merge_in_order(incoming: DataFrame, known: DataFrame) -> DataFrame:
         late = open_.join(held, _KEY).filter("discovered_at > first").select(*row).distinct()
         settled = now.select(*row).distinct().unionByName(late).distinct()
         taken = taken.unionByName(now)
+        tables.append(now)
         open_ = durable(open_.join(settled, row, "left_anti"))
     holders = taken.groupBy(*_KEY).agg(F.min("discovered_at").alias("first"))
     earlier = keys.join(holders, _KEY).filter("discovered_at > first").select(*_KEY, *row)
     hits = stored.select(*_KEY, *row).unionByName(earlier).groupBy(*row).agg(F.min("kind").alias("_kind"))
     duplicate = F.get(F.array(*[F.lit(r) for r in REASONS]), F.col("_kind"))
     reason = F.when(F.col("_kind").isNotNull(), duplicate).when(F.col("_noise"), "noise").otherwise("inserted")
-    return marked.select(*row, "feed_id", "_noise").join(hits, row, "left").select(*row, "feed_id", reason.alias("reason"))
+    out = durable(marked.select(*row, "feed_id", "_noise").join(hits, row, "left").select(*row, "feed_id", reason.alias("reason")))
+    release(*tables, open_)
+    return out
 
 
 def inserted(judged: DataFrame) -> DataFrame:

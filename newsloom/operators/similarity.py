@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from newsloom.functions import vectors
 from newsloom.operators.ranking import top_k
-from newsloom.session import durable
+from newsloom.session import durable, release
 
 #: Right rows of a cell that a task holds, left rows that one task compares with them, and pivots at most.
 BLOCK, RUN, PIVOTS = 20_000, 200_000, 128
@@ -393,10 +393,11 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for an undirected edge table (a, b); a component is its smallest node.
 
     Every round each node takes the smallest label among itself and its neighbours and then the
-    label of that label, so long chains shrink fast. Labels are checkpointed each round.
+    label of that label, so long chains shrink fast. Labels are checkpointed each round, and those of the
+    round before deleted.
     """
     both = durable(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = durable(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node"))
+    labels = held = durable(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node"))
     while True:
         offered = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("offer"))
         lower = labels.join(offered, F.col("node") == F.col("a"), "left").select(
@@ -406,9 +407,11 @@ def components(edges: DataFrame) -> DataFrame:
         moved = durable(
             lower.join(parents, "next", "left").select("node", "component", F.least("next", F.coalesce("jump", "next")).alias("next"))
         )
+        release(held)
         changed = not moved.filter("next != component").isEmpty()
-        labels = moved.select("node", F.col("next").alias("component"))
+        labels, held = moved.select("node", F.col("next").alias("component")), moved
         if not changed:
+            release(both)
             return labels
 
 

@@ -54,3 +54,13 @@ def durable(df: DataFrame) -> DataFrame:
     out = held.checkpoint()
     held.unpersist()
     return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the checkpoint files of ``durable`` tables that nothing will read again."""
+    for df in frames:
+        plan = df._jdf.queryExecution().analyzed()
+        file = plan.rdd().getCheckpointFile() if plan.nodeName() == "LogicalRDD" else None
+        if file is not None and file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

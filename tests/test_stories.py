@@ -222,7 +222,7 @@ def test_cells_leave_out_what_cannot_match(spark):
     assert homed.count() == 800 and held < 800 * 16 and len(cells.parts) > 100
 
 
-@pytest.mark.parametrize("block", [500, 20_000])
+@pytest.mark.parametrize("block", [2_500, 20_000])
 def test_many_copies_cost_an_edge_each(spark, block):
     rows_ = spark.range(10_000).select(F.lit(1).alias("corpus_id"), "id", F.array(F.lit(1.0), F.lit(2.0)).alias("vector"), F.lit(START).alias("at"))
     for window in (None, 72 * HOUR):

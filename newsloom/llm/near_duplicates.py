@@ -197,9 +197,15 @@ def _tile_links(dealt: DataFrame, compare: Callable[[list[np.ndarray], np.ndarra
         def done():
             rep = pa.chunked_array([x for x, _, _ in held]).combine_chunks()
             sets = [np.frombuffer(s.as_buffer(), kind_of) for _, column, _ in held for s in column]
-            label = compare(sets, np.concatenate([side for _, _, side in held]))
-            other = np.flatnonzero(label != np.arange(len(sets)))
-            return pa.RecordBatch.from_arrays([rep.take(pa.array(other)), rep.take(pa.array(label[other]))], names=["a", "b"])
+            side = np.concatenate([side for _, _, side in held])
+            label = compare(sets, side)
+            # Each side is a star around its own first, so that a tile gives the same edges whichever tile it is compared with.
+            tree, first, own = np.unique(2 * label + side, return_index=True, return_inverse=True)
+            star = first[own]
+            other = np.flatnonzero(star != np.arange(len(sets)))
+            across = np.flatnonzero(tree[1:] // 2 == tree[:-1] // 2)
+            a, b = np.append(other, first[across]), np.append(star[other], first[across + 1])
+            return pa.RecordBatch.from_arrays([rep.take(pa.array(a)), rep.take(pa.array(b))], names=["a", "b"])
 
         for batch in batches:
             low, high, side = (batch.column(c).to_numpy() for c in ("low", "high", "side"))
@@ -257,7 +263,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
 
 
 def _in_order(dealt: DataFrame) -> DataFrame:
-    return dealt.select("low", "high", "side", "rep", "set").repartition("low", "high").sortWithinPartitions("low", "high")
+    return dealt.select("low", "high", "side", "rep", "set").repartition("low", "high").sortWithinPartitions("low", "high", "rep")
 
 
 def _met_within(shared: DataFrame, classes: DataFrame, r: int) -> DataFrame:

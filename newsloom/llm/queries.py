@@ -214,31 +214,33 @@ def _url_sql() -> str:
             coalesce(regexp_extract(url, '{url_filter.SPLIT}', 2), '') AS path FROM pages),
     ruled AS (SELECT *, {rule} AS rule, {action} AS action, list_filter(string_split(regexp_replace(path, '[0-9]+', '{{n}}', 'g'), '/'), lambda x: x <> '') AS s FROM parts),
     cut AS (SELECT * EXCLUDE s, CASE WHEN len(s) > {deep} THEN list_append(s[1:{deep - 1}], array_to_string(s[{deep}:], '/')) ELSE s END AS s FROM ruled),
-    t0 AS (SELECT host, s, count(*) AS n, count(*) FILTER (action = 'block') AS b, count(*) FILTER (action = 'allow') AS a, '' AS p FROM cut GROUP BY host, s)"""]
+    t0 AS (SELECT host, s, count(*) AS n, count(*) FILTER (action = 'block') AS b, count(*) FILTER (action = 'allow') AS a, '' AS p
+        FROM (SELECT DISTINCT host, path, s, action FROM cut) GROUP BY host, s)"""]
     bound = (log(2 / url_filter.ALPHA) / 2) ** 0.5
     for k in range(1, deep + 1):
-        four = ("b", "a", "e", "m")
-        alike = " AND ".join(f"abs(e.{c} / e.n - q.{c} / q.n) <= {bound!r} * (1 / sqrt(e.n) + 1 / sqrt(q.n))" for c in four)
-        same = " AND ".join(f"e.q{c} = q.q{c}" for c in four)
+        shape = ("e", "m", "d")
+        alike = " AND ".join(f"abs(e.{c} / e.n - q.{c} / q.n) <= {bound!r} * (1 / sqrt(e.n) + 1 / sqrt(q.n))" for c in shape)
+        same = " AND ".join(f"e.q{c} = q.q{c}" for c in shape)
         parts.append(f"""
     e{k} AS (
-        SELECT *, {", ".join(f"(8 * {c} + n) // (2 * n) AS q{c}" for c in four)} FROM (
-            SELECT host, p, s[{k}] AS c, sum(n)::BIGINT AS n, sum(b)::BIGINT AS b, sum(a)::BIGINT AS a,
-                sum(CASE WHEN len(s) = {k} THEN n ELSE 0 END)::BIGINT AS e, sum(CASE WHEN contains(s[{k + 1}], '{{n}}') THEN n ELSE 0 END)::BIGINT AS m
+        SELECT *, {", ".join(f"(8 * {c} + n) // (2 * n) AS q{c}" for c in shape)} FROM (
+            SELECT host, p, s[{k}] AS c, sum(n)::BIGINT AS n, sum(CASE WHEN len(s) = {k} THEN n ELSE 0 END)::BIGINT AS e,
+                sum(CASE WHEN contains(s[{k + 1}], '{{n}}') THEN n ELSE 0 END)::BIGINT AS m, sum(CASE WHEN len(s) > {k + 1} THEN n ELSE 0 END)::BIGINT AS d
             FROM t{k - 1} WHERE len(s) >= {k} AND NOT contains(s[{k}], '{{n}}') GROUP BY host, p, s[{k}])),
-    q{k} AS (SELECT host, p, {", ".join(f"q{c}" for c in four)}, count(*) AS members, {", ".join(f"sum({c}) AS {c}" for c in ("n", *four))} FROM e{k} GROUP BY ALL),
-    h{k} AS (SELECT host, p, count(*) AS d, sum(n) AS total FROM e{k} GROUP BY ALL),
+    q{k} AS (SELECT host, p, {", ".join(f"q{c}" for c in shape)}, count(*) AS members, {", ".join(f"sum({c}) AS {c}" for c in ("n", *shape))} FROM e{k} GROUP BY ALL),
+    h{k} AS (SELECT host, p, count(*) AS literals, sum(n) AS total FROM e{k} GROUP BY ALL),
     l{k} AS (
-        SELECT e.host, e.p, e.c, CASE WHEN h.d >= {url_filter.LITERALS} AND h.d * {url_filter.ONE_IN} >= h.total THEN '{{*}}'
-            WHEN q.members > 1 AND {alike} THEN '{{' || concat_ws('.', {", ".join(f"e.q{c}" for c in four)}) || '}}' ELSE e.c END AS label
+        SELECT e.host, e.p, e.c, CASE WHEN h.literals >= {url_filter.LITERALS} AND h.literals * {url_filter.ONE_IN} >= h.total THEN '{{*}}'
+            WHEN q.members > 1 AND {alike} THEN '{{' || concat_ws('.', {", ".join(f"e.q{c}" for c in shape)}) || '}}' ELSE e.c END AS label
         FROM e{k} e JOIN q{k} q ON e.host = q.host AND e.p = q.p AND {same} JOIN h{k} h ON h.host = e.host AND h.p = e.p),
     t{k} AS (
         SELECT t.host, t.s, t.n, t.b, t.a, CASE WHEN len(t.s) >= {k} THEN t.p || '/' || coalesce(l.label, t.s[{k}]) ELSE t.p END AS p
         FROM t{k - 1} t LEFT JOIN l{k} l ON l.host = t.host AND l.p = t.p AND l.c = t.s[{k}])""")
     return f"""
 WITH {", ".join(parts)},
-judged AS (SELECT host, p, (sum(b) + 1) / (sum(b) + sum(a) + 2) AS purity FROM t{deep} GROUP BY host, p)
-SELECT c.page_id, c.host, c.path, c.rule, coalesce(c.action, CASE WHEN purity >= {url_filter.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, t.p AS template, purity
+judged AS (SELECT host, p, (sum(b) + 1) / (sum(b) + sum(a) + 2) AS purity, (sum(b) + sum(a)) / sum(n) AS support FROM t{deep} GROUP BY host, p)
+SELECT c.page_id, c.host, c.path, c.rule, coalesce(c.action, CASE WHEN purity >= {url_filter.REJECT} AND support >= {url_filter.SUPPORT} THEN 'block' ELSE 'allow' END) AS verdict,
+    t.p AS template, purity, support
 FROM cut c JOIN t{deep} t ON t.host = c.host AND t.s = c.s JOIN judged j ON j.host = t.host AND j.p = t.p
 """
 

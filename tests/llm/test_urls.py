@@ -41,3 +41,21 @@ def test_templates_merge_and_are_judged(spark):
     assert len(names("/user/")) == 1 and len(names("/spam/")) == 1 and len(names("/en/") | names("/fr/") | names("/es/")) == 1
     assert {found[i]["verdict"] for i, u in enumerate(rows) if "/spam/" in u} == {"block"}
     assert {found[i]["verdict"] for i, u in enumerate(rows) if "/spam/" not in u} == {"allow"}
+
+
+def test_unlabelled_pages_are_rejected_and_repeats_change_nothing(spark):
+    """Half of the slugs of a place are blocked: the others go too; a few blocked pages do not take a host with them."""
+    rows = [f"http://s.com/spam/{c}{chr(97 + k)}z" for c in "ab" for k in range(26)]
+    rows += [f"http://t.com/de/{k}" for k in range(4)] + [f"http://t.com/{lang}/{k}" for lang in ("en", "fr") for k in range(30)]
+    rows += [f"http://u.com/{lang}/{k}" for lang in ("de", "en") for k in range(5)]
+    rules = [("block", "s.com/spam/a"), ("block", "t.com/de/"), ("block", "u.com/de/")]
+    seen = []
+    for times in (1, 6):
+        pages = spark.createDataFrame([(i, u) for i, u in enumerate(rows) for _ in range(times)], "page_id long, url string")
+        found = url_filter(pages, rules).collect()
+        assert len(found) == times * len(rows)
+        seen.append({r["page_id"]: (r["verdict"], r["template"], r["purity"], r["support"]) for r in found})
+    assert seen[0] == seen[1]
+    blocked = {u for i, u in enumerate(rows) if seen[0][i][0] == "block"}
+    assert blocked == {u for u in rows if "s.com" in u or "u.com" in u or "/t.com/de/" in u}
+    assert {seen[0][i][1] for i, u in enumerate(rows) if "u.com" in u} == {"/{0.4.0}/{n}"}

@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from newsloom.session import durable
 
@@ -17,6 +11,8 @@ from newsloom.session import durable
 #: Up to this many rows per group Spark cuts a group down in every task before it is shuffled.
 CUT_BY_SPARK = 1_000
 PARTS = 32
+#: Rows per group and slice up to which their offsets are broadcast.
+MAP_SIDE_ROWS = 200_000
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -38,56 +34,27 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return top_k(df, keys, order, 1, "_first").drop("_first")
 
 
-def _numbered(keys: list[str], names: list[str]):
-    """Adds to sorted rows their number in the task (``_at``), their number within their group there
-    (``_local``), and whether theirs is the first group of the task (``_first``)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen, count, first = None, 0, 0, True
-        for batch in batches:
-            n = len(batch)
-            if not n:
-                continue
-            now = [batch.column(k)[0] for k in keys]
-            starts = np.zeros(n, bool)
-            starts[0] = last is not None and any(a.as_py() != b.as_py() for a, b in zip(last, now, strict=True))
-            for k in keys:
-                column = batch.column(k)
-                left, right = column.slice(0, n - 1), column.slice(1)
-                same = pc.or_(pc.fill_null(pc.equal(left, right), False), pc.and_(pc.is_null(left), pc.is_null(right)))
-                starts[1:] |= ~same.to_numpy(zero_copy_only=False)
-            at = np.arange(n)
-            local = at - np.maximum.accumulate(np.where(starts, at, -count)) + 1
-            in_first = first & (np.cumsum(starts) == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seen + at), pa.array(local), pa.array(in_first)], names=names)
-            last, seen, count, first = [batch.column(k)[n - 1] for k in keys], seen + n, int(local[-1]), bool(in_first[-1])
-
-    return run
-
-
 def rank_all(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank") -> DataFrame:
     """``row_number`` of every row within its group, every group spread over many tasks.
 
-    ``order`` must be unique within a group. The rows are held while the ranges are sampled, so their plan runs
-    once, and move once: range-partitioned by group and order, so a hot group becomes many consecutive
-    slices. A slice is numbered as it is read. Only its first group can have rows in earlier slices, and
-    these are the last group there; so the offsets are one row per slice, which is what is broadcast. The
-    slices are checkpointed because a recomputed range partitioning may cut elsewhere.
+    ``order`` must be unique within a group. The rows are held while the ranges are sampled, so their plan
+    runs once; they move range-partitioned by group and order, so a hot group becomes many consecutive
+    slices, and are numbered where they then lie. What turns these numbers into ranks is one row per group
+    and slice, broadcast while they fit ``MAP_SIDE_ROWS``; only for more groups the rows move again.
+    The slices are checkpointed because a recomputed range partitioning may cut elsewhere.
     """
     held = df.withColumn("_all", F.lit(0)).persist()
     by = keys or ["_all"]
-    slices = held.repartitionByRange(*[F.col(k) for k in by], *order).sortWithinPartitions(*[F.col(k) for k in by], *order)
-    slices = slices.withColumn("_slice", F.spark_partition_id())
-    schema = T.StructType([*slices.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_at", "_local")), T.StructField("_first", T.BooleanType())])
-    rows = durable(slices.mapInArrow(_numbered(by, schema.names), schema))
+    sort = [*[F.col(k) for k in by], *order]
+    slices = held.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    rows = durable(slices.withColumns({"_slice": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
     held.unpersist()
-    group = F.struct(*[F.col(k) for k in by])
-    edges = rows.groupBy("_slice").agg(
-        F.min_by(group, "_at").alias("head"), F.max_by(group, "_at").alias("tail"), F.max_by("_local", "_at").alias("n")
-    )
-    in_order = Window.orderBy("_slice")
-    so_far = F.sum("n").over(Window.partitionBy("tail").orderBy("_slice"))
-    before = edges.withColumn("so_far", so_far).withColumns({"tail": F.lag("tail").over(in_order), "so_far": F.lag("so_far").over(in_order)})
-    offsets = before.select("_slice", F.when(F.col("head") == F.col("tail"), F.col("so_far")).otherwise(0).alias("_offset"))
-    rank = F.col("_local") + F.when(F.col("_first"), F.col("_offset")).otherwise(0)
-    return rows.join(F.broadcast(offsets), "_slice").withColumn(out, rank).select(*df.columns, out)
+    groups = rows.groupBy("_slice", *by).agg(F.min("_at").alias("_begin"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_begin") + 1
+    bases = durable(groups.select(F.col("_slice").alias("_in"), *[F.col(k).alias(f"_k_{k}") for k in by], base.alias("_base")))
+    bases = F.broadcast(bases) if bases.limit(MAP_SIDE_ROWS + 1).count() <= MAP_SIDE_ROWS else bases
+    same = F.col("_slice") == F.col("_in")
+    for k in by:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(bases, same).withColumn(out, F.col("_at") + F.col("_base")).select(*df.columns, out)

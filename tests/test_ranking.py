@@ -1,7 +1,9 @@
 """Ranks of every row against a plain sort, over many slices and a hot group."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from newsloom.operators import ranking
 from newsloom.operators.ranking import rank_all
 
 
@@ -13,8 +15,10 @@ def _plain(rows, keys, order):
     return out
 
 
-def test_ranks_across_slices(spark):
+@pytest.mark.parametrize("bound", [ranking.MAP_SIDE_ROWS, 10])
+def test_ranks_across_slices(spark, monkeypatch, bound):
     """A group with most of the rows, many small ones, null keys, ties of the first order column."""
+    monkeypatch.setattr(ranking, "MAP_SIDE_ROWS", bound)
     names = ["hot", "hot", "hot", "hot", None, "x", "y"]
     rows = [(names[(i * i) % 7] if i % 5 else f"g{i % 400}", (i * 37) % 11, i) for i in range(6000)]
     df = spark.createDataFrame(rows, "name string, score int, id long").repartition(5)

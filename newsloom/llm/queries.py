@@ -43,11 +43,12 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 @query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every document, learned from labels outside the hold-out third."""
+    """Toxicity and toxic sentences of every document, learned from labels outside the hold-out third."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = held_out("doc_id", 3, 1)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held)
-    return toxicity.toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+    scored = toxicity.toxicity(docs, model, sentences=True)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "toxic_sentences", "worst_sentence")
 
 
 @query("op6_bpe")

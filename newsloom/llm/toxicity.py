@@ -18,9 +18,12 @@ BITS = 18
 #: Word beginnings that are features beside the whole word, in bytes: inflected forms share them.
 BEGINNINGS = (4, 5)
 RATE = 0.05
-#: Sentence ends: full stop, question and exclamation mark, line end.
+#: Sentence ends: full stop, question and exclamation mark, line end; and those of three bytes in UTF-8.
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".?!\n"]] = True
+_WIDE_ENDS = "。！？…"
+#: A sentence of this probability or more is given out as a toxic one.
+LOCATED = 0.5
 
 
 @dataclass
@@ -32,25 +35,42 @@ class ToxicityModel:
     leak: float
 
 
-def _sentences(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, first byte, sentence number) of every word; a sentence lies within one row."""
+def _plain_ends(values: np.ndarray) -> np.ndarray:
+    """The same number of bytes, with wide sentence ends as two spaces and a line end."""
+    for mark in _WIDE_ENDS:
+        a, b, c = mark.encode()
+        at = np.flatnonzero(values[:-2] == a)
+        at = at[(values[at + 1] == b) & (values[at + 2] == c)]
+        if len(at):
+            values = values.copy()
+            values[at] = values[at + 1] = ord(" ")
+            values[at + 2] = ord("\n")
+    return values
+
+
+def _bags(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, sentence number, row of every sentence, its first byte): words and word beginnings of sentences.
+
+    A sentence lies within one row. ``values`` have plain ends.
+    """
     hashes, rows, starts = hashed_words(values, offsets, SYMBOLS)
     ended = np.append(0, np.cumsum(_ENDS[values]))[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (rows[1:] != rows[:-1]) | (ended[1:] != ended[:-1])
-    return hashes, rows, starts, np.cumsum(new) - 1
-
-
-def _bags(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, sentence number, row of every sentence): each sentence's words and word beginnings."""
-    hashes, rows, starts, sentence = _sentences(values, offsets)
+    sentence = np.cumsum(new) - 1
     found, where = [hashes], [sentence]
     for length in BEGINNINGS:
         longer, begun = prefix_hashes(values, offsets, rows, starts, length, SYMBOLS)
         found.append(begun)
         where.append(sentence[longer])
-    owner = rows[np.append(True, np.diff(sentence) > 0)] if len(rows) else rows
-    return (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(where), owner
+    return (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(where), rows[new], starts[new]
+
+
+def _texts(values: np.ndarray, plain: np.ndarray, offsets: np.ndarray, owner: np.ndarray, begin: np.ndarray) -> list[str]:
+    """Texts of the sentences of rows ``owner`` that begin at the bytes ``begin``, with their end marks."""
+    stops = np.append(np.flatnonzero(_ENDS[plain]) + 1, len(plain))
+    end = np.minimum(stops[np.searchsorted(stops, begin, "right")] if len(begin) else begin, offsets[owner + 1])
+    return [values[s:e].tobytes().decode("utf-8", "replace").strip() for s, e in zip(begin, end, strict=True)]
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
@@ -73,7 +93,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 400, rare: int = 3,
     if len(set(labels.tolist())) < 2:
         return model
     values, offsets = utf8(pa.array(texts, pa.large_string()))
-    feature, sentence, owner = _bags(values, offsets)
+    feature, sentence, owner, _ = _bags(_plain_ends(values), offsets)
     in_document = np.unique(owner[sentence] << BITS | feature)
     spread = np.bincount(in_document & ((1 << BITS) - 1), minlength=1 << BITS)
     seen = spread[feature] >= rare
@@ -97,12 +117,27 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 400, rare: int = 3,
     return model
 
 
+def _any(model: ToxicityModel, z: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    return 1 - (1 - model.leak) * np.exp(-np.bincount(owner, _softplus(z), minlength=rows))
+
+
 def score(model: ToxicityModel, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Probability that a document is toxic; a text without words has the leak alone."""
-    feature, sentence, owner = _bags(values, offsets)
-    clean = _softplus(_sentence_scores(model, feature, sentence, len(owner)))
-    total = np.bincount(owner, clean, minlength=len(offsets) - 1)
-    return 1 - (1 - model.leak) * np.exp(-total)
+    feature, sentence, owner, _ = _bags(_plain_ends(values), offsets)
+    return _any(model, _sentence_scores(model, feature, sentence, len(owner)), owner, len(offsets) - 1)
+
+
+def located(model: ToxicityModel, values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``score``, the number of toxic sentences, and the text of the worst of them (the first of equals) or None."""
+    plain, rows = _plain_ends(values), len(offsets) - 1
+    feature, sentence, owner, begin = _bags(plain, offsets)
+    z = _sentence_scores(model, feature, sentence, len(owner))
+    hit = np.flatnonzero(1 / (1 + np.exp(-z)) >= LOCATED)
+    order = hit[np.lexsort((hit, -z[hit], owner[hit]))]
+    worst = order[np.append(True, owner[order[1:]] != owner[order[:-1]])[: len(order)]]
+    text = np.full(rows, None, object)
+    text[owner[worst]] = _texts(values, plain, offsets, owner[worst], begin[worst])
+    return _any(model, z, owner, rows), np.bincount(owner[hit], minlength=rows), text
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 1000, max_chars: int = 20_000) -> ToxicityModel:
@@ -111,20 +146,25 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 1
     return fit(rows["text"].tolist(), (rows["label"] == "1").to_numpy())
 
 
-def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", reject: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", reject: float = 0.7, sentences: bool = False) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 at ``reject`` or more).
 
-    A null or empty text scores the leak. No shuffle; whole texts; the model is a fixed 2 MB.
+    With ``sentences`` also ``toxic_sentences``, the number of sentences that are toxic by themselves, and
+    ``worst_sentence``, the text of the first of the worst of them or null. A null or empty text scores the leak.
+    No shuffle; whole texts; the model is a fixed 2 MB.
     """
 
     def add(shared, values, offsets):
-        p = score(shared, values, offsets)
-        return [p, (p >= reject).astype(np.int32)]
+        p, *more = located(shared, values, offsets) if sentences else (score(shared, values, offsets),)
+        return [p, (p >= reject).astype(np.int32), *more]
 
-    return with_columns(docs, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], model, add, text)
+    added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    if sentences:
+        added += [T.StructField("toxic_sentences", T.LongType()), T.StructField("worst_sentence", T.StringType())]
+    return with_columns(docs, added, model, add, text)
 
 
-def toxic_sentences(docs: DataFrame, model: ToxicityModel, ident: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+def toxic_sentences(docs: DataFrame, model: ToxicityModel, ident: str = "doc_id", text: str = "text", threshold: float = LOCATED) -> DataFrame:
     """(id, sentence, score) of each sentence of its own probability ``threshold`` or more."""
     source = docs.select(docs[ident].alias("_id"), docs[text].alias("_text"))
     schema = T.StructType([source.schema["_id"], T.StructField("sentence", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -136,16 +176,11 @@ def toxic_sentences(docs: DataFrame, model: ToxicityModel, ident: str = "doc_id"
             ids = batch.column(0)
             for a, b in blocks(offsets):
                 own, at = values[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                feature, sentence, owner = _bags(own, at)
+                plain = _plain_ends(own)
+                feature, sentence, owner, begin = _bags(plain, at)
                 p = 1 / (1 + np.exp(-_sentence_scores(shared.value, feature, sentence, len(owner))))
-                _, _, starts, number = _sentences(own, at)
-                first = np.flatnonzero(np.append(True, np.diff(number) > 0)) if len(number) else number
                 hit = np.flatnonzero(p >= threshold)
-                stops = np.append(np.flatnonzero(_ENDS[own]) + 1, len(own))
-                begin = starts[first[hit]]
-                end = np.minimum(stops[np.searchsorted(stops, begin, "right")] if len(hit) else begin, at[owner[hit] + 1])
-                found = [own[s:e].tobytes().decode("utf-8", "replace").strip() for s, e in zip(begin, end, strict=True)]
+                found = _texts(own, plain, at, owner[hit], begin[hit])
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner[hit] + a)), pa.array(found, pa.string()), pa.array(p[hit])], names=["_id", "sentence", "score"])
 
     return source.mapInArrow(run, schema).withColumnRenamed("_id", ident)
-

@@ -1,5 +1,6 @@
 """Held-out accuracy of the trained models, and what they do with odd rows."""
 
+import re
 from pathlib import Path
 from zlib import crc32
 
@@ -151,6 +152,31 @@ def test_toxic_sentences_are_located(spark):
     assert [(r["doc_id"], r["sentence"]) for r in found] == [(1, "You are a good moron and guide!")]
 
 
+def test_noisy_or_equals_a_plain_loop(spark):
+    """Sentences cut by a pattern, words and beginnings one by one; wide sentence ends; the worst sentence."""
+    random = np.random.default_rng(3)
+    model = toxicity.ToxicityModel(random.normal(0, 2.0, 1 << toxicity.BITS), -1.0, 0.05)
+    texts = ["Fine day。Vile moron！ah… so？yes", "one. two three! four\nfive", "", None, "...", "。", "tie tie. tie tie.", "Größe。x" * 50]
+    texts += [" ".join(random.choice(["alpha", "beta.", "gamma", "delta!", "omega…", "été。"], 30)) for _ in range(20)]
+
+    def logits(text):
+        out = []
+        for part in re.findall("[^.?!\n。！？…]*[.?!\n。！？…]|[^.?!\n。！？…]+", text or ""):
+            feature, sentence, _, _ = toxicity._bags(*column([re.sub("[。！？…]", " ", part)]))
+            if len(feature):
+                out.append((part.strip(), model.bias + sum(model.weights[f] for f in feature)))
+        return out
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.toxicity(rows.repartition(3), model, sentences=True).collect():
+        parts = logits(r["text"])
+        clean = (1 - model.leak) * np.prod([1 - 1 / (1 + np.exp(-z)) for _, z in parts])
+        assert abs(r["score"] - (1 - clean)) < 1e-9
+        bad = [(round(z, 9), -i, t) for i, (t, z) in enumerate(parts) if z >= 0]
+        assert r["toxic_sentences"] == len(bad)
+        assert r["worst_sentence"] == (max(bad)[2].lstrip(".?!。！？… ") if bad else None)
+
+
 def test_sample_does_not_depend_on_partitions(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))

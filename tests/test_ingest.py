@@ -279,3 +279,13 @@ def test_strict_corpus(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text("{nope\n")
     with pytest.raises(ValueError, match="invalid JSON"):
         corpus.read_corpus_strict(spark, str(tmp_path))
+
+
+def test_an_arrival_is_one_micro_batch_however_many_tasks_write_it(spark, tmp_path):
+    from newsloom.plans import stream_queries
+
+    source = str(tmp_path / "corpus")
+    for _ in range(2):
+        stream_queries._arrive(spark.range(0, 100, 1, 12), source)
+    assert len(list((tmp_path / "corpus").glob("*.parquet"))) <= 2 * stream_queries.FILES_PER_TRIGGER
+    assert spark.read.parquet(source).count() == 200

@@ -281,6 +281,22 @@ def test_strict_corpus(spark, tmp_path):
         corpus.read_corpus_strict(spark, str(tmp_path))
 
 
+def test_large_profile_joins_its_frequent_words_where_the_texts_are(spark, monkeypatch):
+    from newsloom.operators import language
+
+    rows = [(1, "the cat the dog", "en"), (2, "le chat le chien", "fr"), (3, "the rare wordone", "en"), (4, "le mot unique", "fr"), (5, None, "en"), (6, "the le chat wordone", None), (7, "zzz", "fr"), (None, "the", "en")]
+    docs = spark.createDataFrame(rows, "id int, t string, lang string")
+    profile = language.language_profile(docs.filter("id < 5"), "t", "lang")
+    answer = lambda df: sorted((str(r.id), r.detected) for r in df.collect())
+    small = answer(language.detect_language(docs, "id", "t", profile))
+    monkeypatch.setattr(language, "MAP_SIDE_ROWS", 4)
+    found = language.detect_language(docs, "id", "t", profile)
+    assert answer(found) == small
+    assert dict(small) == {"1": "en", "2": "fr", "3": "en", "4": "fr", "5": "und", "6": "en", "7": "und", "None": "und"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+
+
 def test_an_arrival_is_one_micro_batch_however_many_tasks_write_it(spark, tmp_path):
     from newsloom.plans import stream_queries
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions import fixed
+from newsloom.functions import batches, fixed
 
 LIMIT = 1_200
 RETRY_LIMIT = 350
@@ -46,13 +46,13 @@ def packed(whole: str, limit: int) -> list[str]:
 def pieces(whole: Column, limit: int) -> Column:
     """The pieces of a text, in order; null for null.
 
-    Texts go through Arrow once and whole. A fold of column functions would copy all finished pieces for
-    every sentence.
+    Texts go through Arrow once and whole, and only a few of a batch are Python strings at a time. A fold of
+    column functions would copy all finished pieces for every sentence.
     """
 
-    @F.pandas_udf("array<string>")
-    def pack(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else packed(t, limit))
+    @F.arrow_udf("array<string>")
+    def pack(texts: pa.Array) -> pa.Array:
+        return batches.each(texts, lambda t: None if t is None else packed(t, limit), pa.list_(pa.string()))
 
     return pack(whole)
 

@@ -281,6 +281,33 @@ def test_strict_corpus(spark, tmp_path):
         corpus.read_corpus_strict(spark, str(tmp_path))
 
 
+def test_values_of_a_batch_are_python_objects_a_few_at_a_time():
+    import weakref
+
+    import pyarrow as pa
+
+    from newsloom.functions import batches
+
+    class Words(list):
+        pass
+
+    ids, most = [], 0
+
+    def split(value):
+        nonlocal most
+        out = None if value is None else Words(value.split())
+        if out is not None:
+            ids.append(weakref.ref(out))
+        most = max(most, sum(r() is not None for r in ids[-1_000:]))
+        return out
+
+    given = [None, "", *[f"a{i} b" for i in range(500)]]
+    got = batches.each(pa.array(given, pa.string()), split, pa.list_(pa.string()))
+    assert got.to_pylist() == [None if v is None else v.split() for v in given]
+    assert most <= 2 * batches.AT_ONCE
+    assert batches.each(pa.array([], pa.string()), split, pa.list_(pa.string())).to_pylist() == []
+
+
 def test_large_profile_joins_its_frequent_words_where_the_texts_are(spark, monkeypatch):
     from newsloom.operators import language
 

@@ -20,6 +20,8 @@ from newsloom.operators.ranking import top_k
 from newsloom.session import durable
 
 BLOCK = 500
+#: Candidates of one reader that are joined with its reader's row in one task.
+JOINED_ROWS = 100_000
 NEAR_SECONDS = 172_800
 TOPIC = 0.3
 DUPLICATE = 0.65
@@ -72,7 +74,12 @@ def prepared(items: DataFrame, now: Column) -> DataFrame:
 
 def candidates(items: DataFrame, now: Column) -> DataFrame:
     """Narrow candidate rows with the keys the pick compares."""
-    return _narrow(items, now).filter("is_candidate").select(*_CARRIED)
+    return of_run(_narrow(items, now))
+
+
+def of_run(run: DataFrame) -> DataFrame:
+    """The candidates of a table of ``prepared``."""
+    return run.filter("is_candidate").select(*_CARRIED)
 
 
 def _extend(rows: pd.DataFrame) -> pd.DataFrame:
@@ -166,6 +173,21 @@ def packed_picks(picks: DataFrame) -> DataFrame:
     return picks.groupBy("reader_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("picks"))
 
 
+def with_reader(rows: DataFrame, per_reader: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``rows`` with the row of their reader; a reader with many candidates is met in parts.
+
+    ``sizes`` has the number of ``candidates`` of every reader. The parts keep a hot reader's rows out of a single task, and what
+    groups by reader afterwards is cut down in every task first. Only readers of several parts are broadcast: at most one
+    per ``JOINED_ROWS`` candidates in all.
+    """
+    parts = F.ceil(F.col("candidates") / JOINED_ROWS).cast("bigint")
+    large = F.broadcast(sizes.filter(F.col("candidates") > JOINED_ROWS).select("reader_id", parts.alias("_parts")))
+    of = F.coalesce("_parts", F.lit(1).cast("bigint"))
+    dealt = rows.join(large, "reader_id", "left").withColumn("_part", F.pmod(F.xxhash64("item_id"), of)).drop("_parts")
+    copies = per_reader.join(large, "reader_id", "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), of - 1))).drop("_parts")
+    return dealt.join(copies, ["reader_id", "_part"]).drop("_part")
+
+
 def curated_picks(items: DataFrame, now: Column, block: int = BLOCK, run: DataFrame | None = None) -> DataFrame:
     """(reader_id, item_id, position, ...) of the diverse pick, without the always-kept starred items.
 
@@ -173,16 +195,18 @@ def curated_picks(items: DataFrame, now: Column, block: int = BLOCK, run: DataFr
     """
     run = prepared(items, now) if run is None else run
     limits = durable(budgets(run))
-    pool = run.filter("is_candidate").select(*_CARRIED).join(limits.drop("total", "candidates"), "reader_id")
+    bounds = limits.drop("total", "candidates")
+    pool = of_run(run)
     schema = pool.select(*_CARRIED, F.lit(0).alias("position")).schema
     remaining, rounds = pool, []
     while True:
         earlier = None
         if rounds:
             picked = reduce(DataFrame.unionByName, rounds)
-            earlier = picked.join(limits.drop("total", "candidates"), "reader_id")
-        best = top_k(remaining, ["reader_id"], best_first(), block).withColumn("position", F.lit(None).cast("int"))
-        best = durable(best)
+            earlier = picked.join(bounds, "reader_id")
+        # The limits come after the cut: a join by reader before it would bring a reader's candidates into one task.
+        best = top_k(remaining, ["reader_id"], best_first(), block).join(bounds, "reader_id")
+        best = durable(best.withColumn("position", F.lit(None).cast("int")))
         work = best.drop("rank")
         if earlier is not None:
             work = work.unionByName(earlier.join(best.select("reader_id").distinct(), "reader_id", "left_semi"))
@@ -190,7 +214,7 @@ def curated_picks(items: DataFrame, now: Column, block: int = BLOCK, run: DataFr
         picked = reduce(DataFrame.unionByName, rounds)
         # Readers whose block was full and whose budget is not: only they can have more.
         last = best.filter(F.col("rank") == block).select(
-            "reader_id", F.struct(-F.col("score"), -F.unix_micros("published_at"), "item_id").alias("_last"), "budget"
+            "reader_id", F.struct(-F.col("score"), -F.unix_micros("published_at"), "item_id").alias("_last"), *bounds.drop("reader_id").columns
         )
         state = packed_picks(picked).withColumn("n_picks", F.size("picks"))
         still_open = durable(
@@ -203,7 +227,7 @@ def curated_picks(items: DataFrame, now: Column, block: int = BLOCK, run: DataFr
         ruled_out = F.when(
             F.col("picks").isNotNull(), _ruled_out(row, F.col("picks"), F.col("source_cap"), F.col("topic_cap"))
         ).otherwise(False)
-        remaining = pool.join(still_open, "reader_id").filter(later & ~ruled_out).select(*pool.columns)
+        remaining = with_reader(pool, still_open, limits).filter(later & ~ruled_out).select(*pool.columns)
 
 
 def coverage(items: DataFrame, now: Column, picks: DataFrame, run: DataFrame | None = None) -> DataFrame:
@@ -212,18 +236,14 @@ def coverage(items: DataFrame, now: Column, picks: DataFrame, run: DataFrame | N
     A pure function of the final picks: each candidate looks only at picks ranked before it.
     """
     run = prepared(items, now) if run is None else run
-    limits = budgets(run).select("reader_id", "budget", "source_cap")
+    limits = durable(budgets(run))
     row = {name: F.col(name) for name in _CARRIED}
     rank = F.struct(-F.col("score"), -F.unix_micros("published_at"), "item_id")
     before = F.filter(
         "picks", lambda p: F.struct(-p["score"], -F.unix_micros(p["published_at"]), p["item_id"]) < rank
     )
-    joined = (
-        run.filter("is_candidate").select(*_CARRIED)
-        .join(picks.select("reader_id", "item_id"), ["reader_id", "item_id"], "left_anti")
-        .join(packed_picks(picks), "reader_id")
-        .join(limits, "reader_id")
-    )
+    unpicked = of_run(run).join(picks.select("reader_id", "item_id"), ["reader_id", "item_id"], "left_anti")
+    joined = with_reader(unpicked, packed_picks(picks).join(limits.select("reader_id", "budget", "source_cap"), "reader_id"), limits)
     others = (
         text.settle(joined, before=before)
         .filter((F.size("before") < F.col("budget")) & (F.size("tokens") >= 4))

@@ -26,8 +26,8 @@ THRESHOLD = 0.6
   FROM pairs WHERE shared >= 3 AND shared / (len(toks) + len(ptoks) - shared) >= 0.3""")
 def j5_related_titles(spark, sf):
     items = derived.items(spark, sf)
-    picks = curate.curated_picks(items, derived.now())
-    found = related.related_to_picks(curate.candidates(items, derived.now()), picks)
+    run = curate.prepared(items, derived.now())
+    found = related.related_to_picks(curate.of_run(run), curate.curated_picks(items, derived.now(), run=run))
     return found.withColumn("similarity", F.round("similarity", 6))
 
 

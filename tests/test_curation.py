@@ -3,8 +3,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import curate, library
+from newsloom.operators import curate, library, related
 from newsloom.functions import rules
+from newsloom.session import durable
 
 NOW = datetime(2024, 5, 1, 12)
 SCHEMA = (
@@ -152,3 +153,36 @@ def test_snapshot_is_written_only_when_changed(spark, tmp_path):
     assert not library.write_snapshot(rows, path)
     assert not library.write_snapshot(rows.limit(0), path)
     assert library.write_snapshot(rows.withColumn("t", F.lit("c")), path)
+
+
+def test_a_large_reader_is_met_in_parts_and_cut_before_it_moves(spark, monkeypatch):
+    rows = [item(i, (i * 37 % 400) / 30, feed=f"f{(i * i) % 4}", title=" ".join(WORDS[(i * k) % 9] for k in (1, 2, 3, 5)) if i % 3 else None) for i in range(90)]
+    rows = [*rows, (2, *item(900, 1)[1:]), (None, *item(901, 1)[1:])]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    run = curate.prepared(frame, now())
+
+    def found():
+        picks = curate.curated_picks(frame, now(), 60, run=run)
+        covered = curate.coverage(frame, now(), picks, run=run)
+        near = related.related_to_picks(curate.of_run(run), picks)
+        return [sorted(map(tuple, df.collect())) for df in (picks.select("reader_id", "item_id", "position"), covered, near)]
+
+    whole = found()
+    monkeypatch.setattr(curate, "JOINED_ROWS", 20)
+    assert found() == whole and len(whole[0]) > 10
+    with_settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in with_settings}
+    try:
+        for k, v in with_settings.items():
+            spark.conf.set(k, v)
+        limits = curate.budgets(run)
+        joined = curate.with_reader(curate.of_run(run).filter("reader_id = 1"), limits, limits)
+        assert joined.select(F.spark_partition_id()).distinct().count() > 1
+        cut = []
+        monkeypatch.setattr(curate, "durable", lambda df: cut.append(df) or durable(df))
+        curate.curated_picks(frame, now(), run=run)
+        best = cut[1]._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in best[best.index(", Final") : best.index(", Partial")]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -24,7 +24,7 @@ from newsloom.session import durable, release
 #: Right rows of a cell that a task holds, left rows that one task compares with them, and pivots at most.
 BLOCK, RUN, PIVOTS = 20_000, 200_000, 128
 #: Similarities computed at once, and the slack of angles and rounded similarities.
-_AT_ONCE, _SLACK, _ROUNDED = 4_000_000, 1e-6, 2e-6
+_AT_ONCE, _SLACK, _ROUNDED = 1_000_000, 1e-6, 2e-6
 _FOREVER = (1 << 63) - 1
 
 
@@ -214,12 +214,20 @@ class _Held:
             s[at - self.at[None, :] > span] = np.nan
         return s
 
-    def unite(self, one: np.ndarray, other: np.ndarray) -> None:
-        """Make right rows one tree; roots stay the first of their tree."""
-        for a, b in np.unique(np.stack([self.root[one], self.root[other]], axis=1), axis=0).tolist():
-            low, high = sorted((self.root[a], self.root[b]))
-            if low != high:
-                self.root[self.root == high] = low
+    def unite(self, linked: np.ndarray) -> None:
+        """Make the right rows that a row of ``linked`` marks one tree; roots stay the first of their tree.
+
+        A link costs no more than its mark: rows whose links are one tree already are seen at once, and one of the
+        others takes the roots of its own links only.
+        """
+        low = np.where(linked, self.root, len(self.root)).min(1, initial=len(self.root))
+        high = np.where(linked, self.root, -1).max(1, initial=-1)
+        for row in np.flatnonzero(low < high).tolist():
+            trees = np.unique(self.root[linked[row]])
+            if len(trees) > 1:
+                into = np.arange(len(self.root))
+                into[trees] = trees[0]
+                self.root = into[self.root]
 
 
 def _nearest(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,9 +256,10 @@ def _multiplied(dealt: DataFrame, span: int | None, threshold: float | None, nea
             if side == 0:
                 parts.append(rows)
                 continue
-            if not parts:
+            if held is None and not parts:
                 continue
-            held = held or _Held(parts)
+            if held is None:
+                held, parts = _Held(parts), []
             step = max(1, _AT_ONCE // len(held.ids))
             for start in range(0, rows.num_rows, step):
                 left = rows.slice(start, step)
@@ -285,17 +294,18 @@ def _forest(dealt: DataFrame, span: int | None, threshold: float) -> DataFrame:
             if side == 0:
                 parts.append(rows)
                 continue
-            if not parts:
+            if held is None and not parts:
                 continue
-            held = held or _Held(parts)
+            if held is None:
+                held, parts = _Held(parts), []
             step = max(1, _AT_ONCE // len(held.ids))
             for start in range(0, rows.num_rows, step):
                 left = rows.slice(start, step)
                 linked = held.similar(left, span) >= threshold
                 row = np.flatnonzero(linked.any(1))
-                first = linked[row].argmax(1)
-                i, j = np.nonzero(linked[row] & (held.root[None, :] != held.root[first][:, None]))
-                held.unite(first[i], j)
+                linked = linked[row]
+                first = linked.argmax(1)
+                held.unite(linked)
                 yield ends((left.column("left_id").take(pa.array(row)), held.ids.take(pa.array(first))))
         if held is not None:
             yield trees()
@@ -304,9 +314,14 @@ def _forest(dealt: DataFrame, span: int | None, threshold: float) -> DataFrame:
 
 
 def _planned(right: DataFrame, block: int, pivots: int) -> tuple[DataFrame, Cells]:
-    """The right side with its cells: one cell while a block holds it, else about one per quarter of a block."""
+    """The right side with its cells: one cell while a block holds it, else about one per quarter of a block.
+
+    Rows only meet within a group, so the largest group decides: more cells would cost copies of left rows for
+    cells of a few right rows each.
+    """
     right = durable(right)
-    n = min(pivots, -(-4 * right.count() // block))
+    largest = right.groupBy("_k1", "_k2").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    n = min(pivots, -(-4 * largest // block))
     if n <= 4:
         homed = right.withColumn("cell", F.lit(0))
         return homed, Cells(np.zeros((1, 0)), np.zeros((1, 1)), np.zeros((1, 1)), _most(homed, 1, block), [1])

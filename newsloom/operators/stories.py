@@ -24,6 +24,8 @@ from newsloom.operators.ranking import rank_all, top_k
 from newsloom.session import durable
 
 DIAGNOSTICS = 10
+#: Items and states of the fold that are Python objects at once.
+AT_ONCE = 256
 #: Position after which no state was followed by another.
 LAST = (1 << 63) - 1
 #: Slack of the shard graph for sums that are added up in another order.
@@ -143,20 +145,23 @@ def _cosine(a: np.ndarray | None, b: np.ndarray | None) -> float | None:
 
 
 def _arrays(column: pa.Array) -> list[np.ndarray | None]:
-    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
-    valid = column.is_valid().to_pylist()
-    return [flat[a:b] if ok else None for a, b, ok in zip(ends, ends[1:], valid, strict=False)]
+    ends, valid = column.offsets.to_pylist(), column.is_valid().to_pylist()
+    begin = ends[0]
+    flat = column.values.slice(begin, ends[-1] - begin).to_numpy(zero_copy_only=False)
+    return [flat[a - begin : b - begin] if ok else None for a, b, ok in zip(ends, ends[1:], valid, strict=False)]
 
 
 def _read(batch: pa.RecordBatch) -> Iterator[dict]:
-    columns = {}
-    for name, column in zip(batch.schema.names, batch.columns, strict=True):
-        columns[name] = _arrays(column) if name in _VECTORS else column.to_pylist()
-    for values in zip(*columns.values(), strict=True):
-        row = dict(zip(columns, values, strict=True))
-        row["recent"] = [np.asarray(r, float) for r in row["recent"] or []]
-        row["actions"] = row["actions"] or []
-        yield row
+    """Rows of a batch, a few as Python objects at a time; what a story keeps of them does not hold the batch."""
+    for start in range(0, batch.num_rows, AT_ONCE):
+        part, columns = batch.slice(start, AT_ONCE), {}
+        for name, column in zip(part.schema.names, part.columns, strict=True):
+            columns[name] = [None if v is None else v.copy() for v in _arrays(column)] if name in _VECTORS else column.to_pylist()
+        for values in zip(*columns.values(), strict=True):
+            row = dict(zip(columns, values, strict=True))
+            row["recent"] = [np.asarray(r, float) for r in row["recent"] or []]
+            row["actions"] = row["actions"] or []
+            yield row
 
 
 def _folded(rows: DataFrame, threshold: float, window_us: int) -> DataFrame:
@@ -173,10 +178,12 @@ def _folded(rows: DataFrame, threshold: float, window_us: int) -> DataFrame:
         key, shard, known = None, Shard(threshold, window_us), {}
 
         def packed(corpus, states):
-            columns = [pa.array([corpus] * len(states), known["corpus_id"])]
-            for name in schema.names[1:]:
-                columns.append(pa.array([s[name] for s in states], known["item_id"] if name == "item_id" else arrow.get(name, pa.int64())))
-            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+            for start in range(0, len(states), AT_ONCE):
+                part = states[start : start + AT_ONCE]
+                columns = [pa.array([corpus] * len(part), known["corpus_id"])]
+                for name in schema.names[1:]:
+                    columns.append(pa.array([s[name] for s in part], known["item_id"] if name == "item_id" else arrow.get(name, pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         for batch in batches:
             known = {n: batch.schema.field(n).type for n in ("corpus_id", "item_id")}
@@ -185,16 +192,19 @@ def _folded(rows: DataFrame, threshold: float, window_us: int) -> DataFrame:
                 if (row["corpus_id"], row["shard"]) != key:
                     out += [s.last() for s in shard.stories]
                     if out:
-                        yield packed(key[0], out)
+                        yield from packed(key[0], out)
                     key, shard, out = (row["corpus_id"], row["shard"]), Shard(threshold, window_us), []
                 if row["side"] == 0:
                     shard.open(_Story(row | {"item_id": None, "similarity": None, "publisher_count": len(row["publishers"])}))
                 else:
                     out += shard.add(row)
+                if len(out) >= AT_ONCE:
+                    yield from packed(key[0], out)
+                    out = []
             if out:
-                yield packed(key[0], out)
+                yield from packed(key[0], out)
         if shard.stories:
-            yield packed(key[0], [s.last() for s in shard.stories])
+            yield from packed(key[0], [s.last() for s in shard.stories])
 
     given = ["corpus_id", "shard", "side", "position", "item_id", "at_us", "publisher_key", "headline", "body", "combined", "signature", "actions", "story_id", "seq", "members", "representative", "recent", "publishers"]
     ordered = rows.select(*given).repartition("corpus_id", "shard").sortWithinPartitions("corpus_id", "shard", "side", "seq", "position")
@@ -322,11 +332,10 @@ def diagnostics(df: DataFrame, threshold: float, window_seconds: int, k: int = D
     listed = candidates.join(chosen, "item_id", "left").withColumn("selected", F.coalesce(F.col("_state") == F.col("_chosen"), F.lit(False))).drop("_chosen")
     reached = listed.groupBy("item_id").agg(F.max("selected").alias("_listed"), F.count("*").alias("_n"))
     beyond = chosen.join(reached, "item_id", "left").filter(~F.coalesce("_listed", F.lit(False))).select("item_id", F.col("_chosen").alias("_state"), F.coalesce("_n", F.lit(0)).cast("int").alias("position"), F.lit(True).alias("selected"))
-    pairs = listed.unionByName(beyond).join(order, "item_id").join(
-        found.select("corpus_id", F.col("position").alias("_state"), "story_id", "seq", *[F.col(c).alias(f"s_{c}") for c in (*_VECTORS, "recent", "actions")]), ["corpus_id", "_state"]
-    )
-    if "actors" in items.columns:
-        pairs = pairs.join(items.select("corpus_id", F.col("position").alias("seq"), F.col("actors").alias("s_actors")), ["corpus_id", "seq"], "left")
+    seen = found.select("corpus_id", F.col("position").alias("_state"), "story_id", "seq", *[F.col(c).alias(f"s_{c}") for c in (*_VECTORS, "recent", "actions")])
+    if "actors" in items.columns:  # joined to the states, which are one row each, not to the pairs, which are wide and many
+        seen = seen.join(items.select("corpus_id", F.col("position").alias("seq"), F.col("actors").alias("s_actors")), ["corpus_id", "seq"], "left")
+    pairs = listed.unionByName(beyond).join(order, "item_id").join(seen, ["corpus_id", "_state"])
     judged = evaluate_pairs(pairs, threshold)
     overlap = F.col("actor_overlap") if "actors" in items.columns else F.lit(None).cast("boolean")
     clash = (F.size("i_actions") > 0) & (F.size("s_actions") > 0) & ~F.arrays_overlap("i_actions", "s_actions")

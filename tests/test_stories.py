@@ -287,3 +287,57 @@ def test_running_centroids_over_slices(spark, parts):
             assert position == n and centroid == pytest.approx([sum(m[3][d] for m in members[:n]) / n for d in range(3)])
         assert pooled[story] == pytest.approx([sum(m[3][d] for m in members) / len(members) for d in range(3)])
     assert stories.mean_pooled(table.limit(0), ["story_id"], "combined").count() == 0 and stories.running_centroids(table.limit(0)).count() == 0
+
+
+def test_uniting_a_dense_block_holds_marks_not_pairs():
+    """A block whose rows are all alike has a link per mark; none of them becomes a Python object."""
+    import tracemalloc
+
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    for linked in (draw.random((300, 400)) < 0.004, np.ones((500, 2_000), bool), np.zeros((0, 5), bool)):
+        held = object.__new__(similarity._Held)
+        held.root, want = np.arange(linked.shape[1]), np.arange(linked.shape[1])
+        for marks in linked:
+            trees = want[marks]
+            want = np.where(np.isin(want, trees), trees.min(initial=len(want)), want)
+        tracemalloc.start()
+        held.unite(linked)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert held.root.tolist() == want.tolist() and peak < 1_000_000 + 24 * linked.size
+
+
+def test_cells_are_planned_for_the_largest_group(spark):
+    """Ten groups of 80 rows that no bound tells apart: a row is copied as its group needs, not as all rows would."""
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    data = [(i % 10, i, draw.normal(size=32).tolist(), START) for i in range(800)]
+    right = spark.createDataFrame(data, "k int, id int, vector array<double>, at timestamp")
+    side = similarity._side(right, ["k"], "id", "at", F.lit(0), F.lit(0))
+    _, cells = similarity._planned(side, 20, 128)
+    routed = similarity._routed(side.withColumn("reach", F.lit(math.acos(0.2))), cells, "all")
+    assert len(cells.parts) == 16 and routed.count() <= 800 * 16
+
+
+def test_fold_reads_a_few_items_of_a_batch_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    n, dim = 5_000, 64
+    vector = lambda k: pa.ListArray.from_arrays(np.arange(0, n * dim + 1, dim, dtype=np.int32), np.arange(n * dim) * float(k))
+    recent = pa.array([[[float(i)] * dim] * 3 if i % 2 else None for i in range(n)], pa.list_(pa.list_(pa.float64())))
+    names = ["item_id", "combined", "signature", "recent", "actions"]
+    nothing = pa.array([None] * n, pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), vector(1), nothing, recent, pa.array([["a"]] * n)], names=names)
+    tracemalloc.start()
+    for i, row in enumerate(stories._read(batch)):
+        assert row["item_id"] == i and row["combined"][0] == i * dim and row["combined"].base is None and row["signature"] is None
+        assert row["actions"] == ["a"] and [r.tolist() for r in row["recent"]] == ([[float(i)] * dim] * 3 if i % 2 else [])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert i == n - 1 and peak < 4_000_000

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from newsloom.llm import bpe
+from newsloom.llm import bpe, pitman_yor
 from newsloom.llm.pitman_yor import STRENGTH, Chain, Totals, pitman_yor_scores, seat
 from newsloom.llm.queries import tokenizer_file
 from newsloom.llm.sample import held_out
@@ -115,3 +115,10 @@ def test_scores_without_training_rows(spark):
     assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == (3, 0, 0)
     assert abs(row["base_score"]) < 1e-9 and abs(row["score"]) < 1e-9
     assert pitman_yor_scores(docs.limit(0), held_out("doc_id", 10, 0)).count() == 0
+
+
+def test_sums_of_16_million_tokens_are_one_task(spark):
+    """A task sends a row per document it meets, so the tasks decide how much moves."""
+    table = spark.createDataFrame([], "bucket int, hashes binary, contexts binary, keys binary, pairs binary, counts binary")
+    sums = pitman_yor._far_sums(table.repartition(8), 0, [], 16_000_000, 4)
+    assert "Repartition 1, false" in sums._jdf.queryExecution().optimizedPlan().toString() and sums.count() == 0

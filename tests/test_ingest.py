@@ -1,10 +1,12 @@
 from datetime import datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import dates, text, urls
 from newsloom.operators import chunks, extract, merge
+from newsloom.plans import stream_queries
 from newsloom.sources import corpus, feeds
 from newsloom.streaming import refresh
 
@@ -332,3 +334,21 @@ def test_an_arrival_is_one_micro_batch_however_many_tasks_write_it(spark, tmp_pa
         stream_queries._arrive(spark.range(0, 100, 1, 12), source)
     assert len(list((tmp_path / "corpus").glob("*.parquet"))) <= 2 * stream_queries.FILES_PER_TRIGGER
     assert spark.read.parquet(source).count() == 200
+
+
+def test_later_fetches_are_made_of_the_first(spark, monkeypatch, tmp_path):
+    """Payloads are built from the documents once; what comes again and later is what the first fetch has written."""
+    made = [(f"src7-{k}", k, datetime(2024, 2, 1), f"<title>Feed src7</title> {k} ") for k in range(3)]
+    rows = spark.createDataFrame(made, "feed_id string, part bigint, fetched_at timestamp, body string").withColumn("body", F.concat("body", F.expr("uuid()")))
+    monkeypatch.setattr(stream_queries, "payloads", lambda spark, sf: rows)
+    monkeypatch.setattr(stream_queries, "run_dir", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(refresh, "start_refresh", lambda stream, folder: SimpleNamespace(awaitTermination=lambda: None))
+    monkeypatch.setattr(refresh, "stored_items", lambda spark, folder: spark.createDataFrame([], "item_id string, feed_id string, position int"))
+    monkeypatch.setattr(refresh, "record_events", lambda events, folder: None)
+    stream_queries._refreshed(spark, "")
+    found = spark.read.schema(refresh.PAYLOAD_SCHEMA).parquet(str(tmp_path / "payloads")).collect()
+    assert len(found) == 3 + 6 + 3 and {r.status for r in found} == {200}
+    for k in range(3):
+        own, tag = [r for r in found if r.feed_id == f"src7-{k}"], f"e-src7-{k}"
+        assert len({r.body[-36:] for r in own}) == 1
+        assert sorted(r.etag or "" for r in own) == sorted([tag, tag, "", f"{tag}-2" if k % 2 == 0 else ""])

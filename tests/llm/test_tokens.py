@@ -7,13 +7,16 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from newsloom.llm import bpe, pitman_yor
 from newsloom.llm.pitman_yor import STRENGTH, Chain, Totals, pitman_yor_scores, seat
 from newsloom.llm.queries import tokenizer_file
 from newsloom.llm.sample import held_out
+from newsloom.session import arrow_bytes
 
 TEXTS = [
     "", " ", "a", "Hello world", "aaaaaaa aaaa", "don't I'LL we're 's", "x" * 3000, "tab\tand\n\n  lines \r\n end ",
@@ -122,3 +125,45 @@ def test_sums_of_16_million_tokens_are_one_task(spark):
     table = spark.createDataFrame([], "bucket int, hashes binary, contexts binary, keys binary, pairs binary, counts binary")
     sums = pitman_yor._far_sums(table.repartition(8), 0, [], 16_000_000, 4)
     assert "Repartition 1, false" in sums._jdf.queryExecution().optimizedPlan().toString() and sums.count() == 0
+
+
+def test_sweeps_read_pairs_without_the_tokens(spark):
+    """A bucket's row has its tokens once, as document keys; a sweep does without them."""
+    rows = [(f"w{k % 7} w{k % 3} w1 w1", k % 4 != 0, k) for k in range(40)]
+    docs = spark.createDataFrame(rows, "text string, train boolean, key long")
+    vocabulary = pitman_yor.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0)
+    table = pitman_yor._occurrences(docs, vocabulary, 3).localCheckpoint()
+    found = {r["bucket"]: [np.frombuffer(r[c], k) for c, k in (("sizes", np.uint32), ("customers", np.uint32), ("keys", np.int64))] for r in table.collect()}
+    assert sum(sizes.sum() for sizes, _, _ in found.values()) == 40 * 5 and sum(customers.sum() for _, customers, _ in found.values()) == 30 * 5
+    assert all(len(keys) == sizes.sum() for sizes, _, keys in found.values())
+    assert sorted(Counter(np.concatenate([keys for _, _, keys in found.values()]).tolist()).items()) == [(k, 5) for k in range(40)]
+    first = pitman_yor._sweep_totals(table.drop("keys", "sizes"), 0, [])
+    assert (first.tokens, first.known, first.customers.tolist()) == (150, 8, [150.0])
+
+
+def test_arrow_batches_are_bounded_and_the_setting_given_back(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    long = spark.range(12).coalesce(1).select(F.repeat(F.lit("x"), 1_000_000).cast("binary").alias("x"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    with arrow_bytes(spark, 2 << 20):
+        assert max(r["n"] for r in long.mapInArrow(sizes, "n long").collect()) < 4_000_000
+        with arrow_bytes(spark, 64 << 20):  # a smaller bound stays
+            assert spark.conf.get(name) == str(2 << 20)
+    assert spark.conf.get(name) == before and name not in spark.conf.getAll
+
+
+def test_scores_run_in_small_batches(spark, monkeypatch):
+    """Jobs on bucket rows run under the bound; the result needs none of them again."""
+    name, found = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    for function in ("_sweep_totals", "_far_sums"):
+        whole = getattr(pitman_yor, function)
+        monkeypatch.setattr(pitman_yor, function, lambda *a, whole=whole: (found.append(spark.conf.get(name)), whole(*a))[1])
+    docs = spark.createDataFrame([(k, "a b c") for k in range(20)], "doc_id long, text string")
+    out = pitman_yor_scores(docs, held_out("doc_id", 10, 0))
+    assert set(found) == {str(pitman_yor._BATCH_BYTES)} and "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 20

@@ -235,7 +235,7 @@ _KIND_SQL = "['" + "','".join(_KINDS) + "'][CAST((doc_id + i * i) % 7 AS INTEGER
 _GAP_SQL = "CASE WHEN (doc_id * 7 + i * i * 131) % 9 = 0 THEN 9000 WHEN (doc_id * 7 + i * i * 131) % 4 = 0 THEN 2500 ELSE 40 END"
 
 
-def _line_blocks(spark, sf, with_summary: bool = False) -> DataFrame:
+def _line_blocks(spark, sf, with_summary: bool = False, with_words: bool = True) -> DataFrame:
     """Documents as scanned pages: a block per line, with kinds and gaps by rule."""
     n = F.col("doc_id")
     lines = F.filter(F.transform(F.split("text", "\n", -1), text.squash), lambda s: s != "")
@@ -245,7 +245,8 @@ def _line_blocks(spark, sf, with_summary: bool = False) -> DataFrame:
         step = n * 7 + i * i * 131
         return F.struct(
             F.get(kinds, ((n + i * i) % 7).cast("int")).alias("kind"), line.alias("text"),
-            F.when(step % 9 == 0, 9000).when(step % 4 == 0, 2500).otherwise(40).alias("gap"), text.count_squashed(line).alias("words"),
+            F.when(step % 9 == 0, 9000).when(step % 4 == 0, 2500).otherwise(40).alias("gap"),
+            *[text.count_squashed(line).alias("words")] * with_words,
         )
 
     third = F.concat(F.get(lines, F.lit(2)), F.lit(" and more words to be long enough"))
@@ -351,7 +352,7 @@ def _made_pages(spark, sf) -> DataFrame:
     as a whole, which is read and dropped. A gap is text in a plain element.
     """
     n = F.col("doc_id")
-    made = _line_blocks(spark, sf)
+    made = _line_blocks(spark, sf, with_words=False)
 
     def shown(b: Column, i: Column) -> Column:
         kind, line = b["kind"], _escaped(b["text"])

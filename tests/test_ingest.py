@@ -1,3 +1,4 @@
+import re
 from datetime import datetime
 from types import SimpleNamespace
 
@@ -352,3 +353,35 @@ def test_later_fetches_are_made_of_the_first(spark, monkeypatch, tmp_path):
         own, tag = [r for r in found if r.feed_id == f"src7-{k}"], f"e-src7-{k}"
         assert len({r.body[-36:] for r in own}) == 1
         assert sorted(r.etag or "" for r in own) == sorted([tag, tag, "", f"{tag}-2" if k % 2 == 0 else ""])
+
+
+def test_a_page_is_searched_once_and_goes_no_further(spark):
+    """A page is far longer than its text: one pattern goes over it per question, and steps after the scan do not carry it."""
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    for column in (extract.lead_image(F.col("html"), F.col("url")), extract.amp_link(F.col("html"), F.col("url"))):
+        plan = pages.select(column.alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert len(re.findall(r"regexp_extract(?:_all)?\(html#", plan)) == 1
+    plan = extract.embedded_bodies(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"regexp_extract(?:_all)?\(html#", plan)) <= 3
+    assert "html" not in extract.page_blocks(pages).columns
+
+
+def test_openings_in_any_case_are_found(spark):
+    """The cheap search before a pattern misses nothing that the pattern finds."""
+    body = " ".join(f"word{k}" for k in range(30))
+    rows = [
+        (1, f'<SCRIPT Type="application/LD+json">{{"articleBody": "{body} one"}}</SCRIPT><p>x</p>'),
+        (2, f'<p>x</p><sCript>var a = {{"ARTICLEBODY" : "{body} two"}}</sCript>'),
+        (3, f'<InPut name="description" value="&lt;p&gt;{body} three&lt;/p&gt;">'),
+        (4, f'<!-- <p>{body} gone</p> --><p>{body} four</p><META name="og:image" content="/i.png"><LINK href="/amp" rel="amphtml">'),
+        (5, f'<p>{body} five</p><META content="/k.png" property="twitter:image"><link rel="amphtml" href="/amp5">'),
+        (6, None),
+    ]
+    pages = spark.createDataFrame([(i, f"https://e.example.com/{i}", h) for i, h in rows], "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in extract.extract_articles(pages).collect()}
+    ends = {i: (r["text"] or "").split(" ")[-1] for i, r in found.items()}
+    assert ends == {1: "one", 2: "two", 3: "three", 4: "four", 5: "five", 6: ""} and found[6]["status"] == "fetchFailed"
+    assert found[4]["text"].count("word0") == 1
+    assert [found[i]["lead_image"] for i in (3, 4, 5)] == [None, "https://e.example.com/i.png", "https://e.example.com/k.png"]
+    links = {r[0]: r[1] for r in pages.select("page_id", extract.amp_link(F.col("html"), F.col("url"))).collect()}
+    assert (links[3], links[4], links[5], links[6]) == (None, "https://e.example.com/amp", "https://e.example.com/amp5", None)

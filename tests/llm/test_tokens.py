@@ -167,3 +167,76 @@ def test_scores_run_in_small_batches(spark, monkeypatch):
     out = pitman_yor_scores(docs, held_out("doc_id", 10, 0))
     assert set(found) == {str(pitman_yor._BATCH_BYTES)} and "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.count() == 20
+
+
+def pairs(rows):
+    """(score of each text) where every pair of words has one table: discounts from counts, no draws."""
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t) + [None]
+    steps = lambda t: list(zip([None] + words(t)[:-1], words(t), strict=True))
+    held = [crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
+    count = Counter(x for (_, t), h in zip(rows, held, strict=True) if not h for x in steps(t))
+    customers, tables, parent = Counter(), Counter(), Counter()
+    for (u, w), n in count.items():
+        customers[u], tables[u], parent[w] = customers[u] + n, tables[u] + 1, parent[w] + 1
+    discount = lambda ns: (lambda a, b: min(max(a / (a + 2 * b), 0.05), 0.95) if a else 0.5)(sum(n == 1 for n in ns), sum(n == 2 for n in ns))
+    d, d0 = discount(count.values()), discount(parent.values())
+    total, known = sum(parent.values()), len(parent)
+    base = lambda w: (parent[w] - d0 * (parent[w] > 0) + (STRENGTH + d0 * known) / (known + 1)) / (total + STRENGTH)
+    p = lambda u, w: (count[u, w] - d * (count[u, w] > 0) + (STRENGTH + d * tables[u]) * base(w)) / (customers[u] + STRENGTH)
+    return [sum(math.log10(p(u, w)) for u, w in steps(t)) for _, t in rows]
+
+
+@pytest.mark.parametrize("share", [1 / 400_000, 1 / 25, 1.0])
+def test_every_word_is_a_context_of_its_own(spark, monkeypatch, share):
+    """Whether words have numbers or not, and however their pairs lie in buckets."""
+    random = np.random.default_rng(5)
+    text = lambda: " ".join(f"w{k}" for k in np.minimum(random.zipf(1.4, 25), 90))
+    rows = [(i, text()) for i in range(80)] + [(100, ""), (101, "new w1 new w2"), (102, "w1 w2 " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, value in (("SWEEPS", 0), ("LOCAL_SHARE", share), ("TOKENS_PER_BUCKET", 150), ("TOKENS_PER_PACK", 200), ("TOKENS_PER_SUM", 500)):
+        monkeypatch.setattr(pitman_yor, name, value)
+    found = {r["doc_id"]: r["score"] for r in pitman_yor_scores(docs, held_out("doc_id", 10, 0)).collect()}
+    for (i, _), score in zip(rows, pairs(rows), strict=True):
+        assert math.isclose(found[i], score, rel_tol=1e-9)
+
+
+def test_rare_words_predict_what_follows_them(spark, monkeypatch):
+    """No word is frequent and each is always followed by the same one; so it is after sweeps, with and without numbers."""
+    random, sums = np.random.default_rng(6), []
+    text = lambda: " ".join(f"{a} x{a}" for a in random.choice(np.arange(400), 20, replace=False))
+    docs = spark.createDataFrame([(i, text()) for i in range(200)], "doc_id long, text string")
+    monkeypatch.setattr(pitman_yor, "TOKENS_PER_BUCKET", 2_000)
+    for share in (1 / 400_000, 1 / 100):
+        monkeypatch.setattr(pitman_yor, "LOCAL_SHARE", share)
+        held = [r for r in pitman_yor_scores(docs, held_out("doc_id", 10, 0)).collect() if r["held_out"]]
+        assert len(held) > 5
+        sums.append([sum(r[c] for r in held) for c in ("score", "base_score")])
+        assert sums[-1][0] > 0.75 * sums[-1][1]
+    assert math.isclose(sums[0][0], sums[1][0], rel_tol=0.02) and math.isclose(sums[0][1], sums[1][1], rel_tol=1e-9)
+
+
+def test_a_bucket_row_is_whole_whatever_its_parts():
+    random = np.random.default_rng(7)
+    hashes, rows = random.integers(1, 40, 5_000).astype(np.uint64), np.sort(random.integers(0, 60, 5_000))
+    vocabulary = pitman_yor.Vocabulary(np.arange(1, 20, dtype=np.uint64), np.arange(19), 19)
+    keys, train = random.integers(-(1 << 62), 1 << 62, 60), random.random(60) < 0.5
+    hashes[np.append(rows[1:] != rows[:-1], True)] = pitman_yor._end_hash()
+    before = pitman_yor._in_context(hashes, rows, pitman_yor._end_hash())
+    code = lambda h: int(h) - 1 if h < 20 else int(h) | 1 << 63
+    expected = Counter((code(w), code(u), int(keys[r]), bool(train[r])) for w, u, r in zip(hashes, before, rows, strict=True))
+    found: Counter = Counter()
+    parts: dict[int, list[bytes]] = {}
+    for a, b in ((0, 17), (17, 60)):
+        some = (rows >= a) & (rows < b)
+        for k, part in pitman_yor._parts(hashes[some], rows[some] - a, train[a:b], keys[a:b], vocabulary, 7):
+            parts.setdefault(k, []).append(part)
+    trained = 0
+    for k in parts:
+        row = dict(zip(("words", "begins", "contexts", "customers", "sizes", "keys"), pitman_yor._merged(parts[k]), strict=True))
+        assert (pitman_yor._merged(parts[k][::-1])[2] == row["contexts"]).all()
+        words = row["words"][np.cumsum(row["begins"]) - 1]
+        assert len(set(zip(words.tolist(), row["contexts"].tolist(), strict=True))) == len(words)
+        by_key = dict(zip(keys.tolist(), train.tolist(), strict=True))
+        found.update((w, u, key, by_key[key]) for w, u, key in zip(np.repeat(words, row["sizes"]).tolist(), np.repeat(row["contexts"], row["sizes"]).tolist(), row["keys"].tolist(), strict=True))
+        trained += int(row["customers"].sum())
+    assert found == expected and trained == train[rows].sum()
